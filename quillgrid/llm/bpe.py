@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import small_batches, table, utf8
+from quillgrid.llm.common import small_batches, table, tidy, utf8
 from quillgrid.llm.wordtable import answer_words, apply_answers, encode_blocks, words_of
 
 
@@ -134,7 +134,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize, shuffle_width, small_batches
+from quillgrid.llm.common import materialize, shuffle_width, small_batches, tidy
 
 #: Bytes of text that share a vocabulary, and bytes of text in one row of codes.
-BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 
 BLOCKS = "block string, bucket int, part int, blob binary"
 
@@ -127,7 +127,7 @@ def encode_blocks(df: DataFrame, text: str, keep: list[str], name: str) -> DataF
             yield from block.out()
 
     picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    return materialize(picked.mapInArrow(run, BLOCKS), name)
+    return materialize(picked.mapInArrow(tidy(run), BLOCKS), name)
 
 
 def answer_words(blocks: DataFrame, answer: Callable[[Iterator[tuple[str, list[bytes]]]], Iterator[tuple[str, bytes]]]) -> DataFrame:
@@ -157,7 +157,7 @@ def answer_words(blocks: DataFrame, answer: Callable[[Iterator[tuple[str, list[b
             yield _batch(rows)
 
     words = blocks.where("bucket >= 0").repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
-    return words.sortWithinPartitions("bucket", "block").mapInArrow(run, BLOCKS)
+    return words.sortWithinPartitions("bucket", "block").mapInArrow(tidy(run), BLOCKS)
 
 
 def words_of(blob: bytes) -> list[bytes]:
@@ -189,4 +189,4 @@ def apply_answers(blocks: DataFrame, answers: DataFrame, merge: Callable[[list[b
 
     both = answers.unionByName(blocks.where("bucket < 0"))
     both = both.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
-    return both.sortWithinPartitions("block", "part", "bucket").mapInArrow(run, schema)
+    return both.sortWithinPartitions("block", "part", "bucket").mapInArrow(tidy(run), schema)
