@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from quillgrid.llm.bpe import op1_bpe
+from quillgrid.llm.repetition import op4_repetition
+from quillgrid.llm.simhash import op5_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_repetition": op4_repetition,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLES: dict[str, str] = {}
