@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from quillgrid.llm.bpe import op1_bpe
+from quillgrid.llm.chat import OP9_SQL, op9_chat
+from quillgrid.llm.linededup import OP2_SQL, op2_linededup
+from quillgrid.llm.mixing import op6_mixing
 from quillgrid.llm.repetition import op4_repetition
 from quillgrid.llm.simhash import op5_simhash
+from quillgrid.llm.topk import OP8_SQL, op8_topk
+from quillgrid.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_linededup": op2_linededup,
+    "op3_warc": op3_warc,
     "op4_repetition": op4_repetition,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+    "op8_topk": op8_topk,
+    "op9_chat": op9_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_linededup": OP2_SQL, "op3_warc": OP3_SQL, "op8_topk": OP8_SQL, "op9_chat": OP9_SQL}
