@@ -12,6 +12,7 @@ entry a block, so no key is hot.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from zlib import crc32
@@ -93,10 +94,11 @@ class _Block:
         for end in ends.tolist() if len(words) else []:
             rows.append((self.name, int(bucket[order[start]]), -1, zstandard.compress(b"\n".join(words[order[start:end]]), 3)))
             start = end
-        yield _batch(rows)
+        name = f"{self.name}-{crc32(b' '.join(words))}-{self.bytes}"  # a block that is made anew can't pass for another
+        yield _batch([(name, *row[1:]) for row in rows])
         for part, (keep, lengths, codes) in enumerate(self.parts):
             body = pack(lengths, code[codes] if len(codes) else codes)
-            yield _batch([(self.name, -1, part, len(keep).to_bytes(8, "little") + keep + body)])
+            yield _batch([(name, -1, part, len(keep).to_bytes(8, "little") + keep + body)])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -105,17 +107,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def encode_blocks(df: DataFrame, text: str, keep: list[str], name: str) -> DataFrame:
-    """Write the blocks of df's texts; ``keep`` are the columns that come back with each text. A null text is empty."""
+    """The blocks of df's texts; ``keep`` are the columns that come back with each text. A null text is empty.
+
+    Words and codes are read from separate evaluations, which costs a second scan and no disk. A plan that deals rows
+    out may deal them otherwise the second time, so such a df is written first.
+    """
+    df = df.select(*dict.fromkeys([*keep, text]))
+    if re.search("Exchange|Sort|Limit", df._jdf.queryExecution().executedPlan().toString()):
+        df = materialize(df, name)
     small_batches(df.sparkSession)
     buckets = shuffle_width(df.sparkSession, 256)
     text_at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, n, block = TaskContext.get().partitionId(), 0, None
+        n, block = 0, None
         for batch in batches:
             kept = batch.select(range(text_at))
+            task = batch.column(text_at + 1)[0].as_py() if len(batch) else None
             for i, raw in enumerate(batch.column(text_at).cast(pa.binary()).to_pylist()):
                 if block is None:
                     block = _Block(f"{task}-{n}", buckets)
@@ -126,8 +134,8 @@ def encode_blocks(df: DataFrame, text: str, keep: list[str], name: str) -> DataF
         if block is not None:
             yield from block.out()
 
-    picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    return materialize(picked.mapInArrow(tidy(run), BLOCKS), name)
+    picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"), F.spark_partition_id().alias("__task"))
+    return picked.mapInArrow(tidy(run), BLOCKS)
 
 
 def answer_words(blocks: DataFrame, answer: Callable[[Iterator[tuple[str, list[bytes]]]], Iterator[tuple[str, bytes]]]) -> DataFrame:
@@ -172,19 +180,22 @@ def apply_answers(blocks: DataFrame, answers: DataFrame, merge: Callable[[list[b
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, blobs, lookup = None, [], None
+        block, blobs, lookup, seen = None, [], None, False
         for batch in batches:
             for name, part, blob in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if name != block:
-                    block, blobs, lookup = name, [], None
+                    block, blobs, lookup, seen = name, [], None, False
                 if part < 0:
                     blobs.append(blob)
+                    seen = True
                     continue
                 if lookup is None:
                     lookup, blobs = merge(blobs), []
                 n = int.from_bytes(blob[:8], "little")
                 keep = pa.ipc.open_stream(zstandard.decompress(blob[8 : 8 + n])).read_all()
                 lengths, codes = unpack(blob[8 + n :])
+                if len(codes) and not seen:
+                    raise RuntimeError(f"block {name} has no words: its table was read in another order")
                 yield rebuild(lookup, keep, lengths, codes)
 
     both = answers.unionByName(blocks.where("bucket < 0"))
