@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import small_batches, table, tidy
 
 START, END, ESCAPED = "<|im_start|>", "<|im_end|>", "<|im_esc|>"
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(<\|im_esc\|>)?(.*?)<\|im_end\|>\n", re.DOTALL)
+_HEAD = re.compile(r"<\|im_start\|>([^\n]*)\n(<\|im_esc\|>)?")
+_MARK = re.compile(r"<\|im_(?:start|end|esc)\|>")
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE = {"%": "%25", "\n": "%0A", "<": "%3C", "|": "%7C"}
 
@@ -70,12 +71,13 @@ def parse(formatted: str) -> list[tuple[str, str, bool, tuple[int, int]]] | None
     """(role, text, escaped, span of the text) of each turn; None if the text isn't of the grammar."""
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if m is None:
+        head = _HEAD.match(formatted, at)
+        mark = _MARK.search(formatted, head.end()) if head else None
+        if mark is None or mark[0] != END or formatted[mark.end() : mark.end() + 1] != "\n" or _MARK.search(head[1]):
             return None
-        hard = m[2] is not None
-        turns.append((_unescape_role(m[1]) if hard else m[1], unescape(m[3]) if hard else m[3], hard, m.span(3)))
-        at = m.end()
+        body, hard = formatted[head.end() : mark.start()], head[2] is not None
+        turns.append((_unescape_role(head[1]) if hard else head[1], unescape(body) if hard else body, hard, (head.end(), mark.start())))
+        at = mark.end() + 1
     return turns
 
 

@@ -71,7 +71,7 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH split AS (
   SELECT doc_id, coalesce('h' || source, '-') AS host, text, string_split(text, chr(10)) AS ls,
-         list_transform(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS bare
+         list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS bare
   FROM documents),
 pages AS (SELECT host, count(*) AS pages FROM split GROUP BY host),
 counts AS (
@@ -82,7 +82,7 @@ boiler AS (
 kept AS (
   SELECT doc_id, text, len(ls) AS n_lines,
          CASE WHEN lines IS NULL THEN ls
-              ELSE list_transform(list_filter(range(1, len(ls) + 1), i -> NOT list_contains(lines, bare[i])), i -> ls[i]) END AS k
+              ELSE list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(lines, bare[i])), lambda i: ls[i]) END AS k
   FROM split LEFT JOIN boiler USING (host))
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines - len(k), 0)::BIGINT AS n_dropped,
        CASE WHEN text IS NULL THEN NULL ELSE md5(coalesce(array_to_string(k, chr(10)), '')) END AS text_md5

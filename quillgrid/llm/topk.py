@@ -35,6 +35,8 @@ LARGEST = float(1 << 40)
 def _pack(df: DataFrame, rows: int) -> DataFrame:
     """Rows (id, v: array of double) to blocks (block, ids, n, dim, data); data is int64 by dimension."""
 
+    schema = pa.schema([("block", pa.string()), ("ids", pa.binary()), ("n", pa.int32()), ("dim", pa.int32()), ("data", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -45,7 +47,7 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
             data = np.zeros((dim, len(vectors)), np.int64)
             for i, v in enumerate(vectors):
                 data[: len(v), i] = v
-            return pa.RecordBatch.from_pylist([{"block": f"{task}-{n}", "ids": np.array(ids, np.int64).tobytes(), "n": len(ids), "dim": dim, "data": data.tobytes()}])
+            return pa.RecordBatch.from_pylist([{"block": f"{task}-{n}", "ids": np.array(ids, np.int64).tobytes(), "n": len(ids), "dim": dim, "data": data.tobytes()}], schema)
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -142,8 +144,8 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::DOUBLE) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)

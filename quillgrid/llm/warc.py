@@ -159,7 +159,7 @@ joined AS (
 SELECT record_id, matched_id, outcome, canonical_url,
        CASE WHEN outcome = 'resolved' THEN array_to_string(list_sort(list_concat(list_concat(perm, ptag), list_filter(
          ['cache-control=' || fcc, 'content-type=text/html', 'etag=' || fetag, 'last-modified=' || flm],
-         x -> x IS NOT NULL AND NOT list_contains(list_transform(list_concat(perm, ptag), y -> split_part(y, '=', 1)), split_part(x, '=', 1))))), '|')
+         lambda x: x IS NOT NULL AND NOT list_contains(list_transform(list_concat(perm, ptag), lambda y: split_part(y, '=', 1)), split_part(x, '=', 1))))), '|')
        ELSE own END AS headers,
        CASE WHEN outcome = 'resolved' THEN md5(body) END AS body_md5,
        CASE WHEN outcome = 'resolved' THEN length(body) END AS body_chars
