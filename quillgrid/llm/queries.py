@@ -6,6 +6,7 @@ from quillgrid.llm.bpe import op1_bpe
 from quillgrid.llm.chat import OP9_SQL, op9_chat
 from quillgrid.llm.linededup import OP2_SQL, op2_linededup
 from quillgrid.llm.mixing import op6_mixing
+from quillgrid.llm.quality import op10_quality
 from quillgrid.llm.repetition import op4_repetition
 from quillgrid.llm.simhash import op5_simhash
 from quillgrid.llm.topk import OP8_SQL, op8_topk
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_topk": op8_topk,
     "op9_chat": op9_chat,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op2_linededup": OP2_SQL, "op3_warc": OP3_SQL, "op8_topk": OP8_SQL, "op9_chat": OP9_SQL}
