@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillgrid.llm.bpe import op1_bpe
 from quillgrid.llm.chat import OP9_SQL, op9_chat
 from quillgrid.llm.linededup import OP2_SQL, op2_linededup
+from quillgrid.llm.lm import op7_suffixtree
 from quillgrid.llm.mixing import op6_mixing
 from quillgrid.llm.quality import op10_quality
 from quillgrid.llm.repetition import op4_repetition
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_repetition": op4_repetition,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op7_suffixtree": op7_suffixtree,
     "op8_topk": op8_topk,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,

@@ -52,10 +52,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 class _Block:
-    def __init__(self, name: str, buckets: int):
-        self.name, self.buckets, self.bytes, self.parts = name, buckets, 0, []
+    def __init__(self, name: str, buckets: int, count: int | None = None):
+        self.name, self.buckets, self.bytes, self.parts, self.count = name, buckets, 0, [], count
         self.vocabulary: dict[bytes, int] = defaultdict()
         self.vocabulary.default_factory = self.vocabulary.__len__
+        self.counted: list[np.ndarray | None] = []
         self.fresh()
 
     def fresh(self) -> None:
@@ -77,9 +78,19 @@ class _Block:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keep.schema) as w:
                 w.write_table(keep)
+            self.counted.append(keep.column(self.count).to_numpy() if self.count is not None else None)
             self.parts.append((zstandard.compress(sink.getvalue().to_pybytes(), 3), np.array(self.lengths, np.uint32), np.concatenate(self.codes)))
             self.fresh()
 
+    def _numbers(self, words: int) -> np.ndarray | None:
+        """How often each word is in the texts that count."""
+        if self.count is None:
+            return None
+        total = np.zeros(words, np.int64)
+        for flags, (_, lengths, codes) in zip(self.counted, self.parts, strict=True):
+            total += np.bincount(codes[np.repeat(flags.astype(bool), lengths)], minlength=words)
+        return total
+
     def out(self) -> Iterator[pa.RecordBatch]:
         """Codes are dealt anew, bucket by bucket, so that the buckets' answers in order are the codes' answers."""
         self.cut()
@@ -90,9 +101,12 @@ class _Block:
         code = np.empty(len(words), np.uint32)
         code[order] = np.arange(len(words), dtype=np.uint32)
         ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-        rows, start = [], 0
+        rows, start, number = [], 0, self._numbers(len(words))
         for end in ends.tolist() if len(words) else []:
-            rows.append((self.name, int(bucket[order[start]]), -1, zstandard.compress(b"\n".join(words[order[start:end]]), 3)))
+            blob = zstandard.compress(b"\n".join(words[order[start:end]]), 3)
+            if number is not None:
+                blob = len(blob).to_bytes(8, "little") + blob + pack(number[order[start:end]])
+            rows.append((self.name, int(bucket[order[start]]), -1, blob))
             start = end
         name = f"{self.name}-{crc32(b' '.join(words))}-{self.bytes}"  # a block that is made anew can't pass for another
         yield _batch([(name, *row[1:]) for row in rows])
@@ -106,14 +120,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "bucket", "part", "blob"])
 
 
-def encode_blocks(df: DataFrame, text: str, keep: list[str], name: str) -> DataFrame:
+def encode_blocks(df: DataFrame, text: str, keep: list[str], name: str, count: str | None = None, written: bool = False) -> DataFrame:
     """The blocks of df's texts; ``keep`` are the columns that come back with each text. A null text is empty.
 
     Words and codes are read from separate evaluations, which costs a second scan and no disk. A plan that deals rows
-    out may deal them otherwise the second time, so such a df is written first.
+    out may deal them otherwise the second time, so such a df is written first; ``written`` writes the blocks instead,
+    for a df that is dear to evaluate. With ``count``, a boolean column of keep without nulls, entries also say how
+    often each word is in the texts where it is true.
     """
     df = df.select(*dict.fromkeys([*keep, text]))
-    if re.search("Exchange|Sort|Limit", df._jdf.queryExecution().executedPlan().toString()):
+    if not written and re.search("Exchange|Sort|Limit", df._jdf.queryExecution().executedPlan().toString()):
         df = materialize(df, name)
     small_batches(df.sparkSession)
     buckets = shuffle_width(df.sparkSession, 256)
@@ -126,7 +142,7 @@ def encode_blocks(df: DataFrame, text: str, keep: list[str], name: str) -> DataF
             task = batch.column(text_at + 1)[0].as_py() if len(batch) else None
             for i, raw in enumerate(batch.column(text_at).cast(pa.binary()).to_pylist()):
                 if block is None:
-                    block = _Block(f"{task}-{n}", buckets)
+                    block = _Block(f"{task}-{n}", buckets, keep.index(count) if count else None)
                 block.add(kept.slice(i, 1), raw or b"")
                 if block.bytes >= BLOCK_BYTES:
                     yield from block.out()
@@ -135,7 +151,8 @@ def encode_blocks(df: DataFrame, text: str, keep: list[str], name: str) -> DataF
             yield from block.out()
 
     picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"), F.spark_partition_id().alias("__task"))
-    return picked.mapInArrow(tidy(run), BLOCKS)
+    blocks = picked.mapInArrow(tidy(run), BLOCKS)
+    return materialize(blocks, name) if written else blocks
 
 
 def answer_words(blocks: DataFrame, answer: Callable[[Iterator[tuple[str, list[bytes]]]], Iterator[tuple[str, bytes]]]) -> DataFrame:
@@ -157,7 +174,7 @@ def answer_words(blocks: DataFrame, answer: Callable[[Iterator[tuple[str, list[b
     def answered(held, bucket) -> Iterator[pa.RecordBatch]:
         rows = []
         for block, blob in answer([(k, v) for k, v in held]):
-            rows.append((block, bucket, -1, blob))
+            rows.append((block, bucket, -1 if block else -2, blob))
             if len(rows) >= 64:
                 yield _batch(rows)
                 rows = []
@@ -168,6 +185,29 @@ def answer_words(blocks: DataFrame, answer: Callable[[Iterator[tuple[str, list[b
     return words.sortWithinPartitions("bucket", "block").mapInArrow(tidy(run), BLOCKS)
 
 
+def answer_counts(blocks: DataFrame) -> DataFrame:
+    """Each word's count over all blocks, for each block; and per bucket a row of part -2: words counted, their sum."""
+
+    def answer(held: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+        total: dict[bytes, int] = defaultdict(int)
+        for _, blob in held:
+            words, numbers = counted_words(blob)
+            for w, n in zip(words, numbers.tolist(), strict=True):
+                total[w] += n
+        for block, blob in held:
+            words = counted_words(blob)[0]
+            yield block, zstandard.compress(np.fromiter(map(total.__getitem__, words), "<u8", len(words)).tobytes(), 3)
+        seen = [n for n in total.values() if n]
+        yield "", len(seen).to_bytes(8, "big") + sum(seen).to_bytes(8, "big")
+
+    return answer_words(blocks, answer)
+
+
+def counted_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    return words_of(blob[8 : 8 + n]), unpack(blob[8 + n :])[0]
+
+
 def words_of(blob: bytes) -> list[bytes]:
     return zstandard.decompress(blob).split(b"\n")
 
