@@ -137,5 +137,27 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     return done.select(*cols).unionByName(empty.select(*cols))
 
 
+def taken_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself, as rows of df: a document once for each time it is taken, cut after its last word taken.
+
+    Rows that the mix takes nothing of go. Only where a source's target ends is a document cut, so one at most for
+    each source; the cut keeps the white space between words. Equal rows count together.
+    """
+    hashed = df.withColumn("__hash", F.xxhash64(text))
+    taken = mix(hashed, doc_id, text, source, keep=("__hash",))
+    taken = taken.groupBy(F.col(doc_id).alias("__id"), F.col("__hash").alias("__h")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken")).where("__taken > 0")
+    taken = materialize(taken, "taken")
+    once = hashed.dropDuplicates([doc_id, "__hash"])
+    met = once.join(taken, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
+    times = F.floor(F.col("__taken") / F.col("__size")).cast("int")
+    rest = (F.col("__taken") % F.col("__size")).cast("int")
+    counts = F.concat(F.array_repeat(F.lit(0), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    each = met.withColumn("__cut", F.explode(counts))
+    words = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the white space after it
+    lead = F.when(F.col(text).rlike(r"\A[\x20\x09-\x0D]"), 1).otherwise(0)
+    cut = F.rtrim(F.array_join(F.slice(words, F.lit(1), F.col("__cut") + lead), ""))
+    return each.withColumn(text, F.when(F.col("__cut") == 0, F.col(text)).otherwise(cut)).select(*df.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

@@ -198,19 +198,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(materialize(measured.select("stats", "label", "fold").coalesce(8), "labelled"))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df's other columns, score and predicted."""
+def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
+    """df's other columns (and its text, if asked for), score and predicted."""
     small_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = np.array([statistics(x or b"") for x in batch.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, len(NAMES))
-            keep = [i for i in range(batch.num_columns) if i != at]
+            keep = [i for i in range(batch.num_columns) if with_text or i != at]
             scores = np.clip(model.scores(stats), 0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*(batch.schema.names[i] for i in keep), "score", "predicted"])
 
-    fields = [f for f in df.schema.fields if f.name != text]
+    fields = [f for f in df.schema.fields if with_text or f.name != text]
     return df.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 

@@ -125,13 +125,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each group of near duplicates the rows of the least doc_id; of equal rows one. Columns as in df.
-
-    Rows of that id whose texts differ (ids that are not unique) all stay only if their fingerprints differ.
-    """
-    found = near_duplicates(df.select(doc_id, text), doc_id, text)
-    chosen = materialize(found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy(doc_id).agg(F.min("fp").alias("__fp")), "chosen")
-    return df.join(chosen, df[doc_id].eqNullSafe(chosen[doc_id]), "left_semi").dropDuplicates([doc_id])
+    """One row of each group of near duplicates: that of least doc_id, of several that of least fingerprint and hash."""
+    hashed = df.withColumn("__hash", F.xxhash64(text))
+    found = near_duplicates(hashed.select(doc_id, "__hash", text), doc_id, text, keep=("__hash",))
+    found = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    # a group without any id is told apart by its fingerprint
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")]
+    chosen = found.groupBy(*group).agg(F.min(F.struct("fp", "__hash")).alias("m")).select(F.col("component_id").alias("__id"), F.col("m.__hash").alias("__h"))
+    chosen = materialize(chosen.distinct(), "chosen")
+    met = hashed.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    return met.dropDuplicates([doc_id, "__hash"]).drop("__hash")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
