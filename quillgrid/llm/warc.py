@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillgrid.llm.common import table
+from quillgrid.llm.common import materialize, table
 
 SLICE_SECONDS = 3600
 #: Header fields that describe the body sent or the connection, which a 304 does not replace.
@@ -66,16 +66,21 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
 
     Columns of ``records``: record_id, warc_type, target_uri, warc_date, status, headers (a map), body.
     """
-    records = records.dropDuplicates(["record_id"])
-    is_full = (F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("body").isNotNull()
+    is_full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("body").isNotNull(), F.lit(False))
     usable = F.col("target_uri").isNotNull() & F.col("warc_date").isNotNull() & F.col("record_id").isNotNull()
-    wanted = records.where((F.coalesce(is_full, F.lit(False)) | (F.col("warc_type") == "revisit")) & usable)
-    spots = wanted.select(canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").cast("timestamp").alias("at"), "record_id", F.coalesce(is_full, F.lit(False)).alias("full"))
-    found = latest_full(spots, slice_seconds).where("full_id is not null")
-    revisits = records.where(F.col("warc_type") == "revisit").drop("body")
-    matched = revisits.join(found, "record_id", "left")
-    fulls = records.where(is_full).select(F.col("record_id").alias("full_id"), F.col("headers").alias("__stored"), F.col("body").alias("__body"))
-    met = matched.join(fulls, "full_id", "left").withColumn("__old", _lower_keys(F.col("__stored"))).withColumn("__new", _lower_keys(F.col("headers")))
+    wanted = records.where((is_full | (F.col("warc_type") == "revisit")) & usable)
+    spots = wanted.select(canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").cast("timestamp").alias("at"), "record_id", is_full.alias("full"))
+    found = latest_full(spots.dropDuplicates(["record_id"]), slice_seconds).where("full_id is not null")
+    revisits = records.where(F.col("warc_type") == "revisit").drop("body").dropDuplicates(["record_id"])
+    # revisits without a match stay out of the join with bodies, where their null would be a hot key
+    matched = materialize(revisits.join(found, "record_id", "left"), "revisits")
+    repeated = materialize(records.where(is_full).groupBy("record_id").count().where("count > 1").select("record_id"), "repeated")
+    fulls = records.where(is_full).select("record_id", F.col("headers").alias("__stored"), F.col("body").alias("__body"))
+    once = fulls.join(repeated, "record_id", "left_anti").unionByName(fulls.join(repeated, "record_id", "left_semi").dropDuplicates(["record_id"]))
+    bodies = once.withColumnRenamed("record_id", "full_id")
+    without = matched.where("full_id is null").withColumn("__stored", NO_HEADERS).withColumn("__body", F.lit(None).cast(records.schema["body"].dataType))
+    met = matched.where("full_id is not null").join(bodies, "full_id").unionByName(without)
+    met = met.withColumn("__old", _lower_keys(F.col("__stored"))).withColumn("__new", _lower_keys(F.col("headers")))
     tag = lambda c: F.regexp_replace(F.trim(F.col(c)["etag"]), "^W/", "")
     date = lambda c: F.trim(F.col(c)["last-modified"])
     agrees = F.when(tag("__old").isNotNull() & tag("__new").isNotNull(), tag("__old") == tag("__new")).when(date("__old").isNotNull() & date("__new").isNotNull(), date("__old") == date("__new"))
