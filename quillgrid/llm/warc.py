@@ -28,7 +28,10 @@ from quillgrid.llm.common import materialize, table
 SLICE_SECONDS = 3600
 #: Header fields that describe the body sent or the connection, which a 304 does not replace.
 NOT_REPLACED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
-NO_HEADERS = F.create_map().cast(T.MapType(T.StringType(), T.StringType()))
+
+
+def no_headers() -> Column:
+    return F.create_map().cast(T.MapType(T.StringType(), T.StringType()))
 
 
 def canonical_url(url: Column) -> Column:
@@ -41,7 +44,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def _lower_keys(headers: Column) -> Column:
-    entries = F.transform(F.map_entries(F.coalesce(headers, NO_HEADERS)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    entries = F.transform(F.map_entries(F.coalesce(headers, no_headers())), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     firsts = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     pick = F.transform(firsts, lambda k: F.struct(k.alias("key"), F.filter(entries, lambda e: e["key"] == k)[0]["value"].alias("value")))
     return F.map_from_entries(pick)
@@ -78,7 +81,7 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     fulls = records.where(is_full).select("record_id", F.col("headers").alias("__stored"), F.col("body").alias("__body"))
     once = fulls.join(repeated, "record_id", "left_anti").unionByName(fulls.join(repeated, "record_id", "left_semi").dropDuplicates(["record_id"]))
     bodies = once.withColumnRenamed("record_id", "full_id")
-    without = matched.where("full_id is null").withColumn("__stored", NO_HEADERS).withColumn("__body", F.lit(None).cast(records.schema["body"].dataType))
+    without = matched.where("full_id is null").withColumn("__stored", no_headers()).withColumn("__body", F.lit(None).cast(records.schema["body"].dataType))
     met = matched.where("full_id is not null").join(bodies, "full_id").unionByName(without)
     met = met.withColumn("__old", _lower_keys(F.col("__stored"))).withColumn("__new", _lower_keys(F.col("headers")))
     tag = lambda c: F.regexp_replace(F.trim(F.col(c)["etag"]), "^W/", "")
