@@ -20,10 +20,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid.functions.schema import struct
+
 CLOSE, NULL, FALSE, TRUE, NUMBER, STRING, ARRAY, OBJECT = -1, 0, 1, 2, 3, 4, 5, 6
 TYPE_NAMES = {"null": (NULL,), "boolean": (FALSE, TRUE), "number": (NUMBER,), "string": (STRING,), "array": (ARRAY,), "object": (OBJECT,)}
 
-_PLAIN = "array<struct<r:int,n:double,s:string>>"
+_PLAIN = T.ArrayType(struct("r int, n double, s string"))
 KEY = "array<struct<r:int,n:double,s:string collate UNICODE>>"
 
 

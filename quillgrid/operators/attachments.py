@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "id string, num int, hash string, name string, content_type string, digest string, revpos int, length bigint, encoding string, data binary"
 #: Content types that are stored compressed.
@@ -18,12 +19,12 @@ def digest(data: Column) -> Column:
     return F.concat(F.lit("md5-"), F.base64(F.unhex(F.md5(data))))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda b: gzip.compress(bytes(b), mtime=0), na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda b: gzip.decompress(bytes(b)), na_action="ignore")
 

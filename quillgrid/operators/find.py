@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.errors import NotFound, QueryError
+from quillgrid.functions.collation import KEY
 from quillgrid.plans.compile import Row, Typed, Variant, compile_selector, field_of, project, project_json
 from quillgrid.plans.selector import Doc, normalize, parse, ranges
 
@@ -153,6 +154,14 @@ class Found:
         return docs, bookmark
 
 
+def _again(value: Any) -> Column:
+    """A key of a bookmark as a constant; keys of JSON values are token lists."""
+    if isinstance(value, list) and value and isinstance(value[0], dict):
+        token = [F.struct(F.lit(t["r"]).alias("r"), F.lit(t["n"]).cast("double").alias("n"), F.lit(t["s"]).cast("string").alias("s")) for t in value]
+        return F.array(*token).cast(KEY)
+    return F.lit(value)
+
+
 def encode_bookmark(values: list) -> str:
     return base64.urlsafe_b64encode(json.dumps(values, default=str).encode()).decode().rstrip("=")
 
@@ -189,10 +198,11 @@ def find(docs: DataFrame, request: Find | dict, doc_id: str = "_id", catalog: In
             match = match.where(F.lit(False))
             continue
         match = match.where(value.present())
-        keys.append(value.col if isinstance(value, Typed) and not isinstance(value.kind, (T.StructType, T.MapType)) else value.key())
+        plain = isinstance(value, Typed) and not isinstance(value.kind, (T.StructType, T.MapType))
+        keys.append(value.col if plain else value.key())
     keys.append(F.col(doc_id))
     if request.bookmark and request.bookmark != "nil":
-        after = F.struct(*[F.lit(v).alias(f"c{i}") for i, v in enumerate(decode_bookmark(request.bookmark))])
+        after = F.struct(*[_again(v).alias(f"c{i}") for i, v in enumerate(decode_bookmark(request.bookmark))])
         at = F.struct(*[k.alias(f"c{i}") for i, k in enumerate(keys)])
         match = match.where(at < after if descending else at > after)
     order = [k.desc() if descending else k.asc() for k in keys]

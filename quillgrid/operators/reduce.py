@@ -78,7 +78,7 @@ def _grouped(index: Index, rows: DataFrame, q: ViewQuery) -> tuple[DataFrame, li
     return cut.withColumn("gkey", C.json_key(F.col("key_json"))), ["gkey"], "key_json"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _truncated(keys: pd.Series, levels: pd.Series) -> pd.Series:
     return pd.Series([json.dumps(C.truncate(json.loads(k), int(n)), ensure_ascii=False) for k, n in zip(keys, levels, strict=True)])
 
@@ -162,38 +162,42 @@ def _extremes(index: Index, rows: DataFrame, by: list[str], value: str, n: int,
 
 
 def _user(index: Index, rows: DataFrame, by: list[str], reducer: Callable) -> DataFrame:
-    """A function (keys, values, rereduce): chunks inside salted parts of a group, then a rereduction of the parts."""
-    value = "value_json" if index.parts is None else "value"
-    key = F.col("key_json") if index.parts is None else json_of(F.array(*index.part_names()) if index.array and len(set(map(str, index.parts))) == 1 else F.col("k0"))
-    group = F.to_json(F.struct(*[c for c in by if c != "gkey"])) if index.parts is not None else F.col("key_json") if by else F.lit("")
-    said = F.col(value) if index.parts is None else json_of(F.col(value))
-    each = rows.select(*by, group.alias("__g") if by else F.lit("").alias("__g"), key.alias("__k"), said.alias("__v"), "id", F.pmod(F.hash("id"), F.lit(SALTS)).alias("__s"))
-    names = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in by if c != "gkey"]
+    """A function (keys, values, rereduce): chunks inside salted parts of a group, then a rereduction of the parts.
+
+    Rows: the group's columns (or key_json), value as JSON text, and error where the reduction shrinks too little.
+    """
     plain = [c for c in by if c != "gkey"]
+    if index.parts is None:
+        same, key, value = F.col("gkey").cast("array<struct<r:int,n:double,s:string>>") if by else F.lit(0), F.col("key_json"), F.col("value_json")
+        head = F.col("key_json") if by else F.lit("null")
+    else:
+        same, value = F.struct(*plain) if plain else F.lit(0), json_of(F.col("value"))
+        key = F.to_json(F.array(*[F.col(c).cast("string") for c in index.part_names()])) if index.array else json_of(F.col("k0"))
+        head = F.lit("null")
+    names = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in plain), "same bigint", "first_id string", "head string", "part string", "size bigint"])
+    each = rows.select(*plain, F.xxhash64(same).alias("same"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"), "id", key.alias("key_text"), value.alias("value_text"), head.alias("head"))
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         out = []
         for i in range(0, len(pdf), CHUNK):
-            part = pdf.iloc[i : i + CHUNK]
-            keys = [[json.loads(k), d] for k, d in zip(part["__k"], part["id"], strict=True)]
-            out.append(json.dumps(reducer(keys, [json.loads(v) for v in part["__v"]], False)))
-        head = {c: [pdf[c].iloc[0]] * len(out) for c in [*plain, "__h"]}
-        return pd.DataFrame(head | {"__id": [pdf["id"].iloc[0]] * len(out), "__v": out, "__bytes": [int(pdf["__v"].str.len().sum())] * len(out)})
+            cut = pdf.iloc[i : i + CHUNK]
+            keys = [[json.loads(k), d] for k, d in zip(cut["key_text"], cut["id"], strict=True)]
+            done = json.dumps(reducer(keys, [json.loads(v) for v in cut["value_text"]], False))
+            out.append({**{c: cut[c].iloc[0] for c in plain}, "same": cut["same"].iloc[0], "first_id": cut["id"].iloc[0], "head": cut["head"].iloc[0], "part": done, "size": int(cut["value_text"].str.len().sum())})
+        return pd.DataFrame(out)
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = [json.loads(v) for v in pdf["__v"]]
-        out = values[0] if len(values) == 1 else reducer(None, values, True)
-        text, size = json.dumps(out), int(pdf.drop_duplicates("__id")["__bytes"].sum())
-        grown = len(text) > 200 and len(text) > size / 2
-        first = pdf.sort_values("__id").iloc[0]
-        return pd.DataFrame({**{c: [first[c]] for c in plain}, "key_json": [first["__h"]], "value": [None if grown else text], "error": ["reduce_overflow_error" if grown else None]})
-
-    same = F.xxhash64(*plain) if plain else F.xxhash64(F.col("gkey").cast("array<struct<r:int,n:double,s:string>>")) if by else F.lit(0).cast("bigint")
-    each = each.withColumn("__same", same).withColumn("__h", F.col("__g"))
-    schema = ", ".join([*names, "__h string", "__id string", "__v string", "__bytes bigint"])
-    parts = each.drop("gkey").groupBy("__same", "__s").applyInPandas(lambda key_, pdf: partial(pdf).assign(__same=key_[0]), f"{schema}, __same bigint")
-    return parts.groupBy("__same").applyInPandas(final, ", ".join([*names, "key_json string", "value string", "error string"]))
+        first = pdf.sort_values("first_id").iloc[0]
+        parts = [json.loads(x) for x in pdf["part"]]
+        text, size = json.dumps(parts[0] if len(parts) == 1 else reducer(None, parts, True)), int(pdf["size"].sum())
+        grown = len(text) > 200 and 2 * len(text) > size
+        return pd.DataFrame([{**{c: first[c] for c in plain}, "key_json": first["head"], "value": None if grown else text, "error": "reduce_overflow_error" if grown else None}])
+
+    parts = each.groupBy("same", "salt").applyInPandas(partial, names)
+    said = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in plain), "key_json string", "value string", "error string"])
+    out = parts.groupBy("same").applyInPandas(final, said)
+    return out.withColumn("gkey", C.json_key(F.col("key_json"))) if "gkey" in by else out
 
 
 def levels(index: Index, deepest: int) -> DataFrame:

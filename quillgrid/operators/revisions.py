@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REVS = T.StructType.fromDDL("id string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string, seq bigint")
+from quillgrid.functions.schema import struct
+
+REVS = struct("id string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string, seq bigint")
 REVS_LIMIT = 1000
 
 
@@ -52,19 +54,27 @@ def all_leaves(revs: DataFrame) -> DataFrame:
     return each.select("id", F.transform("c", lambda x: F.concat_ws("-", x["num"].cast("string"), x["hash"])).alias("revs"))
 
 
+CHAINS = struct("id string, leaf_num int, leaf_hash string, depth int, num int, hash string")
+
+
 def ancestry(revs: DataFrame, starts: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:
-    """(id, leaf_num, leaf_hash, depth, num, hash): the parent chain of each start (id, num, hash), newest first."""
-    spark = revs.sparkSession
-    revs.select("id", "num", "hash", "parent_num", "parent_hash").createOrReplaceTempView("__qg_revs")
-    starts.select("id", "num", "hash").createOrReplaceTempView("__qg_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(id, leaf_num, leaf_hash, depth, num, hash, parent_num, parent_hash) MAX RECURSION LEVEL {limit + 1} AS (
-          SELECT r.id, r.num, r.hash, 0, r.num, r.hash, r.parent_num, r.parent_hash
-          FROM __qg_revs r JOIN __qg_starts s ON r.id = s.id AND r.num = s.num AND r.hash = s.hash
-          UNION ALL
-          SELECT c.id, c.leaf_num, c.leaf_hash, c.depth + 1, r.num, r.hash, r.parent_num, r.parent_hash
-          FROM chain c JOIN __qg_revs r ON r.id = c.id AND r.num = c.parent_num AND r.hash = c.parent_hash)
-        SELECT id, leaf_num, leaf_hash, depth, num, hash FROM chain""")
+    """(id, leaf_num, leaf_hash, depth, num, hash): the parent chain of each start (id, num, hash), newest first.
+
+    A chain is walked inside its document's tree, so one shuffle does for any depth; a recursive query would take a
+    job for each level.
+    """
+
+    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        tree, out = Tree(own), []
+        for s in asked.itertuples(index=False):
+            for depth, at in zip(range(limit), tree.chain((int(s.anum), s.ahash)), strict=False):
+                out.append({"id": s.aid, "leaf_num": s.anum, "leaf_hash": s.ahash, "depth": depth, "num": at[0], "hash": at[1]})
+        return frame(out, CHAINS)
+
+    asked = starts.select(F.col("id").alias("aid"), F.col("num").alias("anum"), F.col("hash").alias("ahash")).distinct()
+    own = revs.select(F.col("id").alias("rid"), "num", "hash", "parent_num", "parent_hash")
+    own = own.join(asked.select(F.col("aid").alias("rid")).distinct(), "rid", "left_semi")
+    return own.groupBy("rid").cogroup(asked.groupBy("aid")).applyInPandas(run, CHAINS)
 
 
 def missing_revs(revs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -127,9 +137,14 @@ class Tree:
         return max(self.tips(), key=lambda k: (not self.rows[k].deleted, *k), default=None)
 
 
-def _frame(rows: list, names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame([r._asdict() for r in rows], columns=names)
-    return out.astype({"num": "Int32", "parent_num": "Int32", "seq": "Int64"})
+def frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
+    """Rows as objects, with whole numbers that pandas had turned into floats made whole again."""
+    def plain(x: object, kind: T.DataType) -> object:
+        if x is None or x is pd.NA or x != x:  # noqa: PLR0124
+            return None
+        return int(x) if isinstance(kind, T.IntegralType) else bool(x) if isinstance(kind, T.BooleanType) else x
+
+    return pd.DataFrame({f.name: pd.Series([plain(r.get(f.name), f.dataType) for r in rows], dtype=object) for f in schema})
 
 
 def stem(revs: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:
@@ -140,7 +155,7 @@ def stem(revs: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:
         tips = tree.tips()
         kept = {k for tip in tips for _, k in zip(range(limit), tree.chain(tip), strict=False)}
         rows = [tree.rows[k]._replace(body=tree.rows[k].body if k in tips else None) for k in tree.rows if k in kept]
-        return _frame(rows, list(pdf.columns))
+        return frame([r._asdict() for r in rows], REVS)
 
     return revs.select(REVS.names).groupBy("id").applyInPandas(run, REVS)
 
@@ -159,7 +174,7 @@ def purge(revs: DataFrame, requests: DataFrame) -> DataFrame:
                 up = tree.parent.pop(at)
                 tree.rows.pop(at)
                 at = up
-        return _frame(list(tree.rows.values()), REVS.names)
+        return frame([r._asdict() for r in tree.rows.values()], REVS)
 
     touched = revs.select(REVS.names).join(asked, "id")
     rest = revs.select(REVS.names).join(asked, "id", "left_anti")

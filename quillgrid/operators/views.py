@@ -190,14 +190,31 @@ class ViewQuery:
             raise bad("Multi-key fetches for reduce views must use `group=true`")
         if self.skip < 0 or self.limit is not None and self.limit < 0:
             raise bad("`skip` and `limit` must not be negative")
-        if self.startkey is not UNSET and self.endkey is not UNSET and all(C.rank_of(x) != C.STRING for x in (self.startkey, self.endkey)):
-            order = C.compare(self.startkey, self.endkey, lambda a, b: 0)
+        if self.startkey is not UNSET and self.endkey is not UNSET:
+            order = _known_order(self.startkey, self.endkey)
             if order and (order > 0) != self.descending:
                 raise bad("No rows can match your key range, reverse your start_key and end_key or set descending=" + ("false" if self.descending else "true"))
         if partitioned != (self.partition is not None):
             raise bad("`partition` parameter is mandatory for queries to this view." if partitioned else "`partition` parameter is not supported on this view")
 
 
+def _known_order(a: Any, b: Any) -> int:
+    """Order of two keys, 0 if it rests on two different strings, whose collation only Spark knows."""
+
+    class Unknown(Exception):
+        pass
+
+    def strings(x: str, y: str) -> int:
+        if x != y:
+            raise Unknown
+        return 0
+
+    try:
+        return C.compare(a, b, strings)
+    except Unknown:
+        return 0
+
+
 def _reach(index: Index, q: ViewQuery) -> Column:
     """The predicate of key, range and document bounds. Plain typed keys compare natively, so they reach the scan."""
     test = F.lit(True) if q.partition is None else F.col("part") == F.lit(q.partition)

@@ -11,19 +11,20 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillgrid.errors import QueryError
 from quillgrid.functions.revid import next_rev, parse_rev
-from quillgrid.operators.revisions import REVS, Tree
+from quillgrid.functions.schema import struct
+from quillgrid.operators.revisions import REVS, Tree, frame
 
 #: pos: place in the request; rev: the expected revision, or null; body: JSON text.
-EDITS = T.StructType.fromDDL("pos bigint, id string, rev string, deleted boolean, body string")
+EDITS = struct("pos bigint, id string, rev string, deleted boolean, body string")
 OUTCOMES = "pos bigint, id string, ok boolean, rev string, error string, reason string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string"
 
 Validator = Callable[[dict, dict | None], tuple[str, str] | None]
@@ -42,11 +43,16 @@ def parse_document(text: str) -> tuple[dict, dict]:
         raise QueryError("doc_validation", f"Bad special document member: {strange[0]}")
     if "_id" in meta and not isinstance(meta["_id"], str):
         raise QueryError("illegal_docid", "Document id must be a string")
-    if "_id" in meta and meta["_id"].startswith("_") and not re.match("_design/|_local/", meta["_id"]):
-        raise QueryError("illegal_docid", "Only reserved document ids may start with underscore.")
+    if "_id" in meta:
+        check_id(meta["_id"])
     return meta, {k: v for k, v in doc.items() if not k.startswith("_")}
 
 
+def check_id(doc_id: str) -> None:
+    if not doc_id or doc_id.startswith("_") and not re.match("_design/.|_local/.", doc_id):
+        raise QueryError("illegal_docid", "Only reserved document ids may start with underscore.")
+
+
 def new_id(kind: str = "random") -> Column:
     """An id for each row: random, or utc_random (time first, so ids sort by time)."""
     text = F.replace(F.uuid(), F.lit("-"), F.lit(""))
@@ -69,7 +75,7 @@ def apply_edits(revs: DataFrame, edits: DataFrame, validate: Validator | None =
         tree, out = Tree(old), []
         for e in new.itertuples(index=False):
             out.append(_edit(tree, e, validate))
-        return pd.DataFrame(out, columns=[f.name for f in T.StructType.fromDDL(OUTCOMES)]).astype({"num": "Int32", "parent_num": "Int32", "pos": "Int64"})
+        return frame(out, struct(OUTCOMES))
 
     touched = revs.join(edits.select("id").distinct(), "id", "left_semi")
     none = lambda kind: F.lit(None).cast(kind)
@@ -83,6 +89,7 @@ def _edit(tree: Tree, e, validate: Validator | None) -> dict:
     won = tree.winner()
     live = won is not None and not tree.rows[won].deleted
     try:
+        check_id(e.id)
         expected = parse_rev(e.rev) if isinstance(e.rev, str) else None
         meta, body = parse_document(e.body if isinstance(e.body, str) else "{}")
     except (QueryError, ValueError) as bad:
@@ -99,7 +106,7 @@ def _edit(tree: Tree, e, validate: Validator | None) -> dict:
     raw = json.dumps(body, ensure_ascii=False, separators=(",", ":"))
     num, digest = next_rev(deleted, won, raw)
     row = dict(zip(REVS.names, (e.id, num, digest, won[0] if won else None, won[1] if won else None, deleted, raw, None), strict=True))
-    tree.rows[num, digest] = pd.Series(row)
+    tree.rows[num, digest] = SimpleNamespace(**row)
     tree.parent[num, digest] = won
     return out | row | {"ok": True, "rev": f"{num}-{digest}", "error": None, "reason": None}
 

@@ -9,7 +9,7 @@ rank is taken first and the comparison made inside that rank.
 from __future__ import annotations
 
 import json
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +20,6 @@ from quillgrid.errors import SelectorError
 from quillgrid.functions import collation as C
 from quillgrid.plans.selector import Cond, Doc, Field, parse
 
-TRUE, FALSE = F.lit, F.lit
-
 
 def _all(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, cols) if cols else F.lit(True)
@@ -161,7 +159,10 @@ def _document(node: Doc | Field, doc: Any) -> Column:
         if node.cond.op == "$exists":
             there = value.present() if value is not None else F.lit(False)
             return there if node.cond.arg else ~there
-        return _sure(_value(node.cond, value) & value.present()) if value is not None else F.lit(False)
+        if value is None:
+            return F.lit(False)
+        test = value.present() & _value(node.cond, value)
+        return test if isinstance(value, Typed) else _sure(test)  # typed conditions are null only where the value is
     each = [_document(x, doc) for x in node.items]
     if node.op == "and":
         return _all(each)
@@ -169,7 +170,7 @@ def _document(node: Doc | Field, doc: Any) -> Column:
 
 
 def _value(cond: Cond, v: Any) -> Column:
-    """A condition on a value that is there; never null."""
+    """A condition on a value that is there; null at most where a typed value is null."""
     op, arg = cond.op, cond.arg
     if op in ("$eq", "$ne", "$lt", "$lte", "$gt", "$gte"):
         return _compare(op, arg, v)
@@ -178,7 +179,7 @@ def _value(cond: Cond, v: Any) -> Column:
     if op in ("$in", "$nin"):
         found = _any([_equal(x, v) for x in arg])
         if (inner := v.elements()) is not None and arg:
-            found = found | _sure(F.exists(inner[0], lambda e: _any([_equal(x, inner[1](e)) for x in arg])))
+            found = found | _sure(F.exists(inner[0], lambda e: _sure(_any([_equal(x, inner[1](e)) for x in arg]))))
         return found if op == "$in" else ~found
     if op == "$type":
         return _sure(v.has_rank(*C.TYPE_NAMES[arg])) if arg in C.TYPE_NAMES else F.lit(False)
@@ -204,13 +205,17 @@ def _value(cond: Cond, v: Any) -> Column:
     if op == "$size":
         return _sure(F.size(array) == arg)
     if op == "$all":
-        return _sure(array.isNotNull() & _all([F.exists(array, lambda e, x=x: _equal(x, wrap(e))) for x in arg]))
+        return _sure(array.isNotNull() & _all([F.exists(array, partial(_is, wrap, x)) for x in arg]))
     if op in ("$elemMatch", "$allMatch"):
         test = (lambda e: _sure(_value(arg, wrap(e)) & wrap(e).present())) if isinstance(arg, Cond) else (lambda e: _document(arg, wrap(e)))
         return _sure(F.exists(array, test) if op == "$elemMatch" else F.forall(array, test))
     raise SelectorError("invalid_operator", f"Invalid operator: {op}")
 
 
+def _is(wrap: Any, item: Any, element: Column) -> Column:
+    return _sure(_equal(item, wrap(element)))
+
+
 def _never(v: Any, rank: int) -> bool:
     return isinstance(v, Typed) and v.fixed != rank
 
@@ -222,9 +227,9 @@ def _equal(arg: Any, v: Any) -> Column:
     if rank in (C.NULL, C.FALSE, C.TRUE):
         return _sure(v.has_rank(rank))
     if rank == C.NUMBER:
-        return _sure(v.number() == F.lit(arg)) if isinstance(v, Typed) else _sure(v.has_rank(rank) & (v.number() == F.lit(float(arg))))
+        return v.number() == F.lit(arg) if isinstance(v, Typed) else _sure(v.has_rank(rank) & (v.number() == F.lit(float(arg))))
     if rank == C.STRING:
-        return _sure(v.string() == F.lit(arg)) if isinstance(v, Typed) else _sure(v.has_rank(rank) & (v.string(True) == F.lit(arg)))
+        return v.string() == F.lit(arg) if isinstance(v, Typed) else _sure(v.has_rank(rank) & (v.string(True) == F.lit(arg)))
     # variants sort members and write numbers in one way, so equal values have equal text
     there = F.to_json(F.try_parse_json(v.json()))
     return _sure(v.has_rank(rank) & (there == F.to_json(F.parse_json(F.lit(json.dumps(arg))))))
@@ -246,7 +251,7 @@ def _compare(op: str, arg: Any, v: Any) -> Column:
         return _sure(beyond | (v.has_rank(rank) & _ordered(op, v.key(), C.key_literal(arg, True))))
     there, x = (v.number(), F.lit(arg if isinstance(v, Typed) else float(arg))) if rank == C.NUMBER else (v.string(True), F.lit(arg))
     test = _ordered(op, there, x)
-    return _sure(test) if isinstance(v, Typed) else _sure(beyond | (v.has_rank(rank) & test))
+    return test if isinstance(v, Typed) else _sure(beyond | (v.has_rank(rank) & test))
 
 
 def _ordered(op: str, a: Column, b: Column) -> Column:
@@ -279,7 +284,7 @@ def project_json(body: Column, fields: list[str]) -> Column:
     return _project_json(body, F.lit(json.dumps([f.split(".") for f in fields])))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _project_json(bodies, paths):  # noqa: ANN001, ANN202
     wanted = json.loads(paths.iloc[0]) if len(paths) else []
     return bodies.map(lambda x: json.dumps(project_value(json.loads(x), wanted), ensure_ascii=False, separators=(",", ":")), na_action="ignore")
