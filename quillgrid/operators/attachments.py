@@ -39,7 +39,7 @@ def compressible(content_type: Column) -> Column:
 def put(rows: DataFrame, compress: bool = True) -> DataFrame:
     """Rows (id, num, hash, name, content_type, data) as stored attachments of that generation."""
     squeeze = compressible(F.col("content_type")) if compress else F.lit(False)
-    stored = F.when(squeeze, gzipped("data")).otherwise(F.col("data")) if compress else F.col("data")
+    stored = F.coalesce(gzipped(F.when(squeeze, F.col("data"))), "data") if compress else F.col("data")
     return rows.select("id", "num", "hash", "name", "content_type", digest(stored).alias("digest"), F.col("num").alias("revpos"), F.length("data").cast("bigint").alias("length"), F.when(squeeze, F.lit("gzip")).alias("encoding"), stored.alias("data"))
 
 
@@ -52,7 +52,7 @@ def carried(stored: DataFrame, edits: DataFrame) -> DataFrame:
 def get(stored: DataFrame, doc_id: str, num: int, hash_: str, name: str, start: int = 0, end: int | None = None) -> DataFrame:
     """The plain bytes of an attachment, or an inclusive range of them."""
     own = stored.where((F.col("id") == doc_id) & (F.col("num") == num) & (F.col("hash") == hash_) & (F.col("name") == name))
-    plain = F.when(F.col("encoding") == "gzip", gunzipped("data")).otherwise(F.col("data"))
+    plain = F.coalesce(gunzipped(F.when(F.col("encoding") == "gzip", F.col("data"))), "data")
     rows = own.select("content_type", "digest", "length", plain.alias("data"))
     size = F.length("data") if end is None else F.lit(end - start + 1)
     return rows.withColumn("data", F.substring("data", F.lit(start + 1), size))
