@@ -110,18 +110,18 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), shingle: int = 3) -> DataFrame:
-    """doc_id, the columns ``keep``, fp and component_id, one row for each row of df."""
+    """doc_id, the columns ``keep``, fp, root (a fingerprint that names the group) and component_id, for each row."""
     picked = df.select(doc_id, *keep, text)
     marked = materialize(fingerprints(picked, text, shingle=shingle), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
     roots = components(links(fps.select("fp")), "simhash")
     if roots is None:
-        label = fps.select("fp", F.col("least").alias("component_id"))
+        label = fps.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
         rooted = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
         least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-        label = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(materialize(label, "labels"), "fp").select(doc_id, *keep, "fp", "component_id")
+        label = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(materialize(label, "labels"), "fp").select(doc_id, *keep, "fp", "root", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,9 +129,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     hashed = df.withColumn("__hash", F.xxhash64(text))
     found = near_duplicates(hashed.select(doc_id, "__hash", text), doc_id, text, keep=("__hash",))
     found = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    # a group without any id is told apart by its fingerprint
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")]
-    chosen = found.groupBy(*group).agg(F.min(F.struct("fp", "__hash")).alias("m")).select(F.col("component_id").alias("__id"), F.col("m.__hash").alias("__h"))
+    chosen = found.groupBy("root", "component_id").agg(F.min(F.struct("fp", "__hash")).alias("m")).select(F.col("component_id").alias("__id"), F.col("m.__hash").alias("__h"))
     chosen = materialize(chosen.distinct(), "chosen")
     met = hashed.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
     return met.dropDuplicates([doc_id, "__hash"]).drop("__hash")
