@@ -4,11 +4,12 @@ A text's tokens are its words (A-Z lower-cased) and one end. The tree models the
 of the words with a space between two and a line feed for the end; no word holds either. Contexts are the last 0 to
 ``ORDER`` symbols, which may reach back to the text's start (a line feed) but not beyond.
 
-* Counts of (context, next symbol) are gathered over all training texts: numpy counts the windows of a task's texts,
-  Spark sums them by window, then by every shorter context.
+* Counts of (context, next symbol) are gathered over all training texts: numpy counts the windows of a task's texts;
+  they are shuffled by their nearest symbols, packed, and summed for every context length.
 * A context is kept if it has at least ``SHARE`` of all positions (so a level has at most 1 / SHARE contexts whatever
   the input: the proven bound of what is collected) and if its next-symbol distribution diverges from that of its
-  suffix by at least ``DIVERGENCE`` nats (a Kullback-Leibler test).
+  suffix by at least ``DIVERGENCE`` nats (a Kullback-Leibler test), and by ``EVIDENCE`` nats in all for each symbol
+  kind seen in it, without which rare contexts would be kept for their noise.
 * Distributions are smoothed towards the suffix's, in proportion to the distinct symbols seen (Witten and Bell), the
   empty context's towards all 256 bytes, so that every text has a probability.
 * Scoring follows the automaton of longest kept suffixes, many stretches of text in lockstep.
@@ -33,15 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize, small_batches, table, tidy
+from quillgrid.llm.common import materialize, shuffle_width, small_batches, table, tidy
 from quillgrid.llm.simhash import LOWER
-from quillgrid.llm.wordtable import answer_counts, apply_answers, encode_blocks
+from quillgrid.llm.wordtable import answer_counts, apply_answers, encode_blocks, pack, unpack
 
-ORDER, SHARE, DIVERGENCE = 6, 3e-6, 0.05
+ORDER, SHARE, DIVERGENCE, EVIDENCE = 6, 3e-6, 0.03, 2.0
 END, PAD = 10, 0
 _SYMBOLS = bytes([1]) + LOWER[1:]
 #: Bytes of text whose windows are counted at once, windows held before they are passed on, lanes of the scorer.
-PIECE, HELD, LANES = 8 << 20, 2_000_000, 4096
+PIECE, HELD, LANES = 4 << 20, 2_000_000, 4096
 
 
 def symbols(text: bytes | None) -> bytes:
@@ -59,50 +60,101 @@ def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key, return_counts=True)
 
 
+COUNTED = "bucket int, total bigint, blob binary"
+#: Context symbols that decide a window's bucket; contexts of at least as many are complete inside one bucket.
+NEAR = 3
+
+
 def window_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(window, n) over all rows of the one-column table texts."""
-    small_batches(texts.sparkSession)
+    """Packed windows and counts of the rows of the one-column table texts, dealt out by the nearest context symbols."""
+    spark = texts.sparkSession
+    small_batches(spark)
+    buckets = shuffle_width(spark, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, texts_, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        keys, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-        def merged():
-            new, n = windows(texts_, order)
-            both, number = np.concatenate([keys, new]), np.concatenate([counts, n])
-            at = np.argsort(both, kind="stable")
-            both, number = both[at], number[at]
-            first = np.flatnonzero(np.diff(both, prepend=-1))
-            return both[first], np.add.reduceat(number, first) if len(first) else number
-
-        def out():
-            for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], ["window", "n"])
+        def packed() -> pa.RecordBatch:
+            near = (keys >> 8) & ((1 << 8 * NEAR) - 1)
+            bucket = (near * 2654435761 >> 8) % buckets
+            at = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1))
+            blobs = [pack(keys[x] >> 32, keys[x] & 0xFFFFFFFF, counts[x]) for x in np.split(at, cuts[1:])]
+            total = np.full(len(cuts), counts.sum())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at][cuts], pa.int32()), pa.array(total), pa.array(blobs, pa.binary())], ["bucket", "total", "blob"])
 
         for batch in batches:
             for raw in batch.column(0).cast(pa.binary()).to_pylist():
-                texts_.append(symbols(raw))
-                size += len(texts_[-1]) + 2
+                held.append(symbols(raw))
+                size += len(held[-1]) + 2
                 if size >= PIECE:
-                    keys, counts = merged()
-                    texts_, size = [], 0
+                    keys, counts = merged(keys, counts, *windows(held, order))
+                    held, size = [], 0
                     if len(keys) >= HELD:
-                        yield from out()
+                        yield packed()
                         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if texts_:
-            keys, counts = merged()
-        yield from out()
+        if held:
+            keys, counts = merged(keys, counts, *windows(held, order))
+        if len(keys):
+            yield packed()
+
+    return texts.mapInArrow(tidy(run), COUNTED)
+
+
+def merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of keys and counts as one."""
+    keys, counts = np.concatenate([keys, more]), np.concatenate([counts, n])
+    at = np.argsort(keys, kind="stable")
+    keys, counts = keys[at], counts[at]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
 
-    return texts.mapInArrow(tidy(run), "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+def context_counts(keys: np.ndarray, counts: np.ndarray, order: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, shortened windows, counts) for contexts of k symbols; complete ones only if seen ``least`` times."""
+    for k in range(order + 1):
+        full = np.ones(len(keys), bool) if k == 0 else (keys >> 8 * k) & 0xFF != PAD
+        short, at = np.unique(keys[full] & ((1 << (8 * k + 8)) - 1), return_inverse=True)
+        n = np.bincount(at, counts[full], len(short)).astype(np.int64)
+        if k >= NEAR and len(short):
+            _, of = np.unique(short >> 8, return_inverse=True)
+            seen = np.bincount(of, n)[of] >= least
+            short, n = short[seen], n[seen]
+        yield k, short, n
 
 
-def tree_rows(counts: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
-    """(k, context, symbol, n) of every context of k symbols with at least ``share`` of all positions."""
-    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.col("window").bitwiseAND(F.lit((1 << (8 * k + 8)) - 1)).alias("w")) for k in range(order + 1)])
-    whole = F.filter(levels, lambda x: (x["k"] == 0) | (F.call_function("shiftright", F.col("window"), x["k"] * 8).bitwiseAND(F.lit(255)) != 0))
-    each = counts.select(F.explode(whole).alias("x"), "n").groupBy("x.k", "x.w").agg(F.sum("n").alias("n"))
-    each = each.select("k", F.shiftright("w", 8).alias("context"), F.col("w").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
-    each = materialize(each, "pst-levels")
-    total = each.where("k = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+def tree_rows(counted: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
+    """(k, context, symbol, n) of every context of k symbols with at least ``share`` of all positions.
+
+    A bucket knows the totals of the tasks that it hears from, a lower bound of the number of positions: what has
+    less than its share of that goes at once, and the exact test follows on the few rows left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keys, counts, total = None, [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            whole = merged(np.zeros(0, np.int64), np.zeros(0, np.int64), np.concatenate(keys), np.concatenate(counts))
+            for k, short, n in context_counts(*whole, order, share * total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(short >> 8), pa.array((short & 0xFF).astype(np.int32)), pa.array(n)], ["k", "context", "symbol", "n"])
+
+        for batch in batches:
+            for own, all_, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != bucket:
+                    if keys:
+                        yield from out()
+                    bucket, keys, counts, total = own, [], [], 0
+                high, low, n = unpack(blob)
+                keys.append(high.astype(np.int64) << 32 | low.astype(np.int64))
+                counts.append(n.astype(np.int64))
+                total += all_
+        if keys:
+            yield from out()
+
+    dealt = counted.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+    each = dealt.mapInArrow(tidy(run), "k int, context bigint, symbol int, n bigint").groupBy("k", "context", "symbol").agg(F.sum("n").alias("n"))
+    each = materialize(each, "pst-contexts")
+    total = each.where("k = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
     sums = each.groupBy("k", "context").agg(F.sum("n").alias("of")).join(F.broadcast(total)).where(F.col("of") >= F.lit(share) * F.col("total"))
     return each.join(sums.select("k", "context"), ["k", "context"], "left_semi")
 
@@ -163,7 +215,7 @@ def build(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray,
             if d:
                 raw, before = counts[mine] / total[mine, None], counts[up[some]] / total[up[some], None]
                 gain = np.where(raw > 0, raw * np.log(np.where(raw > 0, raw, 1) / np.where(before > 0, before, 1)), 0).sum(1)
-                kept[mine] = gain >= divergence
+                kept[mine] = (gain >= divergence) & (gain * total[mine] >= EVIDENCE * kinds[mine])
     known = {context_bytes(int(level[i]), int(body[i])): i for i in np.flatnonzero(kept).tolist()}
     nodes = sorted({name[:i] for name in known for i in range(len(name) + 1)}, key=lambda x: (len(x), x))
     number = {name: i for i, name in enumerate(nodes)}
