@@ -119,9 +119,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vector: str = "
 
     c = materialize(_pack(usable(candidates), ROW_BLOCK), "vectors")
     q = materialize(_pack(usable(queries), QUERY_BLOCK), "queries")
-    keys = lambda df, own: df.select(F.col("block").alias(own))
-    pairs = keys(c, "cb").withColumn("qb", F.explode(F.lit([r.qb for r in keys(q, "qb").collect()]).cast("array<string>")))
-    met = pairs.join(c.toDF("cb", "cids", "cn", "cdim", "cdata"), "cb").join(q.toDF("qb", "qids", "qn", "qdim", "qdata"), "qb")
+    # query blocks are numbered, so that candidate blocks can name all of them
+    number = materialize(q.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("qb")), "numbers")
+    last = number.count() - 1
+    every = F.sequence(F.lit(0), F.lit(last)) if last >= 0 else F.array().cast("array<int>")
+    pairs = c.select(F.col("block").alias("cb"), F.explode(every).alias("qb"))
+    asked = q.join(number, "block").select("qb", F.col("ids").alias("qids"), F.col("n").alias("qn"), F.col("dim").alias("qdim"), F.col("data").alias("qdata"))
+    met = pairs.join(c.toDF("cb", "cids", "cn", "cdim", "cdata"), "cb").join(asked, "qb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

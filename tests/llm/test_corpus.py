@@ -228,6 +228,39 @@ def test_mixing(spark, block):
     assert sorted(map(repr, again)) == sorted(map(repr, out))
 
 
+@pytest.mark.parametrize("block", [5, 128])
+def test_taken_by_brute_force(spark, small, block):
+    docs = table(spark, small, "documents")
+    keys = {r["doc_id"]: r["k"] % 2**64 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(6)).alias("k")).collect()}
+    size = {r["doc_id"]: len(WORDS.findall(r["text"] or "")) for r in docs.collect()}
+    by_source = defaultdict(list)
+    for r in docs.collect():
+        by_source[r["source"]].append(r["doc_id"])
+    targets, want = plain_targets({s: sum(size[i] for i in ids) for s, ids in by_source.items()}), {}
+    for s, ids in by_source.items():
+        order = sorted(ids, key=lambda i: (keys[i], i))
+        words = [i for i in order for _ in range(size[i])]
+        blocks = [words[i : i + block] for i in range(0, len(words), block)]
+        left, taken, rank = round(targets[s]), Counter(), 0
+        while left > 0:
+            part = blocks[rank % len(blocks)][:left]
+            taken.update(part)
+            left, rank = left - len(part), rank + 1
+        want |= {i: taken[i] for i in ids}
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=block).collect()} == want
+
+
+def test_slots_are_golden_ratio_points(spark):
+    sources = mixing._plan(mixing.source_targets(spark.createDataFrame([("a", 900), (None, 400)], "source string, source_size bigint")), 10)
+    rows = {r["sid"]: r for r in sources.collect()}
+    total = sum(r["needed"] for r in rows.values())
+    a, _ = mixing.rotation(total)
+    assert abs(a / total - mixing.GOLDEN) < 0.05
+    for r in mixing.schedule(sources, total, 10).collect():
+        own = rows[r["sid"]]
+        assert own["first"] <= r["slot"] * a % total < own["first"] + own["needed"]
+
+
 def test_schedule_is_even(spark):
     sources = mixing._plan(mixing.source_targets(spark.createDataFrame([("a", 6000), ("b", 3000), ("c", 1000)], "source string, source_size bigint")), 10)
     total = sources.agg(F.sum("needed")).first()[0]
