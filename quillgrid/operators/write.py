@@ -126,6 +126,16 @@ def new_revisions(outcomes: DataFrame, last_seq: int, run: int = 4096) -> DataFr
     return numbered.withColumn("seq", F.col("base") + F.col("inside") + F.lit(last_seq)).select(REVS.names)
 
 
+def numbered_ids(docs: DataFrame, last_seq: int, parts: int = 1024) -> DataFrame:
+    """(id, seq): dense numbers for the distinct ids, counted by parts of a hash, so that no task numbers them all."""
+    ids = docs.select("id").distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    counts = ids.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return ids.withColumn("inside", inside).join(base, "part").select("id", (F.col("base") + F.col("inside") + F.lit(last_seq)).alias("seq"))
+
+
 def limit_partitions(edits: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """Edits (pos, id, growth) with a flag: the one that crosses a partition's limit passes, later growth doesn't.
 

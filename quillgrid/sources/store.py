@@ -128,7 +128,7 @@ class Store:
             rows = [(d["_id"], [(d["_revisions"]["start"] - i, h) for i, h in enumerate(d["_revisions"]["ids"])], bool(d.get("_deleted")), json.dumps({k: v for k, v in d.items() if not k.startswith("_")})) for d in docs]
             docs = self.spark.createDataFrame(rows, "id string, path array<struct<num:int,hash:string>>, deleted boolean, body string")
         old = self.revs()
-        numbered = docs.join(docs.select("id").distinct().rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("id string, n bigint"), "id").withColumn("seq", F.col("n") + 1 + self.last_seq())
+        numbered = docs.join(write.numbered_ids(docs, self.last_seq()), "id")
         new = R.forced(old, numbered).join(old.select("id", "num", "hash"), ["id", "num", "hash"], "left_anti")
         self.append(new)
 
