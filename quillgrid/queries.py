@@ -443,26 +443,145 @@ def changes_all_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return R.all_leaves(event_revs(spark, sf))
 
 
-@query(EVENT_REVS + """, wanted AS (SELECT id, num + (seq % 2)::INTEGER AS num, hash FROM revs WHERE num <= 5),
+@query(EVENT_REVS + """, wanted AS (SELECT id, num + (seq % 2)::INTEGER AS num, hash FROM revs),
 lacking AS (SELECT DISTINCT * FROM wanted EXCEPT SELECT id, num, hash FROM revs),
 m AS (SELECT id, list(num || '-' || hash ORDER BY num || '-' || hash) AS missing, max(num) AS top FROM lacking GROUP BY id)
 SELECT m.id, m.missing, (SELECT list(l.num || '-' || l.hash ORDER BY l.num || '-' || l.hash) FROM leaves l WHERE l.id = m.id AND l.num < m.top) AS possible_ancestors FROM m""")
 def revs_diff(spark: SparkSession, sf: str) -> DataFrame:
     revs = event_revs(spark, sf)
-    wanted = revs.where("num <= 5").select("id", (F.col("num") + (F.col("seq") % 2).cast("int")).alias("num"), "hash")
+    wanted = revs.select("id", (F.col("num") + (F.col("seq") % 2).cast("int")).alias("num"), "hash")
     return R.revs_diff(revs, wanted)
 
 
 @query("WITH RECURSIVE " + EVENT_REVS.removeprefix("WITH ") + """, chain AS (
-  SELECT id, num AS leaf_num, hash AS leaf_hash, 0 AS depth, num, hash, parent_num, parent_hash FROM won WHERE id::BIGINT % 5 = 0
+  SELECT id, num AS leaf_num, hash AS leaf_hash, 0 AS depth, num, hash, parent_num, parent_hash FROM won
   UNION ALL
   SELECT c.id, c.leaf_num, c.leaf_hash, c.depth + 1, r.num, r.hash, r.parent_num, r.parent_hash
   FROM chain c JOIN revs r ON r.id = c.id AND r.num = c.parent_num AND r.hash = c.parent_hash)
 SELECT id, leaf_num, leaf_hash, depth, num, hash FROM chain""")
 def ancestry(spark: SparkSession, sf: str) -> DataFrame:
     revs = event_revs(spark, sf)
-    starts = R.winners(revs).where(F.col("id").cast("bigint") % 5 == 0)
-    return R.ancestry(revs, starts)
+    return R.ancestry(revs, R.winners(revs))
+
+
+@query(EVENT_REVS + """,
+top AS (SELECT id, num FROM won),
+inner_revs AS (SELECT r.* FROM revs r WHERE EXISTS (SELECT 1 FROM revs c WHERE c.id = r.id AND c.parent_num = r.num AND c.parent_hash = r.hash))
+SELECT id, num, hash FROM revs EXCEPT SELECT i.id, i.num, i.hash FROM inner_revs i JOIN top t USING (id) WHERE i.num <= t.num - 8""")
+def prune_history(spark: SparkSession, sf: str) -> DataFrame:
+    return R.prune_history(event_revs(spark, sf), 8).select("id", "num", "hash")
+
+
+@query("WITH RECURSIVE " + EVENT_REVS.removeprefix("WITH ") + """, near AS (
+  SELECT id, num, hash, parent_num, parent_hash, 1 AS depth FROM leaves
+  UNION ALL
+  SELECT r.id, r.num, r.hash, r.parent_num, r.parent_hash, n.depth + 1 FROM near n JOIN revs r ON r.id = n.id AND r.num = n.parent_num AND r.hash = n.parent_hash WHERE n.depth < 2)
+SELECT DISTINCT n.id, n.num, n.hash, l.hash IS NOT NULL AS has_body FROM near n LEFT JOIN leaves l ON l.id = n.id AND l.num = n.num AND l.hash = n.hash""")
+def compact_and_stem(spark: SparkSession, sf: str) -> DataFrame:
+    return R.stem(event_revs(spark, sf), 2).select("id", "num", "hash", F.col("body").isNotNull().alias("has_body"))
+
+
+@query(EVENT_REVS + """, cut AS (SELECT id, num, hash FROM leaves WHERE deleted)
+SELECT id, num, hash FROM revs WHERE id IN (SELECT id FROM revs EXCEPT SELECT id FROM cut)""")
+def purge_untouched(spark: SparkSession, sf: str) -> DataFrame:
+    """Purging the deleted leaves leaves documents without any as they are."""
+    revs = event_revs(spark, sf)
+    gone = R.leaves(revs).where("deleted").select("id", "num", "hash")
+    left = R.purge(revs, gone).select("id", "num", "hash")
+    return left.join(gone.select("id").distinct(), "id", "left_anti")
+
+
+@query(EVENT_REVS + """, asked AS (SELECT seq AS pos, id, CASE WHEN seq % 3 = 0 THEN NULL ELSE num END AS num, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN hash ELSE 'none' END AS hash FROM revs),
+pinned AS (SELECT a.pos, a.id, coalesce(a.num, w.num) AS num, CASE WHEN a.num IS NULL THEN w.hash ELSE a.hash END AS hash FROM asked a LEFT JOIN won w USING (id))
+SELECT p.pos::BIGINT AS pos, p.id, CASE WHEN r.id IS NOT NULL THEN p.num || '-' || p.hash END AS rev, r.deleted, CASE WHEN r.id IS NULL THEN 'missing' END AS reason
+FROM pinned p LEFT JOIN revs r ON r.id = p.id AND r.num = p.num AND r.hash = p.hash""")
+def bulk_get(spark: SparkSession, sf: str) -> DataFrame:
+    revs = event_revs(spark, sf)
+    third = F.col("seq") % 3
+    asked = revs.select(F.col("seq").alias("pos"), "id", F.when(third != 0, F.col("num")).alias("num"), F.when(third == 1, F.col("hash")).when(third == 2, F.lit("none")).alias("hash"))
+    return scan.bulk_get(R.winners(revs), revs, asked).select("pos", "id", "rev", "deleted", F.col("error.reason").alias("reason"))
+
+
+@query(EVENT_REVS + "SELECT w.id, w.id AS key, w.num || '-' || w.hash AS rev, '{}' AS doc, (SELECT list(l.num || '-' || l.hash ORDER BY l.num DESC, l.hash DESC) FROM leaves l WHERE l.id = w.id AND NOT l.deleted AND (l.num, l.hash) <> (w.num, w.hash)) AS conflicts FROM won w WHERE NOT w.deleted AND w.id >= '1' AND w.id <= '5'")
+def all_docs_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    revs = event_revs(spark, sf)
+    return scan.all_docs(R.winners(revs), "1", "5", include_docs=True, conflicts=True, revs=revs).rows
+
+
+@query("SELECT event_type AS db, count(*) FILTER (user_id % 5 <> 0) AS doc_count, count(*) FILTER (user_id % 5 = 0) AS doc_del_count, max(event_id + 1) AS update_seq, coalesce(sum(strlen(props)) FILTER (user_id % 5 <> 0), 0)::BIGINT AS external_size FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
+def dbs_info(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events").select(F.col("event_type").alias("db"), (F.col("event_id") + 1).alias("seq"), (F.col("user_id") % 5 == 0).alias("deleted"), "props")
+    return scan.dbs_info(e, ["click", "view"], size=F.octet_length("props"))
+
+
+@query("SELECT DISTINCT lower(p_brand) AS name FROM part WHERE lower(p_brand) >= 'brand#2' AND lower(p_brand) <= 'brand#4'")
+def all_dbs(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.all_dbs(read(spark, sf, "part").select(F.lower("p_brand").alias("name")).distinct(), "brand#2", "brand#4")
+
+
+@query("SELECT s_name AS id, '0-' || s_nationkey AS rev, s_acctbal::VARCHAR IS NOT NULL AS has_body FROM supplier WHERE s_name IN ('Supplier#000000003', 'Supplier#000000042', 'none')")
+def local_docs(spark: SparkSession, sf: str) -> DataFrame:
+    local = read(spark, sf, "supplier").select(F.col("s_name").alias("id"), F.col("s_nationkey").cast("bigint").alias("n"), F.to_json(F.struct("s_acctbal")).alias("body"))
+    return scan.local_docs(local, ["Supplier#000000003", "Supplier#000000042", "none"], include_docs=True).select("id", "rev", F.col("body").isNotNull().alias("has_body"))
+
+
+@query("SELECT coalesce(c.c_name, s.s_name) AS id, coalesce(c.c_nationkey, 0)::BIGINT + CASE WHEN s.s_name IS NOT NULL THEN 1 ELSE 0 END AS n FROM (SELECT replace(c_name, 'Customer', 'x') AS c_name, c_nationkey FROM customer) c FULL JOIN (SELECT replace(s_name, 'Supplier', 'x') AS s_name FROM supplier) s ON s.s_name = c.c_name")
+def upsert_local(spark: SparkSession, sf: str) -> DataFrame:
+    from quillgrid.operators.write import upsert_local as upsert
+
+    stored = read(spark, sf, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("x")).alias("id"), F.col("c_nationkey").cast("bigint").alias("n"), F.lit("{}").alias("body"))
+    batch = read(spark, sf, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("x")).alias("id"), F.lit('{"s":1}').alias("body"))
+    return upsert(stored, batch).select("id", "n")
+
+
+@query("SELECT '_design/' || p_partkey AS id, '_design/' || p_partkey AS key, '1-00000000000000000000000000000000' AS rev FROM part WHERE p_partkey % 10 = 0 AND '_design/' || p_partkey >= '_design/3'")
+def design_docs(spark: SparkSession, sf: str) -> DataFrame:
+    p = read(spark, sf, "part").select("p_partkey")
+    own = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("_design/"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
+    return scan.design_docs(scan.typed_winners(p, own), startkey="_design/3").rows
+
+
+@query(f"SELECT id FROM {ORDER_IDS} WHERE id > '000014000'")
+def live_scan_after(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.live_scan(order_docs(spark, sf), "000014000").select("id")
+
+
+@query(FOUND + "value IS NOT NULL AND NOT value > 50 AND (k < 10 OR k >= 90)")
+def find_field_negation(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, {"value": {"$not": {"$gt": 50}}, "props.k": {"$or": [{"$lt": 10}, {"$gte": 90}]}})
+
+
+@query(f"SELECT k0, count(*) AS value FROM {ITEMS} WHERE id LIKE '7:%' GROUP BY k0")
+def reduce_partition(spark: SparkSession, sf: str) -> DataFrame:
+    item = read(spark, sf, "lineitem").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), "l_quantity")
+    index = build(item, View([Emit(F.col("l_quantity"))], reduce="_count"), part=F.substring_index("id", ":", 1))
+    return RD.reduce_partition(index, "7", ViewQuery(group=True))
+
+
+@query(f"SELECT id, k0 FROM {ITEMS} WHERE l_returnflag <> 'R' UNION ALL SELECT id, k0 + 1000 FROM {ITEMS} WHERE l_returnflag = 'R'")
+def view_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """An index brought up to date: rows of changed documents are replaced."""
+    from quillgrid.operators.views import refresh
+
+    item = read(spark, sf, "lineitem").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), "l_quantity", "l_returnflag")
+    whole = item.withColumn("id", F.concat_ws(":", "id", "l_returnflag"))
+    changed = whole.where("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") + 1000)
+    view = View([Emit(F.col("l_quantity"))])
+    rows_ = refresh(build(whole, view).rows, changed, build(changed, view).rows)
+    return rows_.select(F.substring_index("id", ":", 2).alias("id"), "k0")
+
+
+@query(f"SELECT _id, row_number() OVER (ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN CASE WHEN k > 50 THEN 2 ELSE 1 END WHEN 'view' THEN 3 ELSE 4 END, CASE WHEN event_type = 'view' THEN value END, CASE WHEN event_type IN ('purchase', 'signup') THEN event_type END, _id) AS place FROM {EVENTS}")
+def mixed_key_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Null, booleans, numbers and strings in one key column, in the order of all values."""
+    from pyspark.sql.window import Window
+
+    from quillgrid.functions.collation import json_key
+
+    docs = event_docs(spark, sf)
+    key = F.when(F.col("event_type") == "click", "null").when(F.col("event_type") == "error", F.when(F.col("props.k") > 50, "true").otherwise("false")).when(F.col("event_type") == "view", F.col("value").cast("string")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    keyed = docs.select("_id", json_key(key).alias("key"))
+    return keyed.select("_id", F.row_number().over(Window.orderBy("key", "_id")).alias("place"))
 
 
 @query("SELECT doc_id::VARCHAR AS id, 'md5-' || base64(unhex(md5(coalesce(text, '')))) AS digest, strlen(coalesce(text, ''))::BIGINT AS length FROM documents")
