@@ -20,38 +20,51 @@ REVS = struct("id string, num int, hash string, parent_num int, parent_hash stri
 REVS_LIMIT = 1000
 
 
-def rev_order() -> Column:
-    return F.struct((~F.col("deleted")).alias("live"), "num", "hash")
+def _marked(revs: DataFrame) -> DataFrame:
+    """Each revision once, as r, with ``inner`` saying whether it is some other's parent.
+
+    A revision meets its children's mention of it in one aggregate by (id, num, hash): one shuffle, no self-join, and
+    no document's tree has to fit one task. A revision that was appended twice counts once.
+    """
+    fields = [c for c in REVS.names if c not in ("id", "num", "hash")]
+    own = revs.select("id", "num", "hash", F.struct(*fields).alias("r"))
+    kind = own.schema["r"].dataType
+    said = revs.where("parent_num is not null").select("id", F.col("parent_num").alias("num"), F.col("parent_hash").alias("hash"), F.lit(None).cast(kind).alias("r"))
+    met = own.unionByName(said).groupBy("id", "num", "hash").agg(F.first("r", True).alias("r"), F.bool_or(F.col("r").isNull()).alias("inner"))
+    return met.where("r is not null")
 
 
 def leaves(revs: DataFrame) -> DataFrame:
     """Revisions that no other has as its parent."""
-    parents = revs.where("parent_num is not null").select(F.col("id").alias("pid"), F.col("parent_num").alias("pnum"), F.col("parent_hash").alias("phash"))
-    on = (F.col("id") == F.col("pid")) & (F.col("num") == F.col("pnum")) & (F.col("hash") == F.col("phash"))
-    return revs.join(parents, on, "left_anti")
+    return _marked(revs).where("not inner").select("id", "num", "hash", "r.*").select(REVS.names)
 
 
 def winners(revs: DataFrame, with_body: bool = False) -> DataFrame:
     """One row for each id: the winning revision, the document's seq and the number of leaves."""
-    seq = revs.groupBy("id").agg(F.max("seq").alias("seq"))
-    cols = ["num", "hash", "deleted", *(["body"] if with_body else [])]
-    best = leaves(revs).groupBy("id").agg(F.max_by(F.struct(*cols), rev_order()).alias("w"), F.count("*").alias("leaves"))
-    return best.join(seq, "id").select("id", *[F.col(f"w.{c}").alias(c) for c in cols], "leaves", "seq")
+    order = F.when(~F.col("inner"), F.struct((~F.col("r.deleted")).alias("live"), "num", "hash"))
+    cols = [F.col("num"), F.col("hash"), F.col("r.deleted").alias("deleted"), *([F.col("r.body").alias("body")] if with_body else [])]
+    best = _marked(revs).groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("w"), F.count_if(~F.col("inner")).alias("leaves"), F.max("r.seq").alias("seq"))
+    return best.select("id", "w.*", "leaves", "seq")
+
+
+def _by_rank(revs: DataFrame) -> DataFrame:
+    """(id, c): a document's leaves as (live, num, hash), the winner first."""
+    return leaves(revs).groupBy("id").agg(F.sort_array(F.collect_list(F.struct((~F.col("deleted")).alias("live"), "num", "hash")), False).alias("c"))
+
+
+def _texts(c: Column | str) -> Column:
+    return F.transform(c, lambda x: F.concat_ws("-", x["num"].cast("string"), x["hash"]))
 
 
 def conflicts(revs: DataFrame, descending: bool = True) -> DataFrame:
     """(id, conflicts): live leaves other than the winner, as text, by (num, hash)."""
-    live = leaves(revs)
-    won = winners(revs).select(F.col("id").alias("wid"), F.col("num").alias("wnum"), F.col("hash").alias("whash"))
-    on = (F.col("id") == F.col("wid")) & ((F.col("num") != F.col("wnum")) | (F.col("hash") != F.col("whash")))
-    rest = live.where("not deleted").join(won, on).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("num", "hash")), not descending).alias("c"))
-    return rest.select("id", F.transform("c", lambda x: F.concat_ws("-", x["num"].cast("string"), x["hash"])).alias("conflicts"))
+    rest = _by_rank(revs).withColumn("c", F.filter(F.slice("c", F.lit(2), F.size("c")), lambda x: x["live"])).where(F.size("c") > 0)
+    return rest.select("id", _texts("c" if descending else F.reverse("c")).alias("conflicts"))
 
 
 def all_leaves(revs: DataFrame) -> DataFrame:
     """(id, revs): the winner first, then the other leaves, live ones first, each by (num, hash) descending."""
-    each = leaves(revs).groupBy("id").agg(F.sort_array(F.collect_list(F.struct((~F.col("deleted")).alias("live"), "num", "hash")), False).alias("c"))
-    return each.select("id", F.transform("c", lambda x: F.concat_ws("-", x["num"].cast("string"), x["hash"])).alias("revs"))
+    return _by_rank(revs).select("id", _texts("c").alias("revs"))
 
 
 CHAINS = struct("id string, leaf_num int, leaf_hash string, depth int, num int, hash string")
