@@ -144,5 +144,5 @@ def truncate(value: Any, level: int) -> Any:
 
 def rendered(number: Column) -> Column:
     """A double as JSON text: whole numbers below 1e15 without a fraction."""
-    whole = (number == F.trunc_double(number)) if hasattr(F, "trunc_double") else number == F.floor(number)
-    return F.when(whole & (F.abs(number) < 1e15), number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+    whole = (number == F.rint(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(number.cast("string"))

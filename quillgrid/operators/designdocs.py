@@ -10,10 +10,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.errors import NotFound, QueryError
+from quillgrid.errors import NotFound
 from quillgrid.functions import collation as C
 from quillgrid.operators import reduce as RD
-from quillgrid.operators.changes import latest
 from quillgrid.operators.scan import Page
 from quillgrid.operators.views import Index, View, ViewGroup, ViewQuery, build_json, refresh, rows
 from quillgrid.sources.store import Store
@@ -116,12 +115,10 @@ class ViewCatalog:
     def query(self, ddoc: str, view: str, q: ViewQuery | None = None) -> Page | DataFrame:
         q = q or ViewQuery()
         index = self.index(ddoc, view, q.update)
-        partitioned = bool(self._ddoc(ddoc).options.get("partitioned"))
-        if q.wants_reduce(index.reduce):
-            q.check(index.reduce)
+        reducer = index.reduce if q.wants_reduce(index.reduce) else None
+        q.check(reducer, bool(self._ddoc(ddoc).options.get("partitioned")))
+        if reducer is not None:
             return RD.reduce_rows(index, q)
-        if partitioned and q.partition is None:
-            raise QueryError("query_parse_error", "`partition` parameter is mandatory for queries to this view.")
         return rows(index, q, self.store.winners() if q.include_docs else None, self.store.revs() if q.include_docs else None)
 
     def run_later(self) -> None:
@@ -171,7 +168,3 @@ class ViewCatalog:
 
         yield from self._ddoc(ddoc).lists[name](head, request, each())
 
-
-def latest_changes(store: Store, since: int) -> DataFrame:
-    """What a view build reads: each document's last revision after a sequence number."""
-    return latest(store.revs().where(F.col("seq") > since))

@@ -44,7 +44,7 @@ def reduce_rows(index: Index, q: ViewQuery, exact: bool = True) -> DataFrame:
     Key columns are the kept parts of declared keys (k0, ...), or key_json. Rows come in key order.
     """
     reducer = index.reduce
-    q.check(reducer)
+    q.check(reducer, q.partition is not None)
     if q.keys is not None:
         rows = _keyed(index, ViewQuery(keys=q.keys, partition=q.partition))
     else:
@@ -60,12 +60,6 @@ def reduce_rows(index: Index, q: ViewQuery, exact: bool = True) -> DataFrame:
     return _page(out, cols, q.skip, q.limit).drop("gkey", "pos")
 
 
-def reduce_partition(index: Index, partition: str, q: ViewQuery) -> DataFrame:
-    """The reduction of one partition's rows of a partitioned view."""
-    own = Index(index.rows.where(F.col("part") == partition), index.parts, index.array, index.reduce)
-    return reduce_rows(own, q)
-
-
 def _grouped(index: Index, rows: DataFrame, q: ViewQuery) -> tuple[DataFrame, list[str], str | None]:
     """Rows with their group columns; none for a whole-range reduction."""
     level = None if q.group else q.group_level

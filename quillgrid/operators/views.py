@@ -262,7 +262,7 @@ def _scope(index: Index, q: ViewQuery) -> DataFrame:
 
 def rows(index: Index, q: ViewQuery, winners: DataFrame | None = None, revs: DataFrame | None = None) -> Page:
     """Map rows in key order with totals and offset; with documents if asked for."""
-    q.check(None if q.reduce is False else None)
+    q.check(None, q.partition is not None)
     scope = _scope(index, q)
     total = scope.agg(F.count("*").alias("total_rows"))
     if q.keys is not None:

@@ -555,7 +555,7 @@ def find_field_negation(spark: SparkSession, sf: str) -> DataFrame:
 def reduce_partition(spark: SparkSession, sf: str) -> DataFrame:
     item = read(spark, sf, "lineitem").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), "l_quantity")
     index = build(item, View([Emit(F.col("l_quantity"))], reduce="_count"), part=F.substring_index("id", ":", 1))
-    return RD.reduce_partition(index, "7", ViewQuery(group=True))
+    return RD.reduce_rows(index, ViewQuery(group=True, partition="7"))
 
 
 @query(f"SELECT id, k0 FROM {ITEMS} WHERE l_returnflag <> 'R' UNION ALL SELECT id, k0 + 1000 FROM {ITEMS} WHERE l_returnflag = 'R'")

@@ -8,6 +8,7 @@ commits that were there when they listed them, which makes every read a snapshot
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.errors import NotFound, QueryError
+from quillgrid.functions.revid import parse_rev
 from quillgrid.operators import revisions as R
 from quillgrid.operators import scan, write
 from quillgrid.operators.changes import Changes, ChangesQuery, changes
@@ -55,8 +57,6 @@ class Store:
 
     @staticmethod
     def check_name(name: str) -> str:
-        import re
-
         if not re.fullmatch(r"[a-z][a-z0-9_$()+/-]*", name) and not name.startswith("_"):
             raise QueryError("illegal_database_name", name)
         return name
@@ -136,8 +136,6 @@ class Store:
         self.rewrite(R.stem(self.revs(), limit))
 
     def purge(self, requests: dict[str, list[str]]) -> None:
-        from quillgrid.functions.revid import parse_rev
-
         rows = [(i, *parse_rev(r)) for i, revs in requests.items() for r in revs]
         self.rewrite(R.purge(self.revs(), self.spark.createDataFrame(rows, "id string, num int, hash string")))
 

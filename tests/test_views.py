@@ -156,4 +156,5 @@ def test_linked_documents(spark):
 def test_partitioned_view(spark):
     docs = spark.createDataFrame([("p1:a", 1), ("p1:b", 2), ("p2:a", 9)], "id string, n int")
     index = build(docs, View([Emit(F.col("n"))], reduce="_count"), part=F.substring_index("id", ":", 1))
-    assert [r["value"] for r in RD._apply(index, index.rows.where("part = 'p1'"), [], "_count", True).collect()] == [2]
+    assert [r["value"] for r in RD.reduce_rows(index, ViewQuery(partition="p1")).collect()] == [2]
+    assert ids(rows(index, ViewQuery(partition="p2", reduce=False))) == ["p2:a"]
