@@ -15,20 +15,19 @@ from pyspark.sql import functions as F
 
 #: The one definition of a word: a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch sent to Python. Texts may be long, so batches hold few rows.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch sent to Python; a batch has one row at least.
+BATCH_BYTES = "1m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch limit so that a batch of long texts fits into a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, unless it has a bound, so that long texts fit a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def scratch_root(spark: SparkSession) -> str:
