@@ -2,17 +2,20 @@
 
 Columns: id, num, hash, parent_num, parent_hash, deleted, body (JSON text), seq. A leaf is a revision without child;
 the winner of a document is its greatest leaf by (live before deleted, num, hash). What needs a whole tree walks it
-inside one id (``applyInPandas`` by id): trees are bounded by the revision limit.
+inside one id (``by_document``): trees are bounded by the revision limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgrid.functions.schema import struct
 
@@ -77,17 +80,17 @@ def ancestry(revs: DataFrame, starts: DataFrame, limit: int = REVS_LIMIT) -> Dat
     job for each level.
     """
 
-    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        tree, out = Tree(own), []
-        for s in asked.itertuples(index=False):
-            for depth, at in zip(range(limit), tree.chain((int(s.anum), s.ahash)), strict=False):
-                out.append({"id": s.aid, "leaf_num": s.anum, "leaf_hash": s.ahash, "depth": depth, "num": at[0], "hash": at[1]})
-        return frame(out, CHAINS)
+    def run(rows: list[dict]) -> Iterator[dict]:
+        tree = Tree([r for r in rows if not r["asked"]])
+        for s in (r for r in rows if r["asked"]):
+            for depth, at in zip(range(limit), tree.chain((s["num"], s["hash"])), strict=False):
+                yield {"id": s["id"], "leaf_num": s["num"], "leaf_hash": s["hash"], "depth": depth, "num": at[0], "hash": at[1]}
 
-    asked = starts.select(F.col("id").alias("aid"), F.col("num").alias("anum"), F.col("hash").alias("ahash")).distinct()
-    own = revs.select(F.col("id").alias("rid"), "num", "hash", "parent_num", "parent_hash")
-    own = own.join(asked.select(F.col("aid").alias("rid")).distinct(), "rid", "left_semi")
-    return own.groupBy("rid").cogroup(asked.groupBy("aid")).applyInPandas(run, CHAINS)
+    asked = starts.select("id", "num", "hash").distinct()
+    own = revs.select("id", "num", "hash", "parent_num", "parent_hash").join(asked.select("id").distinct(), "id", "left_semi")
+    none = asked.select("id", "num", "hash", F.lit(None).cast("int").alias("parent_num"), F.lit(None).cast("string").alias("parent_hash"))
+    both = own.withColumn("asked", F.lit(False)).unionByName(none.withColumn("asked", F.lit(True)))
+    return by_document(both, ["asked", "num", "hash"], run, CHAINS)
 
 
 def missing_revs(revs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,9 +136,9 @@ def open_revs(revs: DataFrame, doc_id: str, wanted: list[tuple[int, str]] | None
 class Tree:
     """The revision tree of one document, in memory."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.rows = {(int(r.num), r.hash): r for r in rows.itertuples(index=False)}
-        self.parent = {k: (int(r.parent_num), r.parent_hash) if pd.notna(r.parent_num) else None for k, r in self.rows.items()}
+    def __init__(self, rows: list[dict]):
+        self.rows = {(r["num"], r["hash"]): r for r in rows}
+        self.parent = {k: (r["parent_num"], r["parent_hash"]) if r["parent_num"] is not None else None for k, r in self.rows.items()}
 
     def tips(self) -> list[tuple[int, str]]:
         inner = set(self.parent.values())
@@ -147,51 +150,66 @@ class Tree:
             at = self.parent[at]
 
     def winner(self) -> tuple[int, str] | None:
-        return max(self.tips(), key=lambda k: (not self.rows[k].deleted, *k), default=None)
+        return max(self.tips(), key=lambda k: (not self.rows[k]["deleted"], *k), default=None)
 
+    def add(self, row: dict) -> None:
+        at = (row["num"], row["hash"])
+        self.rows[at] = row
+        self.parent[at] = (row["parent_num"], row["parent_hash"]) if row["parent_num"] is not None else None
 
-def frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
-    """Rows as objects, with whole numbers that pandas had turned into floats made whole again."""
-    def plain(x: object, kind: T.DataType) -> object:
-        if x is None or x is pd.NA or x != x:  # noqa: PLR0124
-            return None
-        return int(x) if isinstance(kind, T.IntegralType) else bool(x) if isinstance(kind, T.BooleanType) else x
 
-    return pd.DataFrame({f.name: pd.Series([plain(r.get(f.name), f.dataType) for r in rows], dtype=object) for f in schema})
+def by_document(df: DataFrame, order: list[str], run: Callable[[list[dict]], Iterable[dict]], schema: T.StructType, key: str = "id", most: int = 10_000) -> DataFrame:
+    """Rows of each document, together and in order, through a Python function.
+
+    One sort by id and one Python call a partition instead of one a document: most documents have a row or two.
+    """
+    arrow = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for _, rows in groupby((r for b in batches for r in b.to_pylist()), itemgetter(key)):
+            out.extend(run(list(rows)))
+            if len(out) >= most:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(each, schema)
 
 
 def stem(revs: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:
     """Keep what is at most ``limit`` deep below some leaf; bodies of inner revisions go (compaction)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(pdf)
-        tips = tree.tips()
+    def run(rows: list[dict]) -> Iterator[dict]:
+        tree = Tree(rows)
+        tips = set(tree.tips())
         kept = {k for tip in tips for _, k in zip(range(limit), tree.chain(tip), strict=False)}
-        rows = [tree.rows[k]._replace(body=tree.rows[k].body if k in tips else None) for k in tree.rows if k in kept]
-        return frame([r._asdict() for r in rows], REVS)
+        for k in kept:
+            yield tree.rows[k] if k in tips else tree.rows[k] | {"body": None}
 
-    return revs.select(REVS.names).groupBy("id").applyInPandas(run, REVS)
+    return by_document(revs.select(REVS.names), ["num", "hash"], run, REVS)
 
 
 def purge(revs: DataFrame, requests: DataFrame) -> DataFrame:
     """Remove leaves (id, num, hash) with the ancestors that only they have; other revisions asked for stay."""
-    asked = requests.groupBy("id").agg(F.collect_list(F.struct("num", "hash")).alias("gone"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone = pdf["gone"].iloc[0]
-        pdf = pdf.drop(columns="gone")
-        tree = Tree(pdf)
-        for r in gone if gone is not None else []:
-            at = (int(r["num"]), r["hash"])
+    asked = requests.select("id", "num", "hash").distinct()
+
+    def run(rows: list[dict]) -> Iterator[dict]:
+        tree = Tree([{c: r[c] for c in REVS.names} for r in rows if not r["gone"]])
+        for r in rows:
+            at = (r["num"], r["hash"]) if r["gone"] else None
             while at in tree.rows and at not in set(tree.parent.values()):
-                up = tree.parent.pop(at)
                 tree.rows.pop(at)
-                at = up
-        return frame([r._asdict() for r in tree.rows.values()], REVS)
-
-    touched = revs.select(REVS.names).join(asked, "id")
-    rest = revs.select(REVS.names).join(asked, "id", "left_anti")
-    return rest.unionByName(touched.groupBy("id").applyInPandas(run, REVS))
+                at = tree.parent.pop(at)
+        yield from tree.rows.values()
+
+    ids = asked.select("id").distinct()
+    stored = revs.select(REVS.names)
+    marks = asked.select("id", "num", "hash", *[F.lit(None).cast(f.dataType).alias(f.name) for f in REVS if f.name not in asked.columns])
+    touched = stored.join(ids, "id", "left_semi").withColumn("gone", F.lit(False)).unionByName(marks.withColumn("gone", F.lit(True)))
+    rest = stored.join(ids, "id", "left_anti")
+    return rest.unionByName(by_document(touched, ["gone", "num", "hash"], run, REVS))
 
 
 def prune_history(revs: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:

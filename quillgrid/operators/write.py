@@ -10,8 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable
-from types import SimpleNamespace
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +20,7 @@ from pyspark.sql.window import Window
 from quillgrid.errors import QueryError
 from quillgrid.functions.revid import next_rev, parse_rev
 from quillgrid.functions.schema import struct
-from quillgrid.operators.revisions import REVS, Tree, frame
+from quillgrid.operators.revisions import REVS, Tree, by_document
 
 #: pos: place in the request; rev: the expected revision, or null; body: JSON text.
 EDITS = struct("pos bigint, id string, rev string, deleted boolean, body string")
@@ -70,44 +69,43 @@ def random_id() -> str:
 def apply_edits(revs: DataFrame, edits: DataFrame, validate: Validator | None = None) -> DataFrame:
     """Outcomes of the edits: accepted ones carry their new revision, others conflict, not_found, forbidden, ..."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new = pdf[pdf["pos"].isna()], pdf[pdf["pos"].notna()].sort_values("pos")
-        tree, out = Tree(old), []
-        for e in new.itertuples(index=False):
-            out.append(_edit(tree, e, validate))
-        return frame(out, struct(OUTCOMES))
+    def run(rows: list[dict]) -> Iterator[dict]:
+        tree = Tree([r for r in rows if r["pos"] is None])
+        for r in rows:
+            if r["pos"] is not None:
+                yield _edit(tree, r, validate)
 
     touched = revs.join(edits.select("id").distinct(), "id", "left_semi")
     none = lambda kind: F.lit(None).cast(kind)
     stored = touched.select("id", none("bigint").alias("pos"), none("string").alias("rev"), "num", "hash", "parent_num", "parent_hash", "deleted", "body")
     asked = edits.select("id", "pos", "rev", none("int").alias("num"), none("string").alias("hash"), none("int").alias("parent_num"), none("string").alias("parent_hash"), "deleted", "body")
-    return stored.unionByName(asked).groupBy("id").applyInPandas(run, OUTCOMES)
+    return by_document(stored.unionByName(asked), ["pos"], run, struct(OUTCOMES))
 
 
-def _edit(tree: Tree, e, validate: Validator | None) -> dict:
-    out = {"pos": e.pos, "id": e.id, "ok": False}
+def _edit(tree: Tree, e: dict, validate: Validator | None) -> dict:
+    out = {"pos": e["pos"], "id": e["id"], "ok": False}
     won = tree.winner()
-    live = won is not None and not tree.rows[won].deleted
+    live = won is not None and not tree.rows[won]["deleted"]
     try:
-        check_id(e.id)
-        expected = parse_rev(e.rev) if isinstance(e.rev, str) else None
-        meta, body = parse_document(e.body if isinstance(e.body, str) else "{}")
+        check_id(e["id"])
+        expected = parse_rev(e["rev"]) if e["rev"] is not None else None
+        meta, body = parse_document(e["body"] or "{}")
     except (QueryError, ValueError) as bad:
         return out | {"error": getattr(bad, "error", "bad_request"), "reason": getattr(bad, "reason", str(bad))}
-    deleted = bool(e.deleted) or bool(meta.get("_deleted"))
+    deleted = bool(e["deleted"]) or bool(meta.get("_deleted"))
     if deleted and won is None:
         return out | {"error": "not_found", "reason": "missing"}
     if expected != won and not (expected is None and not live and not deleted):
         return out | {"error": "conflict", "reason": "Document update conflict."}
     if validate is not None:
-        before = json.loads(tree.rows[won].body) if live and tree.rows[won].body else None
-        if bad := validate({**body, "_id": e.id, **({"_deleted": True} if deleted else {})}, before):
+        before = json.loads(tree.rows[won]["body"]) if live and tree.rows[won]["body"] else None
+        if bad := validate({**body, "_id": e["id"], **({"_deleted": True} if deleted else {})}, before):
             return out | {"error": bad[0], "reason": bad[1]}
     raw = json.dumps(body, ensure_ascii=False, separators=(",", ":"))
     num, digest = next_rev(deleted, won, raw)
-    row = dict(zip(REVS.names, (e.id, num, digest, won[0] if won else None, won[1] if won else None, deleted, raw, None), strict=True))
-    tree.rows[num, digest] = SimpleNamespace(**row)
-    tree.parent[num, digest] = won
+    row = dict(zip(REVS.names, (e["id"], num, digest, won[0] if won else None, won[1] if won else None, deleted, raw, None), strict=True))
+    tree.add(dict(row))
+    row.pop("seq")
     return out | row | {"ok": True, "rev": f"{num}-{digest}", "error": None, "reason": None}
 
 
