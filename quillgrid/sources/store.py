@@ -151,7 +151,9 @@ class Store:
         return scan.all_docs(self.winners(), revs=self.revs(), **query)
 
     def changes(self, query: ChangesQuery | None = None) -> Changes:
-        return changes(self.winners(True), query, self.revs())
+        """Bodies are read only if the filter looks into documents."""
+        looks = query is not None and (callable(query.filter) or query.filter in ("_selector", "_view"))
+        return changes(self.winners(looks), query, self.revs())
 
     def find(self, request: Find | dict) -> Found:
         docs = self.winners(True).where(~F.col("deleted") & ~F.col("id").startswith("_design/"))
