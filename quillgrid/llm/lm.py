@@ -4,15 +4,18 @@ A text's tokens are its words (A-Z lower-cased) and one end. The tree models the
 of the words with a space between two and a line feed for the end; no word holds either. Contexts are the last 0 to
 ``ORDER`` symbols, which may reach back to the text's start (a line feed) but not beyond.
 
-* Counts of (context, next symbol) are gathered over all training texts: numpy counts the windows of a task's texts;
-  they are shuffled by their nearest symbols, packed, and summed for every context length.
-* A context is kept if it has at least ``SHARE`` of all positions (so a level has at most 1 / SHARE contexts whatever
-  the input: the proven bound of what is collected) and if its next-symbol distribution diverges from that of its
-  suffix by at least ``DIVERGENCE`` nats (a Kullback-Leibler test), and by ``EVIDENCE`` nats in all for each symbol
-  kind seen in it, without which rare contexts would be kept for their noise.
+* Texts are written in blocks. A block's distinct windows (a context of ``DEPTH`` symbols and the next symbol) go, with their counts in training texts, to buckets named by the ``NEAR`` nearest context
+  symbols. Longer contexts are complete in one bucket; shorter ones, bounded by the alphabet, are summed over all.
+* A context is kept if it is seen ``LEAST`` times, if its next-symbol distribution diverges from that of its suffix by
+  at least ``DIVERGENCE`` nats (a Kullback-Leibler test), and by ``EVIDENCE`` nats in all for each symbol kind seen in
+  it, without which rare contexts would be kept for their noise. None of these depends on the size of the input, and
+  no task or driver holds the whole tree: it grows with the texts.
 * Distributions are smoothed towards the suffix's, in proportion to the distinct symbols seen (Witten and Bell), the
   empty context's towards all 256 bytes, so that every text has a probability.
-* Scoring follows the automaton of longest kept suffixes, many stretches of text in lockstep.
+* A bucket answers each block's windows by the longest kept context; the answers meet the texts in their block.
+
+``train`` makes a tree of bounded size instead, for contexts of at least ``share`` of all positions, that is collected
+as an automaton and broadcast (``with_scores``); the query does not use it.
 
 The base score needs each word's training count: ``wordtable`` counts and looks up distinct words.
 
@@ -24,7 +27,8 @@ byte 1; texts are scored whole; repeated rows come back and count; extra columns
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +43,8 @@ from quillgrid.llm.simhash import LOWER
 from quillgrid.llm.wordtable import answer_counts, apply_answers, encode_blocks, pack, unpack
 
 ORDER, SHARE, DIVERGENCE, EVIDENCE = 6, 3e-6, 0.03, 2.0
+#: Symbols of the longest context, and times that a kept context is seen.
+DEPTH, LEAST = 6, 2
 END, PAD = 10, 0
 _SYMBOLS = bytes([1]) + LOWER[1:]
 #: Bytes of text whose windows are counted at once, windows held before they are passed on, lanes of the scorer.
@@ -258,12 +264,259 @@ def with_scores(df: DataFrame, model: Automaton, text: str = "text", out: str =
     return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
-def base_scores(df: DataFrame, text: str, keep: list[str], trains: str, lower: bool = True) -> DataFrame:
-    """keep, n_tokens, n_known, train_tokens, base_score: add-one unigrams of the rows where ``trains`` is true."""
+@dataclass(frozen=True)
+class Level:
+    """Contexts of one length: (context, symbol) and their counts, contexts and what is known of each."""
+
+    short: np.ndarray
+    n: np.ndarray
+    context: np.ndarray
+    own: np.ndarray
+    kinds: np.ndarray
+    kept: np.ndarray
+
+
+def _mask(k: int) -> np.uint64:
+    """A symbol and its k context symbols."""
+    return np.uint64((1 << (8 * k + 8)) - 1)
+
+
+def _whole(keys: np.ndarray, k: int) -> np.ndarray:
+    """Whether windows have k context symbols."""
+    return (keys >> np.uint64(8 * k)) & np.uint64(0xFF) != PAD
+
+
+def level(keys: np.ndarray, counts: np.ndarray, k: int, below: Level | None, least: int = LEAST) -> Level:
+    """The contexts of k symbols in all the windows that have them; ``below`` has those of k - 1."""
+    seen = _whole(keys, k) & (counts > 0)
+    short, at = np.unique(keys[seen] & _mask(k), return_inverse=True)
+    n = np.bincount(at, counts[seen], len(short))
+    context, of = np.unique(short >> np.uint64(8), return_inverse=True)
+    own, kinds = np.bincount(of, n, len(context)), np.bincount(of, minlength=len(context))
+    if below is None:
+        return Level(short, n, context, own, kinds, np.ones(len(context), bool))
+    up = np.searchsorted(below.context, context & (_mask(k - 1) >> np.uint64(8)))
+    raw, before = n / own[of], below.n[np.searchsorted(below.short, short & _mask(k - 1))] / below.own[up][of]
+    gain = np.bincount(of, raw * np.log(raw / before), len(context))
+    return Level(short, n, context, own, kinds, (own >= least) & (gain >= DIVERGENCE) & (gain * own >= EVIDENCE * kinds))
+
+
+def _found(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_, asked), len(sorted_) - 1)
+    return at, sorted_[at] == asked
+
+
+def window_chances(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """The probability of each window's symbol after its longest kept context."""
+    chance = np.full(len(keys), 1 / 256)
+    out = chance.copy()
+    for k, own in enumerate(levels):
+        if not len(own.context):
+            break
+        full = np.flatnonzero(_whole(keys, k))
+        short = keys[full] & _mask(k)
+        at, known = _found(own.context, short >> np.uint64(8))
+        full, short, at = full[known], short[known], at[known]
+        here, seen = _found(own.short, short)
+        n, kinds = np.where(seen, own.n[here], 0), own.kinds[at]
+        chance[full] = (n + kinds * chance[full]) / (own.own[at] + kinds)
+        kept = own.kept[at]
+        out[full[kept]] = chance[full[kept]]
+    return out
+
+
+def block_windows(texts: list[bytes], order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in order of appearance, the number of each position's, and by bucket their order and buckets."""
+    joined = b"\n" + (b"\n" + bytes(order) + b"\n").join(texts) + b"\n"
+    s = np.frombuffer(bytes(order) + joined, np.uint8)
+    keys = s[order:].astype(np.uint64)
+    for back in range(1, order + 1):
+        keys |= s[order - back : len(s) - back].astype(np.uint64) << np.uint64(8 * back)
+    keys = keys[(s[order:] != PAD) & (s[order - 1 : -1] != PAD)]
+    coded = pa.array(keys).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    near = (distinct >> np.uint64(8)) & np.uint64((1 << 8 * NEAR) - 1)
+    bucket = (near * np.uint64(2654435761) >> np.uint64(8)) % np.uint64(buckets)
+    nearest_first = distinct.byteswap() << np.uint64(8) | distinct & np.uint64(0xFF)  # packs best: neighbours share symbols
+    return distinct, coded.indices.to_numpy(), np.lexsort((nearest_first, bucket)), bucket.astype(np.int32)
+
+
+def _keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    high, low, n = unpack(blob)
+    return high.astype(np.uint64) << np.uint64(32) | low, n.astype(np.int64)
+
+
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    all_, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return all_, np.bincount(at, np.concatenate(counts), len(all_)).astype(np.int64)
+
+
+def _summed(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the blobs and their counts."""
+    keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for blob in blobs:
+        more, n = _keys(blob)
+        keys.append(more)
+        counts.append(n)
+        size += len(more)
+        if size > HELD:
+            keys, counts = ([x] for x in _sums(keys, counts))
+            size = 0
+    return _sums(keys, counts)
+
+
+WINDOWS = "block string, bucket int, blob binary"
+
+
+def tree_windows(df: DataFrame, text: str, trains: str, order: int = DEPTH) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks of rows, which are written, the windows of each block by bucket, and the number of buckets."""
+    spark = df.sparkSession
+    small_batches(spark)
+    buckets = shuffle_width(spark, 512)
+    at, flag = df.columns.index(text), df.columns.index(trains)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as writer:
+                for b in held:
+                    writer.write_batch(b)
+            blob = zstandard.compress(sink.getvalue().to_pybytes(), 3)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([buckets], pa.int32()), pa.array([blob], pa.binary())], ["block", "bucket", "blob"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += batch.column(at).nbytes
+            if size >= PIECE:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                rows = block_rows(blob.as_py())
+                texts = [symbols(x) for x in rows.column(at).cast(pa.binary()).to_pylist()]
+                keys, codes, order_, bucket = block_windows(texts, order, buckets)
+                trained = np.repeat(rows.column(flag).to_numpy(zero_copy_only=False).astype(bool), [len(t) + 1 for t in texts])
+                n = np.bincount(codes[trained], minlength=len(keys))
+                cuts = np.flatnonzero(np.diff(bucket[order_], prepend=-1))
+                low = np.uint64(0xFFFFFFFF)
+                blobs = [pack(keys[x] >> np.uint64(32), keys[x] & low, n[x]) for x in np.split(order_, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(cuts)), pa.array(bucket[order_][cuts]), pa.array(blobs, pa.binary())], ["block", "bucket", "blob"])
+
+    blocks = materialize(df.mapInArrow(tidy(gather), WINDOWS), "pst-blocks")
+    return blocks, blocks.mapInArrow(tidy(count), WINDOWS), buckets
+
+
+def block_rows(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+
+
+def short_levels(blocks: DataFrame, at: int, flag: int) -> list[Level]:
+    """The contexts of fewer than NEAR symbols: a collected table that only the alphabet bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for blob in batch.column(0):
+                rows = block_rows(blob.as_py())
+                texts = [symbols(x) for x, yes in zip(rows.column(at).cast(pa.binary()).to_pylist(), rows.column(flag).to_pylist(), strict=True) if yes]
+                if texts:
+                    more, codes, *_ = block_windows(texts, NEAR - 1, 1)
+                    keys, n = ([x] for x in _sums([*keys, more], [*n, np.bincount(codes)]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int32)), pa.array(n[0])], ["short", "n"])
+
+    got = blocks.select("blob").mapInArrow(tidy(run), "short int, n bigint").groupBy("short").agg(F.sum("n").alias("n")).toArrow()
+    keys, n, levels = got["short"].to_numpy().astype(np.uint64), got["n"].to_numpy(), []
+    for k in range(NEAR):
+        levels.append(level(keys, n, k, levels[-1] if levels else None))
+    return levels
+
+
+def _bucket_levels(keys: np.ndarray, counts: np.ndarray, short: list[Level], order: int) -> list[Level]:
+    levels = list(short)
+    for k in range(NEAR, order + 1):
+        levels.append(level(keys, counts, k, levels[-1]))
+    return levels
+
+
+def _by_bucket(counted: DataFrame, answer: Callable[[list[tuple[str, bytes]], int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for block, own, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != bucket:
+                    if held:
+                        yield from answer(held, bucket)
+                    bucket, held = own, []
+                held.append((block, blob))
+        if held:
+            yield from answer(held, bucket)
+
+    width = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), schema)
+
+
+def kept_contexts(df: DataFrame, text: str, trains: str, order: int = DEPTH) -> DataFrame:
+    """(k, n): for each bucket, the number of kept contexts of k symbols, NEAR at least."""
+    blocks, counted, _ = tree_windows(df, text, trains, order)
+    short = df.sparkSession.sparkContext.broadcast(short_levels(blocks, df.columns.index(text), df.columns.index(trains)))
+
+    def answer(held: list[tuple[str, bytes]], bucket: int) -> Iterator[pa.RecordBatch]:
+        levels = _bucket_levels(*_summed(b for _, b in held), short.value, order)[NEAR:]
+        yield pa.RecordBatch.from_arrays([pa.array(range(NEAR, order + 1), pa.int32()), pa.array([int(x.kept.sum()) for x in levels], pa.int64())], ["k", "n"])
+
+    return _by_bucket(counted, answer, "k int, n bigint")
+
+
+def tree_scores(df: DataFrame, text: str, trains: str, out: str = "score", order: int = DEPTH) -> DataFrame:
+    """df with the log10 probability of each text by the tree of the rows where ``trains`` is true."""
+    spark = df.sparkSession
+    blocks, counted, buckets = tree_windows(df, text, trains, order)
+    at = df.columns.index(text)
+    short = spark.sparkContext.broadcast(short_levels(blocks, at, df.columns.index(trains)))
+
+    def answer(held: list[tuple[str, bytes]], bucket: int) -> Iterator[pa.RecordBatch]:
+        keys, counts = _summed(b for _, b in held)
+        logs = np.log10(window_chances(keys, _bucket_levels(keys, counts, short.value, order))).astype("<f4")
+        for block, blob in held:
+            bits = logs[np.searchsorted(keys, _keys(blob)[0])].view("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([pack(bits)], pa.binary())], ["block", "bucket", "blob"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket < buckets:
+                    blobs.append(blob.as_py())
+                    continue
+                rows = block_rows(blob.as_py())
+                texts = [symbols(x) for x in rows.column(at).cast(pa.binary()).to_pylist()]
+                keys, codes, order_, _ = block_windows(texts, order, buckets)
+                logs = np.empty(len(keys), np.float32)
+                logs[order_] = np.concatenate([unpack(b)[0].view("<f4") for b in blobs])
+                blobs = []
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                each = np.add.reduceat(logs[codes], np.concatenate([[0], ends[:-1]]), dtype=np.float64)
+                done = rows.append_column(out, pa.array(each))
+                yield from done.to_batches()
+
+    both = _by_bucket(counted, answer, WINDOWS).unionByName(blocks)
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "bucket")
+    return both.mapInArrow(tidy(score), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+
+
+def base_scores(df: DataFrame, text: str, keep: list[str], trains: str, lower: bool = True, ends: int | None = None) -> DataFrame:
+    """keep, n_tokens, n_known, train_tokens, base_score: add-one unigrams of the rows where ``trains`` is true, ``ends`` in number."""
     lowered = df.withColumn(text, F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if lower else df
     blocks = encode_blocks(lowered, text, [trains, *(c for c in keep if c != trains)], "lm", count=trains, written=True)
     answers = materialize(answer_counts(blocks), "lm-counts")
-    ends = df.where(F.col(trains)).count()
+    ends = df.where(F.col(trains)).count() if ends is None else ends
     one = answers.where("part = -2").select(F.expr("cast(conv(hex(substring(blob, 1, 8)), 16, 10) as long)").alias("v"), F.expr("cast(conv(hex(substring(blob, 9, 8)), 16, 10) as long)").alias("n")).agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     distinct, total = (one["v"] or 0) + (ends > 0), (one["n"] or 0) + ends
     unit = math.log10(total + distinct + 1)
@@ -293,7 +546,6 @@ def held_out(doc_id: Column) -> Column:
 
 def op7_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    model = train(docs.where("not held_out").select("text"))
-    marked = with_scores(docs.withColumn("trains", ~F.col("held_out")), model)
-    found = base_scores(marked, "text", ["doc_id", "held_out", "score"], "trains")
+    marked = tree_scores(docs.withColumn("trains", ~F.col("held_out")), "text", "trains")
+    found = base_scores(marked, "text", ["doc_id", "held_out", "score"], "trains", ends=docs.where("not held_out").count())
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -360,6 +360,27 @@ def test_suffix_tree_scores(spark, monkeypatch, lanes):
     assert got == pytest.approx([score(t) for t in asked], rel=1e-5)
 
 
+def test_tree_tables_score_as_the_plain_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 900)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "then", "there", "Café", "x1", "日本"]) for _ in range(rng.randrange(12))) for _ in range(150)]
+    rows = [(i, i % 7 != 2, t) for i, t in enumerate([*texts, "unseen 日 zz", None])]
+    got = lm.tree_scores(spark.createDataFrame(rows, "i int, trains boolean, text string"), "text", "trains").collect()
+    trained = [t or "" for _, yes, t in rows if yes]
+    score = plain_tree(trained, lm.DEPTH, lm.LEAST / sum(len(lm.symbols(t.encode())) + 1 for t in trained), lm.DIVERGENCE)
+    assert len(got) == len(rows)
+    assert [r["score"] for r in sorted(got, key=lambda r: r["i"])] == pytest.approx([score(t) for _, _, t in rows], rel=1e-5)
+
+
+def test_kept_contexts_grow_with_the_texts(spark):
+    """A share of all positions kept as many contexts of ten times the text, or fewer."""
+    few, many = (
+        lm.kept_contexts(table(spark, f"/root/testdata/{d}", "documents").select(F.lit(True).alias("trains"), "text"), "text", "trains").where("k = 6").agg(F.sum("n")).first()[0]
+        for d in ("sf0.01", "sf0.1")
+    )
+    assert many > 1.5 * few
+
+
 def test_language_model_edges(spark, odd_docs, no_docs):
     docs = odd_docs.select("doc_id", "text", lm.held_out(F.col("doc_id")).alias("held_out"), F.lit(True).alias("trains"))
     model = lm.train(docs.select("text"))
