@@ -26,6 +26,9 @@ from quillgrid.operators.revisions import REVS, Tree, by_document
 EDITS = struct("pos bigint, id string, rev string, deleted boolean, body string")
 OUTCOMES = "pos bigint, id string, ok boolean, rev string, error string, reason string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string"
 
+#: A document's attachments are refused rather than dropped.
+NO_ATTACHMENTS = "Attachments are not stored with documents"
+
 Validator = Callable[[dict, dict | None], tuple[str, str] | None]
 
 
@@ -40,6 +43,8 @@ def parse_document(text: str) -> tuple[dict, dict]:
     meta = {k: v for k, v in doc.items() if k.startswith("_")}
     if strange := sorted(set(meta) - known):
         raise QueryError("doc_validation", f"Bad special document member: {strange[0]}")
+    if meta.get("_attachments"):
+        raise QueryError("not_implemented", NO_ATTACHMENTS)
     if "_id" in meta and not isinstance(meta["_id"], str):
         raise QueryError("illegal_docid", "Document id must be a string")
     if "_id" in meta:

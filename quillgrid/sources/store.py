@@ -125,6 +125,8 @@ class Store:
     def force(self, docs: DataFrame | list[dict]) -> None:
         """new_edits=false: documents with their revision path (id, path, deleted, body)."""
         if isinstance(docs, list):
+            if any(d.get("_attachments") for d in docs):
+                raise QueryError("not_implemented", write.NO_ATTACHMENTS)
             rows = [(d["_id"], [(d["_revisions"]["start"] - i, h) for i, h in enumerate(d["_revisions"]["ids"])], bool(d.get("_deleted")), json.dumps({k: v for k, v in d.items() if not k.startswith("_")})) for d in docs]
             docs = self.spark.createDataFrame(rows, "id string, path array<struct<num:int,hash:string>>, deleted boolean, body string")
         old = self.revs()
