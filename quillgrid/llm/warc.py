@@ -74,9 +74,11 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     wanted = records.where((is_full | (F.col("warc_type") == "revisit")) & usable)
     spots = wanted.select(canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").cast("timestamp").alias("at"), "record_id", is_full.alias("full"))
     found = latest_full(spots.dropDuplicates(["record_id"]), slice_seconds).where("full_id is not null")
-    revisits = records.where(F.col("warc_type") == "revisit").drop("body").dropDuplicates(["record_id"])
+    revisits = records.where(F.col("warc_type") == "revisit").drop("body")
+    named = revisits.where("record_id is not null").dropDuplicates(["record_id"])
+    nameless = revisits.where("record_id is null").withColumn("full_id", F.lit(None).cast(records.schema["record_id"].dataType))
     # revisits without a match stay out of the join with bodies, where their null would be a hot key
-    matched = materialize(revisits.join(found, "record_id", "left"), "revisits")
+    matched = materialize(named.join(found, "record_id", "left").unionByName(nameless), "revisits")
     repeated = materialize(records.where(is_full).groupBy("record_id").count().where("count > 1").select("record_id"), "repeated")
     fulls = records.where(is_full).select("record_id", F.col("headers").alias("__stored"), F.col("body").alias("__body"))
     once = fulls.join(repeated, "record_id", "left_anti").unionByName(fulls.join(repeated, "record_id", "left_semi").dropDuplicates(["record_id"]))
