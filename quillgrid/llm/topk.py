@@ -13,7 +13,7 @@ reduces. No table is broadcast and no pair of vectors leaves a task except those
 Edge cases: a null vector, a vector with a null, NaN or infinite component, and a null id take no part; vectors of
 different lengths are compared over the shorter's dimensions as if the rest were 0; a query is not its own
 candidate (rows of equal id are left out together); ties go to the smaller id; fewer than k candidates give all;
-components must be below 2^40 in size after scaling, others take no part; extra columns are ignored; no rows, none.
+a finite component of 2^63 or more after scaling is an error, as is a score beyond 64 bits; extra columns are ignored; no rows, none.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from quillgrid.llm.common import materialize, small_batches, table, tidy
 
 SCALE, QUERY_BLOCK, ROW_BLOCK, DIMS = 256, 512, 8192, 16
-LARGEST = float(1 << 40)
+LARGEST = float(1 << 63)
 
 
 def _pack(df: DataFrame, rows: int) -> DataFrame:
@@ -78,7 +78,7 @@ def search_block(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarra
     for at in cuts:
         to = min(at + dims, dim)
         score = score + q[at:to].T @ c[at:to][:, alive]
-        if to < dim and len(alive):
+        if exact and to < dim and len(alive):  # bounds in floating point hold only for exact sums
             bound = score.astype(np.float64) + np.outer(q_rest[to], c_rest[to][alive]) * (1 + 1e-9) + 1
             useful = (bound >= floor[:, None]).any(0)
             if useful.mean() < 0.8:
@@ -113,9 +113,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vector: str = "
     small_batches(spark)
 
     def usable(df: DataFrame) -> DataFrame:
-        x = F.transform(F.col(vector).cast("array<double>"), lambda v: v * F.lit(float(scale)))
-        good = F.col(row_id).isNotNull() & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < LARGEST), F.lit(False)))
-        return df.select(F.col(row_id).cast("long").alias("id"), x.alias("v"), good.alias("good")).where("good").select("id", "v")
+        plain = F.col(vector).cast("array<double>")
+        x = F.transform(plain, lambda v: v * F.lit(float(scale)))
+        good = F.col(row_id).isNotNull() & F.forall(plain, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+        fits = F.when(F.forall(x, lambda v: F.abs(v) < LARGEST), x).otherwise(F.raise_error(F.lit("a vector's component does not fit 64 bits")))
+        return df.where(good).select(F.col(row_id).cast("long").alias("id"), fits.alias("v"))
 
     c = materialize(_pack(usable(candidates), ROW_BLOCK), "vectors")
     q = materialize(_pack(usable(queries), QUERY_BLOCK), "queries")
