@@ -1,15 +1,17 @@
 """Operator 1, BPE encoding and decoding: a distinct-word table.
 
 Texts are split into words in Spark, each distinct word is encoded once by the tokenizers library, and the ids are
-joined back by position (``wordtable``). Decoding joins ids with the vocabulary's pieces; the vocabulary's size is
-fixed by the tokenizer file, so its pieces travel with the closure.
+joined back by position (``wordtable``). Decoding is a join too: the distinct ids of a batch meet the table of ids and
+pieces in a hash join, and the pieces go back by position. That table's size is fixed by the tokenizer file and checked
+(``MOST_PIECES``), so it is broadcast and no token is shuffled.
 
 Splitting is exact for tokenizers whose pre-tokenizer never joins across ASCII white space, drops it, and whose
 normalizer leaves it a boundary (``word_bpe_49k.json`` is one): ``encode`` refuses others.
 
 Edge cases: a null text counts as empty; an empty text or one of white space has no ids and decodes to the empty
 string; texts and words of any length are encoded whole; repeated rows give repeated rows; other columns are kept
-only if named in ``keep``; a table without rows gives none; a null or unknown id decodes to nothing.
+only if named in ``keep``, one that is called like an output with an underscore after its name; a table without rows
+gives none; a null or unknown id decodes to nothing.
 """
 
 from __future__ import annotations
@@ -21,15 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import small_batches, table, tidy, utf8
+from quillgrid.llm.common import fresh, set_aside, small_batches, table, tidy, utf8
 from quillgrid.llm.wordtable import answer_words, apply_answers, encode_blocks, words_of
 
 
+#: Entries of the largest vocabulary that is broadcast.
+MOST_PIECES = 2_000_000
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -80,16 +87,19 @@ def _gather(starts: np.ndarray, flat: np.ndarray, lengths: np.ndarray, codes: np
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None) -> DataFrame:
     """Columns ``keep``, n_tokens and ids of every text."""
     spec = read_tokenizer(tokenizer or default_tokenizer())
-    keep = list(keep)
+    keep = list(dict.fromkeys(keep))
+    body = fresh([*keep, "n_tokens", "ids"], "__body")[0]
+    df = set_aside(df.select(*keep, F.col(text).alias(body)), "n_tokens", "ids")
+    keep = df.columns[:-1]
 
     def answer(held: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
         known: dict[bytes, np.ndarray] = {}
         tok = _tokenizer(spec)
         for block, blob in held:
             words = words_of(blob)
-            fresh = [w for w in words if w not in known]
-            for i in range(0, len(fresh), 4096):
-                part = fresh[i : i + 4096]
+            unknown = [w for w in words if w not in known]
+            for i in range(0, len(unknown), 4096):
+                part = unknown[i : i + 4096]
                 for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, "<u4")
             got = [known[w] for w in words]
@@ -103,40 +113,52 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         arrays += [pa.array(np.diff(upto)), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))]
         return pa.RecordBatch.from_arrays(arrays, [*keep, "n_tokens", "ids"])
 
-    blocks = encode_blocks(df, text, keep, "bpe")
+    blocks = encode_blocks(df, body, keep, "bpe")
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return apply_answers(blocks, answer_words(blocks, answer), _merge, rebuild, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer: str | None = None) -> DataFrame:
     """df with a column of the text that the library's decode(ids, skip_special_tokens=False) gives."""
-    spec = json.loads(read_tokenizer(tokenizer or default_tokenizer()))
-    vocabulary = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
-    pieces = np.full(max(vocabulary.values()) + 1, None, object)
-    for piece, i in vocabulary.items():
-        pieces[i] = piece
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
+    df = set_aside(df, text)
+    pieces = spark.sparkContext.broadcast(piece_table(tokenizer or default_tokenizer()))
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(at)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            if flat.dtype.kind == "f":
-                flat = np.where(np.isnan(flat), -1, flat)
-            flat = flat.astype(np.int64)
-            known = (flat >= 0) & (flat < len(pieces))
-            joined = np.where(known, pieces[np.where(known, flat, 0)], None)
-            texts, start = [], 0
-            for n in lists.value_lengths().fill_null(0).to_pylist():
-                texts.append(" ".join([p for p in joined[start : start + n] if p is not None]))
-                start += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            said = _pieces_of(lists.flatten().cast(pa.int64()), pieces.value)
+            upto = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            known = said.is_valid()
+            if not pc.all(known).as_py():
+                upto = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])[upto]
+                said = said.drop_null()
+            texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), said), " ")
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], [*batch.schema.names, text])
 
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
     return df.mapInArrow(tidy(run), schema)
 
 
+def piece_table(path: str) -> pa.Table:
+    """The tokenizer's table of ids and pieces."""
+    spec = json.loads(read_tokenizer(path))
+    vocabulary = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if len(vocabulary) > MOST_PIECES:
+        raise ValueError(f"a vocabulary of {len(vocabulary)} pieces is too large to send to every task")
+    return pa.table({"id": pa.array(vocabulary.values(), pa.int64()), "piece": pa.array(vocabulary.keys(), pa.string())})
+
+
+def _pieces_of(ids: pa.Array, pieces: pa.Table) -> pa.Array:
+    """The piece of each id, null for a null or unknown one: a hash join of the distinct ids with the pieces."""
+    coded = ids.dictionary_encode()
+    asked = pa.table({"id": coded.dictionary, "at": pa.array(np.arange(len(coded.dictionary)))})
+    met = asked.join(pieces, "id", join_type="left outer", use_threads=False).sort_by("at")
+    return met["piece"].combine_chunks().take(coded.indices)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Encode and decode every document; ids and the decoded text as digests."""
     coded = encode(table(spark, sf_dir, "documents"), tokenizer=tokenizer)

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +84,27 @@ def shuffle_width(spark: SparkSession, least: int = 64) -> int:
     return max(least, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be none of ``taken`` (case doesn't count)."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with the columns that are called like one of ``names`` renamed: underscores are put after their names.
+
+    Operators give their own columns the names that they document; a caller's column of that name stays, renamed.
+    """
+    lower = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in lower]
+    return df.withColumnsRenamed(dict(zip(clash, fresh([*df.columns, *names], *clash), strict=True))) if clash else df
+
+
 def utf8(text: Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(text, F.lit(""))

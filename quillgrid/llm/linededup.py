@@ -2,14 +2,16 @@
 
 Pages are grouped by host; a line's pages are divided by the host's pages, and lines above a boilerplate ratio go
 from every page of that host. A page counts a line once. Lines are compared without the white space around them, by
-two hashes (96 bits). A line must also be on ``min_pages`` pages, so that small hosts lose nothing by their size.
+two hashes (96 bits). A line on a single page is shared by no others and stays, however few pages its host has
+(``min_pages``).
 
 Counts are partial sums before the shuffle, so a hot host or line is no hot task. A host has at most (its mean
 number of lines a page) / ratio lines above the ratio, which bounds the set each page is held against; the sets meet
 the pages in a join that Spark broadcasts if its size check allows it, or splits at hot hosts.
 
 Edge cases: a null host is a host of its own; a null text stays null; empty texts and blank lines stay; ties do not
-arise; a repeated row is a page of its own; extra columns stay; a table without rows gives none.
+arise; a repeated row is a page of its own; extra columns stay, one that is called like a count with underscores after
+its name; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialize, table
+from quillgrid.llm.common import fresh, materialize, set_aside, table
 
-RATIO, MIN_PAGES = 0.10, 4
+RATIO, MIN_PAGES = 0.10, 2
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -53,10 +55,12 @@ def boilerplate(df: DataFrame, host: str, text: str, ratio: float = RATIO, min_p
 def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """df with ``text`` less its host's boilerplate lines, and the counts __n_lines and __n_dropped."""
     sets = boilerplate(df, host, text, ratio, min_pages)
-    met = df.withColumn("__host", _host_key(host)).join(sets, "__host", "left").withColumn("__split", _lines(text))
-    kept = F.when(F.col("lines").isNull(), F.col("__split")).otherwise(F.filter("__split", lambda x: ~F.array_contains(F.col("lines"), _key(x))))
-    met = met.withColumn("__kept", kept).withColumn("__n_lines", F.size("__split")).withColumn("__n_dropped", F.size("__split") - F.size("__kept"))
-    return met.withColumn(text, F.array_join("__kept", "\n")).drop("__host", "__split", "__kept", "lines")
+    df = set_aside(df, "__n_lines", "__n_dropped")
+    named, lines, split, left = fresh(df.columns, "__host", "__lines", "__split", "__kept")
+    met = df.withColumn(named, _host_key(host)).join(sets.toDF(named, lines), named, "left").withColumn(split, _lines(text))
+    kept = F.when(F.col(lines).isNull(), F.col(split)).otherwise(F.filter(split, lambda x: ~F.array_contains(F.col(lines), _key(x))))
+    met = met.withColumn(left, kept).withColumn("__n_lines", F.size(split)).withColumn("__n_dropped", F.size(split) - F.size(left))
+    return met.withColumn(text, F.array_join(left, "\n")).drop(named, split, left, lines)
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +82,7 @@ counts AS (
   SELECT host, line, count(*) AS n
   FROM (SELECT host, unnest(list_distinct(bare)) AS line FROM split) WHERE line <> '' GROUP BY host, line),
 boiler AS (
-  SELECT host, list(line) AS lines FROM counts JOIN pages USING (host) WHERE n >= 4 AND n > 0.10 * pages GROUP BY host),
+  SELECT host, list(line) AS lines FROM counts JOIN pages USING (host) WHERE n >= 2 AND n > 0.10 * pages GROUP BY host),
 kept AS (
   SELECT doc_id, text, len(ls) AS n_lines,
          CASE WHEN lines IS NULL THEN ls

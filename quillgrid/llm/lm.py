@@ -2,10 +2,11 @@ r"""Operator 7, language-model scoring: a probabilistic suffix tree.
 
 A text's tokens are its words (A-Z lower-cased) and one end. The tree models them as a sequence of symbols: the bytes
 of the words with a space between two and a line feed for the end; no word holds either. Contexts are the last 0 to
-``ORDER`` symbols, which may reach back to the text's start (a line feed) but not beyond.
+``DEPTH`` symbols, which may reach back to the text's start (a line feed) but not beyond.
 
-* Texts are written in blocks. A block's distinct windows (a context of ``DEPTH`` symbols and the next symbol) go, with their counts in training texts, to buckets named by the ``NEAR`` nearest context
-  symbols. Longer contexts are complete in one bucket; shorter ones, bounded by the alphabet, are summed over all.
+* Texts are written in blocks. A block's distinct windows (a context of ``DEPTH`` symbols and the next symbol) go, with
+  their counts in training texts, to buckets named by the ``NEAR`` nearest context symbols. Longer contexts are complete
+  in one bucket; shorter ones, bounded by the alphabet, are summed over all.
 * A context is kept if it is seen ``LEAST`` times, if its next-symbol distribution diverges from that of its suffix by
   at least ``DIVERGENCE`` nats (a Kullback-Leibler test), and by ``EVIDENCE`` nats in all for each symbol kind seen in
   it, without which rare contexts would be kept for their noise. None of these depends on the size of the input, and
@@ -14,14 +15,12 @@ of the words with a space between two and a line feed for the end; no word holds
   empty context's towards all 256 bytes, so that every text has a probability.
 * A bucket answers each block's windows by the longest kept context; the answers meet the texts in their block.
 
-``train`` makes a tree of bounded size instead, for contexts of at least ``share`` of all positions, that is collected
-as an automaton and broadcast (``with_scores``); the query does not use it.
-
 The base score needs each word's training count: ``wordtable`` counts and looks up distinct words.
 
 Edge cases: a null text is empty, that is, its end only; without training texts all counts are 0 and the base is
-log10(1 / 1) a token, the tree the uniform distribution; null ids train and are not held out; a zero byte counts as
-byte 1; texts are scored whole; repeated rows come back and count; extra columns are ignored; no rows, none.
+log10(1 / 1) a token, the tree the uniform distribution; null ids train and are not held out; a zero byte is the symbol
+255, which UTF-8 lacks; texts are scored whole; repeated rows come back and count; extra columns stay, one that is
+called like an output with an underscore after its name; no rows, none.
 """
 
 from __future__ import annotations
@@ -38,230 +37,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize, shuffle_width, small_batches, table, tidy
+from quillgrid.llm.common import materialize, set_aside, shuffle_width, small_batches, table, tidy
 from quillgrid.llm.simhash import LOWER
 from quillgrid.llm.wordtable import answer_counts, apply_answers, encode_blocks, pack, unpack
 
-ORDER, SHARE, DIVERGENCE, EVIDENCE = 6, 3e-6, 0.03, 2.0
+DIVERGENCE, EVIDENCE = 0.03, 2.0
 #: Symbols of the longest context, and times that a kept context is seen.
 DEPTH, LEAST = 6, 2
 END, PAD = 10, 0
-_SYMBOLS = bytes([1]) + LOWER[1:]
-#: Bytes of text whose windows are counted at once, windows held before they are passed on, lanes of the scorer.
-PIECE, HELD, LANES = 4 << 20, 2_000_000, 4096
-
-
-def symbols(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").translate(_SYMBOLS).split())
-
-
-def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of order + 1 symbols (the last in the lowest byte, 0 beyond the start) and their counts."""
-    joined = b"\n" + (b"\n" + bytes(order) + b"\n").join(texts) + b"\n"
-    s = np.frombuffer(bytes(order) + joined, np.uint8)
-    key = s[order:].astype(np.int64)
-    for back in range(1, order + 1):
-        key |= s[order - back : len(s) - back].astype(np.int64) << (8 * back)
-    key = key[(key & 0xFF != PAD) & (key & 0xFF00 != PAD)]  # padding and starts are not predicted
-    return np.unique(key, return_counts=True)
-
-
-COUNTED = "bucket int, total bigint, blob binary"
+_SYMBOLS = bytes([255]) + LOWER[1:]
 #: Context symbols that decide a window's bucket; contexts of at least as many are complete inside one bucket.
 NEAR = 3
+#: Bytes of text whose windows are counted at once, and windows held before they are summed.
+PIECE, HELD = 4 << 20, 2_000_000
 
 
-def window_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Packed windows and counts of the rows of the one-column table texts, dealt out by the nearest context symbols."""
-    spark = texts.sparkSession
-    small_batches(spark)
-    buckets = shuffle_width(spark, 256)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def packed() -> pa.RecordBatch:
-            near = (keys >> 8) & ((1 << 8 * NEAR) - 1)
-            bucket = (near * 2654435761 >> 8) % buckets
-            at = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1))
-            blobs = [pack(keys[x] >> 32, keys[x] & 0xFFFFFFFF, counts[x]) for x in np.split(at, cuts[1:])]
-            total = np.full(len(cuts), counts.sum())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[at][cuts], pa.int32()), pa.array(total), pa.array(blobs, pa.binary())], ["bucket", "total", "blob"])
-
-        for batch in batches:
-            for raw in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(symbols(raw))
-                size += len(held[-1]) + 2
-                if size >= PIECE:
-                    keys, counts = merged(keys, counts, *windows(held, order))
-                    held, size = [], 0
-                    if len(keys) >= HELD:
-                        yield packed()
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if held:
-            keys, counts = merged(keys, counts, *windows(held, order))
-        if len(keys):
-            yield packed()
-
-    return texts.mapInArrow(tidy(run), COUNTED)
-
-
-def merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two tables of keys and counts as one."""
-    keys, counts = np.concatenate([keys, more]), np.concatenate([counts, n])
-    at = np.argsort(keys, kind="stable")
-    keys, counts = keys[at], counts[at]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def context_counts(keys: np.ndarray, counts: np.ndarray, order: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, shortened windows, counts) for contexts of k symbols; complete ones only if seen ``least`` times."""
-    for k in range(order + 1):
-        full = np.ones(len(keys), bool) if k == 0 else (keys >> 8 * k) & 0xFF != PAD
-        short, at = np.unique(keys[full] & ((1 << (8 * k + 8)) - 1), return_inverse=True)
-        n = np.bincount(at, counts[full], len(short)).astype(np.int64)
-        if k >= NEAR and len(short):
-            _, of = np.unique(short >> 8, return_inverse=True)
-            seen = np.bincount(of, n)[of] >= least
-            short, n = short[seen], n[seen]
-        yield k, short, n
-
-
-def tree_rows(counted: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
-    """(k, context, symbol, n) of every context of k symbols with at least ``share`` of all positions.
-
-    A bucket knows the totals of the tasks that it hears from, a lower bound of the number of positions: what has
-    less than its share of that goes at once, and the exact test follows on the few rows left.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, keys, counts, total = None, [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            whole = merged(np.zeros(0, np.int64), np.zeros(0, np.int64), np.concatenate(keys), np.concatenate(counts))
-            for k, short, n in context_counts(*whole, order, share * total):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(short >> 8), pa.array((short & 0xFF).astype(np.int32)), pa.array(n)], ["k", "context", "symbol", "n"])
-
-        for batch in batches:
-            for own, all_, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != bucket:
-                    if keys:
-                        yield from out()
-                    bucket, keys, counts, total = own, [], [], 0
-                high, low, n = unpack(blob)
-                keys.append(high.astype(np.int64) << 32 | low.astype(np.int64))
-                counts.append(n.astype(np.int64))
-                total += all_
-        if keys:
-            yield from out()
-
-    dealt = counted.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
-    each = dealt.mapInArrow(tidy(run), "k int, context bigint, symbol int, n bigint").groupBy("k", "context", "symbol").agg(F.sum("n").alias("n"))
-    each = materialize(each, "pst-contexts")
-    total = each.where("k = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
-    sums = each.groupBy("k", "context").agg(F.sum("n").alias("of")).join(F.broadcast(total)).where(F.col("of") >= F.lit(share) * F.col("total"))
-    return each.join(sums.select("k", "context"), ["k", "context"], "left_semi")
-
-
-@dataclass(frozen=True)
-class Automaton:
-    """Flat tables by state and symbol class: next state, log10 probability."""
-
-    code: np.ndarray
-    width: int
-    move: np.ndarray
-    log10: np.ndarray
-    order: int
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        s = self.code[np.frombuffer(b"\n" + b"".join(t + b"\n" for t in texts), np.uint8)]
-        n = len(s)
-        lanes = max(1, min(LANES, n // 64))
-        steps = -(-n // lanes)
-        padded = np.concatenate([np.zeros(self.order, s.dtype), s, np.zeros(lanes * steps - n, s.dtype)])
-        rows = np.lib.stride_tricks.as_strided(padded, (self.order + steps, lanes), (padded.itemsize, steps * padded.itemsize))
-        state, out = np.zeros(lanes, np.int64), np.empty((steps, lanes), np.float32)
-        for i in range(self.order + steps):
-            at = state * self.width + rows[i]
-            if i >= self.order:
-                out[i - self.order] = self.log10[at]
-            state = self.move[at]
-        each = out.T.reshape(-1)[1:n].astype(np.float64)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        return np.add.reduceat(each, np.concatenate([[0], ends[:-1]]))
-
-
-def build(k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, order: int = ORDER, divergence: float = DIVERGENCE) -> Automaton:
-    """The automaton for tree rows; each context's suffixes must be among the rows."""
-    used = np.unique(symbol[k == 0])
-    code = np.full(256, len(used), np.int64)
-    code[used] = np.arange(len(used))
-    width = len(used) + 1
-    names, at = np.unique(k.astype(np.int64) << 56 | context, return_inverse=True)
-    if not len(names):
-        names, at = np.zeros(1, np.int64), np.zeros(0, np.int64)
-    counts = np.zeros((len(names), width), np.float32)
-    counts[at, code[symbol]] = n
-    total, kinds = counts.sum(1, dtype=np.float64), np.count_nonzero(counts, axis=1)
-    level, body = names >> 56, names & ((1 << 56) - 1)
-    chance = np.full((len(names), width), 1 / 256, np.float32)
-    kept = level == 0
-    for d in range(order + 1):  # a suffix is one level up
-        own = np.flatnonzero(level == d)
-        if not len(own) or not total[0]:
-            continue
-        up = np.searchsorted(names, (level[own] - 1) << 56 | body[own] & ((1 << (8 * d - 8)) - 1)) if d else None
-        for some in np.array_split(np.arange(len(own)), len(own) // 4096 + 1):
-            held = chance[up[some]] if d else chance[own[some]]
-            mine = own[some]
-            chance[mine] = (counts[mine] + kinds[mine, None] * held) / (total[mine] + kinds[mine])[:, None]
-            if d:
-                raw, before = counts[mine] / total[mine, None], counts[up[some]] / total[up[some], None]
-                gain = np.where(raw > 0, raw * np.log(np.where(raw > 0, raw, 1) / np.where(before > 0, before, 1)), 0).sum(1)
-                kept[mine] = (gain >= divergence) & (gain * total[mine] >= EVIDENCE * kinds[mine])
-    known = {context_bytes(int(level[i]), int(body[i])): i for i in np.flatnonzero(kept).tolist()}
-    nodes = sorted({name[:i] for name in known for i in range(len(name) + 1)}, key=lambda x: (len(x), x))
-    number = {name: i for i, name in enumerate(nodes)}
-    children: list[list[tuple[int, int]]] = [[] for _ in nodes]
-    for i, name in enumerate(nodes[1:], 1):
-        children[number[name[:-1]]].append((int(code[name[-1]]), i))
-    move, fail, state = np.zeros((len(nodes), width), np.int32), [0] * len(nodes), [0] * len(nodes)
-    for i, name in enumerate(nodes):  # breadth first: a node's suffix is complete before it
-        if len(name) > 1:
-            fail[i] = int(move[fail[number[name[:-1]]], code[name[-1]]])
-        move[i] = move[fail[i]]
-        state[i] = known[name] if name in known else state[fail[i]]
-        for c, to in children[i]:
-            move[i, c] = to
-    return Automaton(code, width, move.reshape(-1), np.log10(chance)[state].reshape(-1), order)
-
-
-def context_bytes(k: int, context: int) -> bytes:
-    return context.to_bytes(k, "big")
-
-
-def train(texts: DataFrame, order: int = ORDER, share: float = SHARE, divergence: float = DIVERGENCE) -> Automaton:
-    rows = tree_rows(window_counts(texts, order), order, share)
-    got = rows.select(F.col("k").cast("int").alias("k"), "context", "symbol", "n").toArrow()  # at most (1 / share) contexts a level
-    return build(*(c.to_numpy() for c in got.columns), order, divergence)
-
-
-def with_scores(df: DataFrame, model: Automaton, text: str = "text", out: str = "score") -> DataFrame:
-    """df with the log10 probability of each text."""
-    small_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [symbols(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            scores = sent.value.scores(texts) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, out])
-
-    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+def symbols(text: bytes | None) -> bytes:
+    return b" ".join((text or b"").translate(_SYMBOLS).split())
 
 
 @dataclass(frozen=True)
@@ -476,7 +268,7 @@ def kept_contexts(df: DataFrame, text: str, trains: str, order: int = DEPTH) ->
 
 def tree_scores(df: DataFrame, text: str, trains: str, out: str = "score", order: int = DEPTH) -> DataFrame:
     """df with the log10 probability of each text by the tree of the rows where ``trains`` is true."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, set_aside(df, out)
     blocks, counted, buckets = tree_windows(df, text, trains, order)
     at = df.columns.index(text)
     short = spark.sparkContext.broadcast(short_levels(blocks, at, df.columns.index(trains)))
@@ -513,6 +305,9 @@ def tree_scores(df: DataFrame, text: str, trains: str, out: str = "score", order
 
 def base_scores(df: DataFrame, text: str, keep: list[str], trains: str, lower: bool = True, ends: int | None = None) -> DataFrame:
     """keep, n_tokens, n_known, train_tokens, base_score: add-one unigrams of the rows where ``trains`` is true, ``ends`` in number."""
+    said = ("n_tokens", "n_known", "train_tokens", "base_score")
+    renamed = dict(zip(df.columns, set_aside(df, *said).columns, strict=True))
+    keep, df = [renamed[c] for c in keep], set_aside(df, *said)
     lowered = df.withColumn(text, F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if lower else df
     blocks = encode_blocks(lowered, text, [trains, *(c for c in keep if c != trains)], "lm", count=trains, written=True)
     answers = materialize(answer_counts(blocks), "lm-counts")
@@ -533,7 +328,7 @@ def base_scores(df: DataFrame, text: str, keep: list[str], trains: str, lower: b
         base = sums(logs) + math.log10(ends + 1) - n * unit
         columns = [pa.array(kept.column(c).to_pylist(), kept.schema.field(c).type) for c in names]
         columns += [pa.array(n), pa.array(np.rint(sums(known)).astype(np.int64) + (ends > 0)), pa.array(np.full(len(n), total, np.int64)), pa.array(base)]
-        return pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "n_known", "train_tokens", "base_score"])
+        return pa.RecordBatch.from_arrays(columns, [*names, *said])
 
     more = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType())]
     schema = T.StructType([df.schema[c] for c in names] + more)

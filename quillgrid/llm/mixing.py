@@ -7,13 +7,17 @@ weights (blocks needed) cut the points into one interval a source. As the rotati
 gets exactly the slots that it needs, spread as evenly as the golden ratio allows. Slots are ranked within their
 source; rank r takes block r mod (blocks of the source), the last only as far as the target.
 
+The mix is what stands in the slots: slots are joined with the pieces of documents in their blocks, which says how many
+words are taken of a document, at which slot first (``mix``), and in which order the documents stand (``taken_rows``).
+
 Slots are made from the sources' intervals by the inverse of a, so no join between slots and intervals is needed.
 Ranks and document offsets are prefix sums in two levels (sums of chunks, then inside a chunk), so a source with a
 third of all rows is no hot task. The only rows on one task are the sources' own totals.
 
-Edge cases: a null text has size 0; size-0 documents take 0; a null source is a source, last in order; with all
-sizes 0 all targets are 0; equal doc_ids are told apart by size, and rows equal in both share what they take in
-either order; extra columns stay on the document; a table without rows gives none.
+Edge cases: a null text has size 0; size-0 documents take 0 and have no slot; a null source is a source, last in order;
+with all sizes 0 all targets are 0; equal doc_ids are told apart by size and text, and rows equal in all share what they
+take in either order; kept columns that are called like an output get an underscore after their name; extra columns
+stay on the document in ``taken_rows``; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillgrid.llm.common import WORD, materialize, table, utf8
+from quillgrid.llm.common import WORD, fresh, materialize, set_aside, table, utf8
 
 #: Tokens of a block.
 BLOCK = 128
@@ -105,58 +110,69 @@ def schedule(sources: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     return ranked.select("sid", "source_size", "slot", "rank", "block", "start", tokens.cast("long").alias("tokens"))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep``, size, source_size, target and taken (tokens that the mix takes) for each document."""
+def _placed(df: DataFrame, doc_id: str, text: str, source: str, block: int, seed: int, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Documents, those with words and their place (sid, start) in their source's stream, what each slot takes of them
+    (sid, start, round, slot, words), and the number of slots. A round is one pass through a source."""
     key = F.xxhash64(F.col(doc_id), F.lit(seed))
-    docs = materialize(df.select(F.col(doc_id).alias("__id"), *[F.col(c) for c in keep], F.col(source).cast("string").alias("__source"), word_count(F.col(text)).alias("size"), key.alias("__key")), "mix-docs")
-    sizes = docs.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
-    sources = materialize(_plan(source_targets(sizes.select("source", "source_size")), block), "mix-sources")
-    found = sources.agg(F.sum("needed").alias("m")).first()["m"]
-    total, rows = int(found or 0), docs.count()
+    docs = df.select(F.col(doc_id).alias("__id"), *keep, F.col(source).cast("string").alias("__source"), word_count(F.col(text)).alias("__size"), key.alias("__key"), F.xxhash64(text).alias("__text"))
+    docs = materialize(docs, "mix-docs")
+    sizes = docs.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
+    sources = materialize(_plan(source_targets(sizes), block), "mix-sources")
+    total, rows = int(sources.agg(F.sum("needed")).first()[0] or 0), docs.count()
     bits = max(6, math.ceil(math.log2(max(1, rows)) / 2))
-    named = docs.join(sources.select(F.col("source").alias("__s"), "sid", "source_size", "target"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__source", "__s")
-    sized = named.where("size > 0").withColumn("part", F.shiftrightunsigned("__key", 64 - bits))
-    sums = sized.groupBy("sid", "part").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("sid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "part").orderBy("__key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["sid", "part"])
-    placed = materialize(placed.withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "part", "__key"), "mix-placed")
-    given = schedule(sources, total, block)
-    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    whole = F.col("tokens") >= length
-    given = given.groupBy("sid", "block").agg(F.sum(whole.cast("long")).alias("times"), F.coalesce(F.max(F.when(~whole, F.col("tokens"))), F.lit(0)).alias("rest"))
-    pieces = placed.select("sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))).alias("block"))
+    named = docs.join(sources.select(F.col("source").alias("__s"), F.col("sid").alias("__sid"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), F.col("__source").eqNullSafe(F.col("__s"))).drop("__source", "__s")
+    sized = named.where("__size > 0").withColumn("__part", F.shiftrightunsigned("__key", 64 - bits))
+    sums = sized.groupBy("__sid", "__part").agg(F.sum("__size").alias("n"))
+    before = Window.partitionBy("__sid").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("__sid", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__sid", "__part").orderBy("__key", "__id", "__size", "__text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(base, ["__sid", "__part"])
+    placed = materialize(placed.withColumn("__start", F.col("__base") + F.col("__inside")).drop("__base", "__inside", "__part", "__key"), "mix-placed")
+    slots = schedule(sources, total, block).select("sid", "block", "slot", "tokens", F.floor((F.col("start") - F.col("block") * block) / F.greatest(F.col("source_size"), F.lit(1))).alias("round"))
+    first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
+    pieces = placed.select(F.col("__sid").alias("sid"), F.col("__start").alias("start"), F.col("__size").alias("size")).withColumn("block", F.explode(F.sequence(first, last)))
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    got = pieces.join(given, ["sid", "block"]).select("sid", "start", ((hi - lo) * F.col("times") + F.greatest(F.least(hi, F.col("rest")) - lo, F.lit(0))).alias("got"))
-    got = got.groupBy("sid", "start").agg(F.sum("got").alias("taken"))
-    done = placed.join(got, ["sid", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    empty = named.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    cols = [F.col("__id").alias(doc_id), *keep, "size", "source_size", "target", "taken"]
+    hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block), F.col("tokens"))
+    given = pieces.join(slots, ["sid", "block"]).select(F.col("sid").alias("__sid"), F.col("start").alias("__start"), "round", "slot", (hi - lo).alias("words")).where("words > 0")
+    return named, placed, given, total
+
+
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, size, source_size, target, taken (tokens that the mix takes) and first_slot (where
+    it takes the first of them, null if none) for each document."""
+    shown = set_aside(df.select(*keep), "size", "source_size", "target", "taken", "first_slot").columns
+    held = [F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)]
+    bare = df.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__body"), F.col(source).alias("__from"), *held)
+    named, placed, given, _ = _placed(bare, "__doc", "__body", "__from", block, seed, [f"__keep{i}" for i in range(len(keep))])
+    got = given.groupBy("__sid", "__start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    done = placed.join(got, ["__sid", "__start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    empty = named.where("__size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
+    cols = [F.col("__id").alias(doc_id), *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(shown)], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken", "first_slot"]
     return done.select(*cols).unionByName(empty.select(*cols))
 
 
-def taken_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself, as rows of df: a document once for each time it is taken, cut after its last word taken.
+def taken_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 6) -> DataFrame:
+    """The mix itself, as rows of df in the order of the slots: a document at each slot that begins it, cut after its
+    last word taken.
 
     Rows that the mix takes nothing of go. Only where a source's target ends is a document cut, so one at most for
-    each source; the cut keeps the white space between words. Equal rows count together.
+    each source; the cut keeps the white space between words. Partition i has the i-th part of the slots, in order.
+    Equal rows are one document of which there are several: any of them stands for the others.
     """
-    hashed = df.withColumn("__hash", F.xxhash64(text))
-    taken = mix(hashed, doc_id, text, source, keep=("__hash",))
-    taken = taken.groupBy(F.col(doc_id).alias("__id"), F.col("__hash").alias("__h")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken")).where("__taken > 0")
-    taken = materialize(taken, "taken")
-    once = hashed.dropDuplicates([doc_id, "__hash"])
-    met = once.join(taken, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
-    times = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    rest = (F.col("__taken") % F.col("__size")).cast("int")
-    counts = F.concat(F.array_repeat(F.lit(0), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    each = met.withColumn("__cut", F.explode(counts))
-    words = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the white space after it
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    row, row_id, name, words, slot = fresh(df.columns, "__row", "__row_id", "__name", "__words", "__slot")
+    whole = df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in hashable])).withColumn(row_id, F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    _, placed, given, total = _placed(whole.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__body"), F.col(source).alias("__from"), F.col(row).alias("__row"), F.col(row_id).alias("__row_id")), "__doc", "__body", "__from", block, seed, ["__row", "__row_id"])
+    passes = given.groupBy("__sid", "__start", "round").agg(F.min("slot").alias(slot), F.sum("words").alias(words))
+    named = placed.select("__sid", "__start", F.col("__row").alias(row), F.col("__row_id").alias(row_id), F.col("__size").alias(name))
+    wanted = materialize(passes.join(named, ["__sid", "__start"]).select(row, row_id, slot, F.when(F.col(words) < F.col(name), F.col(words)).cast("int").alias(words)), "taken")
+    met = whole.dropDuplicates([row, row_id]).join(wanted, [row, row_id])
+    parts = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the white space after it
     lead = F.when(F.col(text).rlike(r"\A[\x20\x09-\x0D]"), 1).otherwise(0)
-    cut = F.rtrim(F.array_join(F.slice(words, F.lit(1), F.col("__cut") + lead), ""))
-    return each.withColumn(text, F.when(F.col("__cut") == 0, F.col(text)).otherwise(cut)).select(*df.columns)
+    cut = F.rtrim(F.array_join(F.slice(parts, F.lit(1), F.col(words) + lead), ""))
+    dealt = met.repartitionById(width, F.floor(F.col(slot) * width / max(total, 1)).cast("int")).sortWithinPartitions(slot, row, row_id)
+    return dealt.withColumn(text, F.when(F.col(words).isNull(), F.col(text)).otherwise(cut)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

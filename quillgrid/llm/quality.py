@@ -5,12 +5,14 @@ which approximate a Gaussian kernel, and scored by a ridge regression. Its norma
 kept by fold, so that every labelled row also gets a score from the other folds; on those scores, pooled in bins, an
 isotonic regression gives probabilities.
 
-The fit uses at most ``SAMPLE`` labelled rows, those of least hash: a documented bound. Sums of a bounded sample are
-what reaches the driver; scoring passes over all rows without a shuffle.
+The fit uses at most ``SAMPLE`` labelled rows, those of least hash: a documented bound, which holds for repeated ids
+too. Their texts are found and measured where they are read, by as many tasks as the corpus has; only statistics
+move. Sums of a bounded sample are what reaches the driver; scoring passes over all rows without a shuffle.
 
 Edge cases: a null text is an empty one; empty texts are scored like others; texts are measured whole; labels other
 than 0 and 1 and null ids teach nothing; repeated labels count each; without labels of both kinds every score is the
-smoothed share of label 1 (0.5 without labels); repeated rows come back; extra columns stay where kept; no rows, none.
+smoothed share of label 1 (0.5 without labels); repeated rows come back; extra columns stay, one that is called like
+an output with an underscore after its name; no rows, none.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize, small_batches, table, tidy
+from quillgrid.llm.common import materialize, set_aside, small_batches, table, tidy
 from quillgrid.llm.repetition import repeat_words, word_numbers
 
 #: Labelled rows used, features, kernel width (in standard deviations), ridge strength, folds, bins and seed.
 SAMPLE, WIDTH, SCALE, RIDGE, FOLDS, BINS, SEED = 20_000, 256, 4.0, 1.0, 5, 512, 10
 THRESHOLD = 0.7
+#: Tasks that the sample's statistics are dealt to for the fit.
+FIT_TASKS = 8
 
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOL, _MARK, _STOP, _QUOTE = b"#*$%&|<>{}[]\\^~=_+@/", b"!?", b".,;:", b"\"'()-"
@@ -194,13 +198,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     # at most ``sample`` rows of 20 bytes
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     fold = F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")
-    measured = with_statistics(met.select("text", "label", fold))
-    return fit(materialize(measured.select("stats", "label", "fold").coalesce(8), "labelled"))
+    measured = with_statistics(met.select("text", "label", fold, "h")).orderBy("h", "label", "stats").limit(sample)
+    return fit(materialize(measured.select("stats", "label", "fold").repartition(FIT_TASKS, "stats").sortWithinPartitions("stats", "label"), "labelled"))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
-    """df's other columns (and its text, if asked for), score and predicted."""
+def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, with_text: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """df's other columns (and its text, if asked for), score and predicted, or what ``names`` calls them."""
     small_batches(df.sparkSession)
+    df = set_aside(df, *names)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +213,10 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = TH
             stats = np.array([statistics(x or b"") for x in batch.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, len(NAMES))
             keep = [i for i in range(batch.num_columns) if with_text or i != at]
             scores = np.clip(model.scores(stats), 0, 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*(batch.schema.names[i] for i in keep), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*(batch.schema.names[i] for i in keep), *names])
 
     fields = [f for f in df.schema.fields if with_text or f.name != text]
-    return df.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ to their least. Nothing is capped away, and rows stay in proportion to fingerpri
 
 Edge cases: a null, empty or white-space text has fingerprint zero, linked like any other; fewer than three words
 are one shingle; texts are taken whole; repeated rows and equal doc_ids each come back; null doc_ids are kept and
-never are a component's id unless it has no other; a table without rows gives none.
+never are a component's id unless it has no other; kept columns that are called like an output get an underscore after
+their name; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize, small_batches, table, tidy
+from quillgrid.llm.common import fresh, materialize, set_aside, small_batches, table, tidy
 from quillgrid.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -89,6 +90,7 @@ def _half_ball(segment: Column) -> Column:
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose components are those of "at most two differing bits", for distinct values in column fp."""
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # each gives dozens of rows
     first, second = _segments()
     entries = fps.select("fp", F.explode(F.array(first, second)).alias("key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("b"))
@@ -111,8 +113,10 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), shingle: int = 3) -> DataFrame:
     """doc_id, the columns ``keep``, fp, root (a fingerprint that names the group) and component_id, for each row."""
-    picked = df.select(doc_id, *keep, text)
-    marked = materialize(fingerprints(picked, text, shingle=shingle), "fingerprints")
+    body = fresh([doc_id, *keep, "fp", "root", "component_id"], "__body")[0]
+    picked = set_aside(df.select(doc_id, *keep, F.col(text).alias(body)), "fp", "root", "component_id")
+    doc_id, *keep = picked.columns[:-1]
+    marked = materialize(fingerprints(picked, body, shingle=shingle), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
     roots = components(links(fps.select("fp")), "simhash")
     if roots is None:
@@ -126,13 +130,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near duplicates: that of least doc_id, of several that of least fingerprint and hash."""
-    hashed = df.withColumn("__hash", F.xxhash64(text))
-    found = near_duplicates(hashed.select(doc_id, "__hash", text), doc_id, text, keep=("__hash",))
+    mark, named, chosen_hash = fresh(df.columns, "__hash", "__id", "__h")
+    hashed = df.withColumn(mark, F.xxhash64(text))
+    found = near_duplicates(hashed.select(doc_id, mark, text), doc_id, text, keep=(mark,))
     found = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    chosen = found.groupBy("root", "component_id").agg(F.min(F.struct("fp", "__hash")).alias("m")).select(F.col("component_id").alias("__id"), F.col("m.__hash").alias("__h"))
+    chosen = found.groupBy("root", "component_id").agg(F.min(F.struct("fp", mark)).alias("m")).select(F.col("component_id").alias(named), F.col("m")[mark].alias(chosen_hash))
     chosen = materialize(chosen.distinct(), "chosen")
-    met = hashed.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return met.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    met = hashed.join(chosen, F.col(doc_id).eqNullSafe(F.col(named)) & (F.col(mark) == F.col(chosen_hash)), "left_semi")
+    return met.dropDuplicates([doc_id, mark]).drop(mark)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ Edge cases: equal dates go by record id; records without URL, date or id resolve
 "unmatched"; a revisit without usable validators is "unverified"; one whose latest earlier response has other
 validators is "mismatch" (older ones are not tried: the server compared with its newest); header names compare
 without case and null headers count as none; a response without body or with another status than 200 is not full;
-repeated records of one id count as one; extra columns stay on the revisit's row; no rows give none.
+of records of one id and kind (full response or revisit) the least counts, so reruns agree; a response of a revisit's
+date and id is not earlier; extra columns stay on the revisit's row, one that is called like an output with an
+underscore after its name; no rows give none.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillgrid.llm.common import materialize, table
+from quillgrid.llm.common import fresh, materialize, set_aside, table
 
 SLICE_SECONDS = 3600
 #: Header fields that describe the body sent or the connection, which a 304 does not replace.
@@ -54,7 +56,7 @@ def latest_full(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataF
     """(record_id, full_id): for each revisit the latest earlier full response of its URL. Columns: url, at, record_id, full."""
     spot = F.struct("at", "record_id")
     cut = records.withColumn("slice", F.floor(F.unix_micros("at") / (slice_seconds * 1_000_000)))
-    order = Window.partitionBy("url", "slice").orderBy("at", "record_id")
+    order = Window.partitionBy("url", "slice").orderBy("at", "record_id", "full")
     inside = cut.withColumn("found", F.last(F.when(F.col("full"), spot), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     revisits = inside.where("not full")
     slices = cut.groupBy("url", "slice").agg(F.max(F.when(F.col("full"), spot)).alias("last"))
@@ -64,37 +66,52 @@ def latest_full(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataF
     return asked.select("record_id", F.coalesce("found", "carried")["record_id"].alias("full_id"))
 
 
+def one_of_each(records: DataFrame, kind: Column) -> DataFrame:
+    """records with one row for each (record_id, kind) that has an id: that of least date, URL, status, headers and body.
+
+    Ids that are repeated are found without bodies; only their rows, few in a sane archive, are then compared whole.
+    Rows without id all stay.
+    """
+    mark = fresh(records.columns, "__kind")[0]
+    marked = records.withColumn(mark, kind)
+    counts = marked.where("record_id is not null").groupBy("record_id", mark).count()
+    repeated = materialize(counts.where("count > 1").select("record_id", mark), "repeated")
+    single = marked.join(repeated, ["record_id", mark], "left_anti")
+    rank = F.struct("warc_date", "target_uri", "status", F.to_json(F.array_sort(F.map_entries(F.coalesce("headers", no_headers())))), F.xxhash64("body"), "body")
+    again = marked.join(repeated, ["record_id", mark], "left_semi").groupBy("record_id", mark).agg(F.min_by(F.struct(*records.columns), rank).alias("r"))
+    return single.select(*records.columns).unionByName(again.select(*[F.col("r")[c].alias(c) for c in records.columns]))
+
+
 def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Revisits with outcome (resolved, mismatch, unverified, unmatched), matched_id, headers and body.
 
     Columns of ``records``: record_id, warc_type, target_uri, warc_date, status, headers (a map), body.
     """
+    records = set_aside(records, "outcome", "matched_id", "canonical_url")
+    stored, body, old, new = fresh(records.columns, "__stored", "__body", "__old", "__new")
     is_full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("body").isNotNull(), F.lit(False))
+    wanted = one_of_each(records.where(is_full | (F.col("warc_type") == "revisit")), is_full)
     usable = F.col("target_uri").isNotNull() & F.col("warc_date").isNotNull() & F.col("record_id").isNotNull()
-    wanted = records.where((is_full | (F.col("warc_type") == "revisit")) & usable)
-    spots = wanted.select(canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").cast("timestamp").alias("at"), "record_id", is_full.alias("full"))
-    found = latest_full(spots.dropDuplicates(["record_id"]), slice_seconds).where("full_id is not null")
-    revisits = records.where(F.col("warc_type") == "revisit").drop("body")
-    named = revisits.where("record_id is not null").dropDuplicates(["record_id"])
-    nameless = revisits.where("record_id is null").withColumn("full_id", F.lit(None).cast(records.schema["record_id"].dataType))
+    spots = wanted.where(usable).select(canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").cast("timestamp").alias("at"), "record_id", is_full.alias("full"))
+    found = latest_full(spots, slice_seconds).where("full_id is not null").withColumnRenamed("full_id", "matched_id")
+    revisits = wanted.where(F.col("warc_type") == "revisit").drop("body")
+    nameless = revisits.where("record_id is null").withColumn("matched_id", F.lit(None).cast(records.schema["record_id"].dataType))
     # revisits without a match stay out of the join with bodies, where their null would be a hot key
-    matched = materialize(named.join(found, "record_id", "left").unionByName(nameless), "revisits")
-    repeated = materialize(records.where(is_full).groupBy("record_id").count().where("count > 1").select("record_id"), "repeated")
-    fulls = records.where(is_full).select("record_id", F.col("headers").alias("__stored"), F.col("body").alias("__body"))
-    once = fulls.join(repeated, "record_id", "left_anti").unionByName(fulls.join(repeated, "record_id", "left_semi").dropDuplicates(["record_id"]))
-    bodies = once.withColumnRenamed("record_id", "full_id")
-    without = matched.where("full_id is null").withColumn("__stored", no_headers()).withColumn("__body", F.lit(None).cast(records.schema["body"].dataType))
-    met = matched.where("full_id is not null").join(bodies, "full_id").unionByName(without)
-    met = met.withColumn("__old", _lower_keys(F.col("__stored"))).withColumn("__new", _lower_keys(F.col("headers")))
+    matched = materialize(revisits.where("record_id is not null").join(found, "record_id", "left").unionByName(nameless), "revisits")
+    bodies = wanted.where(is_full & F.col("record_id").isNotNull()).select(F.col("record_id").alias("matched_id"), F.col("headers").alias(stored), F.col("body").alias(body))
+    without = matched.where("matched_id is null").withColumn(stored, no_headers()).withColumn(body, F.lit(None).cast(records.schema["body"].dataType))
+    met = matched.where("matched_id is not null").join(bodies, "matched_id").unionByName(without)
+    met = met.withColumn(old, _lower_keys(F.col(stored))).withColumn(new, _lower_keys(F.col("headers")))
     tag = lambda c: F.regexp_replace(F.trim(F.col(c)["etag"]), "^W/", "")
     date = lambda c: F.trim(F.col(c)["last-modified"])
-    agrees = F.when(tag("__old").isNotNull() & tag("__new").isNotNull(), tag("__old") == tag("__new")).when(date("__old").isNotNull() & date("__new").isNotNull(), date("__old") == date("__new"))
-    outcome = F.when(F.col("full_id").isNull(), "unmatched").when(agrees.isNull(), "unverified").when(agrees, "resolved").otherwise("mismatch")
-    permitted = F.map_filter("__new", lambda k, v: ~k.isin(*NOT_REPLACED))
-    merged = F.map_concat(F.map_filter("__old", lambda k, v: ~F.map_contains_key(permitted, k)), permitted)
+    agrees = F.when(tag(old).isNotNull() & tag(new).isNotNull(), tag(old) == tag(new)).when(date(old).isNotNull() & date(new).isNotNull(), date(old) == date(new))
+    outcome = F.when(F.col("matched_id").isNull(), "unmatched").when(agrees.isNull(), "unverified").when(agrees, "resolved").otherwise("mismatch")
+    permitted = F.map_filter(new, lambda k, v: ~k.isin(*NOT_REPLACED))
+    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(permitted, k)), permitted)
     met = met.withColumn("outcome", outcome)
     done = F.col("outcome") == "resolved"
-    return met.withColumn("headers", F.when(done, merged).otherwise(F.col("__new"))).withColumn("body", F.when(done, F.col("__body"))).withColumnRenamed("full_id", "matched_id").withColumn("canonical_url", canonical_url(F.col("target_uri"))).drop("__stored", "__body", "__old", "__new")
+    met = met.withColumn("headers", F.when(done, merged).otherwise(F.col(new))).withColumn("body", F.when(done, F.col(body)))
+    return met.withColumn("canonical_url", canonical_url(F.col("target_uri"))).drop(stored, body, old, new)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:

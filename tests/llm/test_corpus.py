@@ -19,7 +19,7 @@ from quillgrid.llm.components import components
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def plain_lines(rows, ratio=0.10, least=4):
+def plain_lines(rows, ratio=0.10, least=2):
     pages, lines = Counter(s for _, s, _ in rows), Counter()
     bare = lambda x: x.strip(" \t\r\x0b\x0c")
     for _, s, t in rows:
@@ -37,11 +37,14 @@ def test_line_dedup(spark, odd_docs, no_docs):
     assert got == want and any("menu" not in (t or "menu") for _, t in got)
     assert linededup.drop_boilerplate(odd_docs, "source").count() == odd_docs.count()
     assert linededup.drop_boilerplate(no_docs, "source").count() == 0
+    named = odd_docs.withColumns({c: F.lit("mine") for c in ("lines", "__host", "__lines", "__n_lines")})
+    out = linededup.drop_boilerplate(named, "source")
+    assert {(r["lines"], r["__host"], r["__lines"], r["__n_lines_"]) for r in out.collect()} == {("mine",) * 4} and out.count() == odd_docs.count()
 
 
-def test_small_hosts_lose_nothing(spark):
-    df = spark.createDataFrame([(1, "s", "a\nb"), (2, "s", "a\nc"), (3, "s", "a")], "doc_id bigint, source string, text string")
-    assert sorted(r["text"] for r in linededup.drop_boilerplate(df, "source").collect()) == ["a", "a\nb", "a\nc"]
+def test_lines_of_one_page_stay(spark):
+    df = spark.createDataFrame([(1, "s", "a\nb"), (2, "s", "a\nc"), (3, "t", "a\nd")], "doc_id bigint, source string, text string")
+    assert sorted(r["text"] for r in linededup.drop_boilerplate(df, "source").collect()) == ["a\nd", "b", "c"]
 
 
 RECORD = "record_id bigint, warc_type string, target_uri string, warc_date timestamp, status int, headers map<string,string>, body string"
@@ -170,6 +173,9 @@ def test_simhash_edges(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in kept.collect()) == [(0, "no i"), (1, "The "), (2, ""), (5, "w0 w"), (6, "anot"), (6, "same"), (7, "日本語 "), (8, "xxxx")]
     assert simhash.near_duplicates(no_docs).count() == 0
+    named = odd_docs.withColumn("fp", F.lit("mine")).withColumn("__hash", F.lit("mine"))
+    assert {r["fp_"] for r in simhash.near_duplicates(named, keep=("fp",)).collect()} == {"mine"}
+    assert simhash.keep_one(named).columns == named.columns and simhash.keep_one(named).count() == kept.count()
 
 
 def test_components(spark):
@@ -250,6 +256,23 @@ def test_taken_by_brute_force(spark, small, block):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=block).collect()} == want
 
 
+def test_first_slots_and_the_order_of_the_mix(spark, small):
+    """Each document's first slot, and the rows of the mix by slot, from the schedule in plain Python."""
+    docs = table(spark, small, "documents")
+    out = {r["doc_id"]: r for r in mixing.mix(docs, block=32).collect()}
+    rows = mixing.taken_rows(docs, block=32).collect()
+    words = Counter()
+    for r in rows:
+        words[r["doc_id"]] += len(WORDS.findall(r["text"]))
+    assert words == Counter({i: r["taken"] for i, r in out.items() if r["taken"]})
+    slots = sorted(r["first_slot"] for r in out.values() if r["taken"])
+    assert slots[0] == 0 and all(r["first_slot"] is None for r in out.values() if not r["taken"])
+    seen = list(dict.fromkeys(r["doc_id"] for r in rows))
+    assert [out[i]["first_slot"] for i in seen] == sorted(out[i]["first_slot"] for i in seen)
+    half = Counter(r["source"] for r in rows[: len(rows) // 2])
+    assert len(half) == len({r["source"] for r in rows})  # every source is in either half of the mix
+
+
 def test_slots_are_golden_ratio_points(spark):
     sources = mixing._plan(mixing.source_targets(spark.createDataFrame([("a", 900), (None, 400)], "source string, source_size bigint")), 10)
     rows = {r["sid"]: r for r in sources.collect()}
@@ -291,6 +314,11 @@ def test_taken_rows(spark, odd_docs, no_docs):
     size = lambda rows: sum(len(WORDS.findall(r["text"] or "")) for r in rows)
     assert size(out) == pytest.approx(1.5 * size(odd_docs.collect()), abs=3)
     assert mixing.taken_rows(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+    named = odd_docs.withColumn("size", F.lit("mine"))
+    assert {r["size_"] for r in mixing.mix(named, keep=("size", "score")).collect()} == {"mine"}
+    assert [c for c in mixing.mix(named, keep=("size", "score")).columns if c.startswith("s")] == ["size_", "score", "size", "source_size"]
+    again = [(r["doc_id"], r["text"]) for r in mixing.taken_rows(odd_docs.repartition(5, "n_chars")).collect()]
+    assert again == [(r["doc_id"], r["text"]) for r in out]
 
 
 def test_base_scores(spark, small):
@@ -347,19 +375,6 @@ def plain_tree(texts, order, share, divergence):
     return score
 
 
-@pytest.mark.parametrize("lanes", [1, 5, 4096])
-def test_suffix_tree_scores(spark, monkeypatch, lanes):
-    monkeypatch.setattr(lm, "LANES", lanes)
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice(["the", "then", "there", "Café", "x1"]) for _ in range(rng.randrange(12))) for _ in range(120)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = lm.train(df, share=0.002, divergence=0.02)
-    score = plain_tree(texts, lm.ORDER, 0.002, 0.02)
-    asked = [*texts[:20], "", "unseen 日 zz", "  the  THE "]
-    got = model.scores([lm.symbols(t.encode()) for t in asked])
-    assert got == pytest.approx([score(t) for t in asked], rel=1e-5)
-
-
 def test_tree_tables_score_as_the_plain_tree(spark, monkeypatch):
     monkeypatch.setattr(lm, "PIECE", 900)
     rng = random.Random(3)
@@ -382,14 +397,17 @@ def test_kept_contexts_grow_with_the_texts(spark):
 
 
 def test_language_model_edges(spark, odd_docs, no_docs):
-    docs = odd_docs.select("doc_id", "text", lm.held_out(F.col("doc_id")).alias("held_out"), F.lit(True).alias("trains"))
-    model = lm.train(docs.select("text"))
-    out = lm.base_scores(lm.with_scores(docs, model), "text", ["doc_id", "held_out", "score"], "trains").collect()
+    docs = odd_docs.select("doc_id", "text", "score", F.lit("clash").alias("n_known"), lm.held_out(F.col("doc_id")).alias("held_out"), F.lit(True).alias("trains"))
+    out = lm.base_scores(lm.tree_scores(docs, "text", "trains"), "text", ["doc_id", "held_out", "score", "score_", "n_known"], "trains").collect()
     assert len(out) == docs.count() and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in out)
-    empty = lm.train(no_docs.select("text"))
-    assert empty.scores([b"ab"]) == pytest.approx([3 * math.log10(1 / 256)])
-    none = lm.base_scores(lm.with_scores(docs.withColumn("trains", F.lit(False)), empty), "text", ["doc_id", "score"], "trains").collect()
+    assert {(r["score_"], r["n_known_"]) for r in out} == {("clash", "clash")}
+    untrained = lm.tree_scores(docs.withColumn("trains", F.lit(False)), "text", "trains")
+    assert {r["doc_id"]: r["score"] for r in untrained.collect()}[8] == pytest.approx(5001 * math.log10(1 / 256), rel=1e-6)
+    none = lm.base_scores(untrained, "text", ["doc_id", "score"], "trains").collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in none} == {(0, 0, 0.0)}
+    empty = no_docs.select("doc_id", "text", F.lit(True).alias("trains"))
+    assert lm.base_scores(lm.tree_scores(empty, "text", "trains"), "text", ["doc_id", "score"], "trains").count() == 0
+    assert lm.symbols(b"a\x00b") != lm.symbols(b"a\x01b")
 
 
 def plain_top(rows, k=5):
@@ -405,10 +423,11 @@ def plain_top(rows, k=5):
 @pytest.mark.parametrize("n", [3, 700])
 def test_top_k(spark, monkeypatch, n):
     monkeypatch.setattr(topk, "ROW_BLOCK", 100)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "WAVE_BYTES", 1000)
+    monkeypatch.setattr(topk, "SEEDS", 64)
     rng = np.random.default_rng(7)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=24)]) for i in range(n)]
-    rows += [(1001, rows[1][1]), (1002, rows[1][1]), (1003, None), (1004, [1.0, None]), (1005, [float("nan")] * 24), (None, rows[0][1]), (1050, [float("inf")] * 24), (1100, []), (1006, [0.5, 0.25])]
+    rows += [(1001, rows[1][1]), (1002, rows[1][1]), (1003, None), (1004, [1.0, None]), (1005, [float("nan")] * 24), (None, rows[0][1]), (1050, [float("inf")] * 24), (1100, []), (1006, [0.5, 0.25]), (1007, rows[1][1]), (1007, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
     got = defaultdict(list)
     for r in topk.top_k(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
@@ -417,11 +436,39 @@ def test_top_k(spark, monkeypatch, n):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
-def test_top_k_prunes():
+def test_repeated_queries_ask_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 2, 128 * 256), (2, 1, 0)]
+
+
+def embeddings(spark, sf):
+    rows = table(spark, sf, "embeddings").orderBy("vec_id").collect()
+    return np.array([r["vec_id"] for r in rows]), np.floor(256 * np.array([r["embedding"] for r in rows], np.float64)).astype(np.int64).T
+
+
+def test_most_products_are_skipped(spark):
+    """On the table of sf0.1, of which no candidate is far shorter than another."""
+    ids, c = embeddings(spark, "/root/testdata/sf0.1")
+    own = ids % 50 == 0
+    floors = topk._first_floors(ids[own], c[:, own], ids[:500], c[:, :500], 5)
+    wave = topk.Wave([{"ids": ids[own].tobytes(), "floors": floors.tobytes(), "dim": len(c), "n": int(own.sum()), "data": np.ascontiguousarray(c[:, own]).tobytes()}], 5)
+    best, made, whole = wave.search(iter([(ids, c)]))
+    assert made < 0.5 * whole
+    scores = c[:, own].T @ c
+    for i, b in enumerate(best):
+        want = sorted((-int(x), int(j)) for x, j in zip(scores[i], ids, strict=True) if j != b.own)[:5]
+        assert [(-int(x), int(j)) for x, j in zip(b.scores, b.ids, strict=True)] == want
+
+
+def test_bounds_only_drop_what_cannot_win():
     rng = np.random.default_rng(1)
-    c = rng.integers(-40, 40, size=(64, 4000)) * (0.2 + 3 * (rng.random(4000) < 0.02))
-    c = np.floor(c).astype(np.int64)
-    q = c[:, :3]
-    for own, ids, scores in topk.search_block(np.arange(3), q, np.arange(4000), c, 5):
+    c = np.floor(rng.integers(-40, 40, size=(64, 4000)) * (0.2 + 3 * (rng.random(4000) < 0.02))).astype(np.int64)
+    ids, q = np.arange(4000), c[:, :3]
+    wave = topk.Wave([{"ids": ids[:3].tobytes(), "floors": np.full(3, -np.inf).tobytes(), "dim": 64, "n": 3, "data": np.ascontiguousarray(q).tobytes()}], 5)
+    best, made, whole = wave.search((ids[a : a + 500], c[:, a : a + 500]) for a in range(0, 4000, 500))
+    for own, b in enumerate(best):
         want = sorted(((-int(q[:, own] @ c[:, j]), j) for j in range(4000) if j != own))[:5]
-        assert [(int(j), int(s)) for j, s in zip(ids, scores, strict=True)] == [(j, -s) for s, j in want]
+        assert [(int(j), int(s)) for j, s in zip(b.ids, b.scores, strict=True)] == [(j, -s) for s, j in want]
+    assert made < 0.5 * whole

@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillgrid.llm import bpe
 from quillgrid.llm.common import table
@@ -43,5 +45,18 @@ def test_stages(spark, small, tmp_path):
     assert want == Counter((r["doc_id"], tuple(r["ids"])) for r in after)
 
 
+def test_stages_on_odd_documents(spark, small, odd_docs, no_docs, tmp_path):
+    """Nulls, ties, repeated rows, a clashing column and no rows at all pass through every stage."""
+    clash = odd_docs.withColumns({c: F.lit("mine") for c in ("predicted", "lines", "fp", "size", "ids", "n_tokens", "__hash")})
+    for kind, docs in (("odd", clash), ("none", no_docs)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, small).write.parquet(f"{tmp_path}/{kind}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{kind}-{name}")
+            assert name == "bpe" or docs.columns == columns
+            assert name == "bpe" or {r["score"] for r in docs.collect()} <= {"clash"}
+        assert (docs.count() > 0) == (kind == "odd")
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
