@@ -13,7 +13,8 @@ of the words with a space between two and a line feed for the end; no word holds
   no task or driver holds the whole tree: it grows with the texts.
 * Distributions are smoothed towards the suffix's, in proportion to the distinct symbols seen (Witten and Bell), the
   empty context's towards all 256 bytes, so that every text has a probability.
-* A bucket answers each block's windows by the longest kept context; the answers meet the texts in their block.
+* A bucket answers each block's windows by the longest kept context; the answers meet the texts in their block. They
+  travel with 18 significant bits: each symbol's log probability is right to 4 in a million.
 
 The base score needs each word's training count: ``wordtable`` counts and looks up distinct words.
 
@@ -117,20 +118,52 @@ def window_chances(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
-def block_windows(texts: list[bytes], order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows in order of appearance, the number of each position's, and by bucket their order and buckets."""
+def text_windows(texts: list[bytes], order: int, numbers: np.ndarray | None = None) -> np.ndarray:
+    """The window of each position, sorted: context symbols from the highest byte on, the nearest first, the symbol itself
+    in the last byte but one, and in the last the text's number, if given. At most 6 context symbols fit.
+
+    Sorting is far faster than hashing here, and neighbours in this order share their symbols.
+    """
     joined = b"\n" + (b"\n" + bytes(order) + b"\n").join(texts) + b"\n"
     s = np.frombuffer(bytes(order) + joined, np.uint8)
-    keys = s[order:].astype(np.uint64)
+    w = s[order:].astype(np.uint64) << np.uint64(8)
     for back in range(1, order + 1):
-        keys |= s[order - back : len(s) - back].astype(np.uint64) << np.uint64(8 * back)
-    keys = keys[(s[order:] != PAD) & (s[order - 1 : -1] != PAD)]
-    coded = pa.array(keys).dictionary_encode()
-    distinct = coded.dictionary.to_numpy()
-    near = (distinct >> np.uint64(8)) & np.uint64((1 << 8 * NEAR) - 1)
-    bucket = (near * np.uint64(2654435761) >> np.uint64(8)) % np.uint64(buckets)
-    nearest_first = distinct.byteswap() << np.uint64(8) | distinct & np.uint64(0xFF)  # packs best: neighbours share symbols
-    return distinct, coded.indices.to_numpy(), np.lexsort((nearest_first, bucket)), bucket.astype(np.int32)
+        w |= s[order - back : len(s) - back].astype(np.uint64) << np.uint64(64 - 8 * back)
+    w = w[(s[order:] != PAD) & (s[order - 1 : -1] != PAD)]  # padding and starts are not predicted
+    if numbers is not None:
+        w |= np.repeat(numbers, [len(t) + 1 for t in texts]).astype(np.uint64)
+    w.sort()
+    return w
+
+
+def runs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each is there."""
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+    return w[first], np.diff(first, append=len(w))
+
+
+def added(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the sums of their numbers."""
+    at = np.argsort(w, kind="stable")
+    w, n = w[at], n[at]
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+    return w[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def symbol_first(w: np.ndarray) -> np.ndarray:
+    """Windows with the symbol in the lowest byte and the nearest context symbol above it, as levels have them."""
+    return (w.byteswap() & np.uint64((1 << 48) - 1)) << np.uint64(8) | (w >> np.uint64(8)) & np.uint64(0xFF)
+
+
+def by_bucket(w: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each window, and the windows' order by bucket."""
+    bucket = ((w >> np.uint64(64 - 8 * NEAR)) * np.uint64(2654435761) >> np.uint64(8)) % np.uint64(buckets)
+    bucket = bucket.astype(np.min_scalar_type(buckets))
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def _halves(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return w >> np.uint64(32), w & np.uint64(0xFFFFFFFF)
 
 
 def _keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +171,8 @@ def _keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return high.astype(np.uint64) << np.uint64(32) | low, n.astype(np.int64)
 
 
-def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    all_, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return all_, np.bincount(at, np.concatenate(counts), len(all_)).astype(np.int64)
-
-
 def _summed(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of the blobs and their counts."""
+    """All windows of the blobs, in order, and their counts."""
     keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     for blob in blobs:
         more, n = _keys(blob)
@@ -152,9 +180,9 @@ def _summed(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
         counts.append(n)
         size += len(more)
         if size > HELD:
-            keys, counts = ([x] for x in _sums(keys, counts))
+            keys, counts = ([x] for x in added(np.concatenate(keys), np.concatenate(counts)))
             size = 0
-    return _sums(keys, counts)
+    return added(np.concatenate(keys), np.concatenate(counts))
 
 
 WINDOWS = "block string, bucket int, blob binary"
@@ -193,13 +221,14 @@ def tree_windows(df: DataFrame, text: str, trains: str, order: int = DEPTH) -> t
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 rows = block_rows(blob.as_py())
                 texts = [symbols(x) for x in rows.column(at).cast(pa.binary()).to_pylist()]
-                keys, codes, order_, bucket = block_windows(texts, order, buckets)
-                trained = np.repeat(rows.column(flag).to_numpy(zero_copy_only=False).astype(bool), [len(t) + 1 for t in texts])
-                n = np.bincount(codes[trained], minlength=len(keys))
-                cuts = np.flatnonzero(np.diff(bucket[order_], prepend=-1))
-                low = np.uint64(0xFFFFFFFF)
-                blobs = [pack(keys[x] >> np.uint64(32), keys[x] & low, n[x]) for x in np.split(order_, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(cuts)), pa.array(bucket[order_][cuts]), pa.array(blobs, pa.binary())], ["block", "bucket", "blob"])
+                trained = rows.column(flag).to_numpy(zero_copy_only=False).astype(bool).tolist()
+                seen, n = runs(text_windows([t for t, yes in zip(texts, trained, strict=True) if yes], order))
+                asked, _ = runs(text_windows([t for t, yes in zip(texts, trained, strict=True) if not yes], order))
+                w, n = added(np.concatenate([seen, asked]), np.concatenate([n, np.zeros(len(asked), n.dtype)]))
+                bucket, places = by_bucket(w, buckets)
+                cuts = np.flatnonzero(np.diff(bucket[places].astype(np.int64), prepend=-1))
+                blobs = [pack(*_halves(w[x]), n[x]) for x in np.split(places, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(cuts)), pa.array(bucket[places][cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "bucket", "blob"])
 
     blocks = materialize(df.mapInArrow(tidy(gather), WINDOWS), "pst-blocks")
     return blocks, blocks.mapInArrow(tidy(count), WINDOWS), buckets
@@ -213,15 +242,14 @@ def short_levels(blocks: DataFrame, at: int, flag: int) -> list[Level]:
     """The contexts of fewer than NEAR symbols: a collected table that only the alphabet bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        w, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch.column(0):
                 rows = block_rows(blob.as_py())
                 texts = [symbols(x) for x, yes in zip(rows.column(at).cast(pa.binary()).to_pylist(), rows.column(flag).to_pylist(), strict=True) if yes]
-                if texts:
-                    more, codes, *_ = block_windows(texts, NEAR - 1, 1)
-                    keys, n = ([x] for x in _sums([*keys, more], [*n, np.bincount(codes)]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int32)), pa.array(n[0])], ["short", "n"])
+                more, times = runs(text_windows(texts, NEAR - 1))
+                w, n = added(np.concatenate([w, more]), np.concatenate([n, times]))
+        yield pa.RecordBatch.from_arrays([pa.array(symbol_first(w).astype(np.int32)), pa.array(n)], ["short", "n"])
 
     got = blocks.select("blob").mapInArrow(tidy(run), "short int, n bigint").groupBy("short").agg(F.sum("n").alias("n")).toArrow()
     keys, n, levels = got["short"].to_numpy().astype(np.uint64), got["n"].to_numpy(), []
@@ -260,7 +288,8 @@ def kept_contexts(df: DataFrame, text: str, trains: str, order: int = DEPTH) ->
     short = df.sparkSession.sparkContext.broadcast(short_levels(blocks, df.columns.index(text), df.columns.index(trains)))
 
     def answer(held: list[tuple[str, bytes]], bucket: int) -> Iterator[pa.RecordBatch]:
-        levels = _bucket_levels(*_summed(b for _, b in held), short.value, order)[NEAR:]
+        w, n = _summed(b for _, b in held)
+        levels = _bucket_levels(symbol_first(w), n, short.value, order)[NEAR:]
         yield pa.RecordBatch.from_arrays([pa.array(range(NEAR, order + 1), pa.int32()), pa.array([int(x.kept.sum()) for x in levels], pa.int64())], ["k", "n"])
 
     return _by_bucket(counted, answer, "k int, n bigint")
@@ -274,11 +303,12 @@ def tree_scores(df: DataFrame, text: str, trains: str, out: str = "score", order
     short = spark.sparkContext.broadcast(short_levels(blocks, at, df.columns.index(trains)))
 
     def answer(held: list[tuple[str, bytes]], bucket: int) -> Iterator[pa.RecordBatch]:
-        keys, counts = _summed(b for _, b in held)
+        w, counts = _summed(b for _, b in held)
+        keys = symbol_first(w)
         logs = np.log10(window_chances(keys, _bucket_levels(keys, counts, short.value, order))).astype("<f4")
+        bits = logs.view("<u4") + np.uint32(0x20) & np.uint32(0xFFFFFFC0)
         for block, blob in held:
-            bits = logs[np.searchsorted(keys, _keys(blob)[0])].view("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([pack(bits)], pa.binary())], ["block", "bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([pack(bits[np.searchsorted(w, _keys(blob)[0])])], pa.binary())], ["block", "bucket", "blob"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
@@ -289,13 +319,8 @@ def tree_scores(df: DataFrame, text: str, trains: str, out: str = "score", order
                     continue
                 rows = block_rows(blob.as_py())
                 texts = [symbols(x) for x in rows.column(at).cast(pa.binary()).to_pylist()]
-                keys, codes, order_, _ = block_windows(texts, order, buckets)
-                logs = np.empty(len(keys), np.float32)
-                logs[order_] = np.concatenate([unpack(b)[0].view("<f4") for b in blobs])
+                done = rows.append_column(out, pa.array(text_scores(texts, blobs, order, buckets)))
                 blobs = []
-                ends = np.cumsum([len(t) + 1 for t in texts])
-                each = np.add.reduceat(logs[codes], np.concatenate([[0], ends[:-1]]), dtype=np.float64)
-                done = rows.append_column(out, pa.array(each))
                 yield from done.to_batches()
 
     both = _by_bucket(counted, answer, WINDOWS).unionByName(blocks)
@@ -303,6 +328,19 @@ def tree_scores(df: DataFrame, text: str, trains: str, out: str = "score", order
     return both.mapInArrow(tidy(score), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
+def text_scores(texts: list[bytes], answers: list[bytes], order: int, buckets: int) -> np.ndarray:
+    """The sum of each text's answers; ``answers`` are those of the block's distinct windows, bucket by bucket."""
+    parts = []
+    for i in range(0, len(texts), 256):  # as many texts as a window's last byte can number
+        some = texts[i : i + 256]
+        w = text_windows(some, order, np.arange(len(some)))
+        parts.append((*runs(w >> np.uint64(8) << np.uint64(8)), (w & np.uint64(0xFF)).astype(np.uint8), len(some)))
+    distinct = runs(np.sort(np.concatenate([p[0] for p in parts])))[0]
+    logs = np.empty(len(distinct))
+    logs[by_bucket(distinct, buckets)[1]] = np.concatenate([unpack(b)[0].view("<f4") for b in answers])
+    return np.concatenate([np.bincount(own, np.repeat(logs[np.searchsorted(distinct, w)], n), size) for w, n, own, size in parts])
+
+
 def base_scores(df: DataFrame, text: str, keep: list[str], trains: str, lower: bool = True, ends: int | None = None) -> DataFrame:
     """keep, n_tokens, n_known, train_tokens, base_score: add-one unigrams of the rows where ``trains`` is true, ``ends`` in number."""
     said = ("n_tokens", "n_known", "train_tokens", "base_score")
