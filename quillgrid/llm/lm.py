@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import materialize, set_aside, shuffle_width, small_batches, table, tidy
+from quillgrid.llm.common import drop_scratch, materialize, set_aside, shuffle_width, small_batches, table, tidy
 from quillgrid.llm.simhash import LOWER
 from quillgrid.llm.wordtable import answer_counts, apply_answers, encode_blocks, pack, unpack
 
@@ -124,6 +124,8 @@ def text_windows(texts: list[bytes], order: int, numbers: np.ndarray | None = No
 
     Sorting is far faster than hashing here, and neighbours in this order share their symbols.
     """
+    if not texts:
+        return np.zeros(0, np.uint64)
     joined = b"\n" + (b"\n" + bytes(order) + b"\n").join(texts) + b"\n"
     s = np.frombuffer(bytes(order) + joined, np.uint8)
     w = s[order:].astype(np.uint64) << np.uint64(8)
@@ -381,4 +383,5 @@ def op7_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     marked = tree_scores(docs.withColumn("trains", ~F.col("held_out")), "text", "trains")
     found = base_scores(marked, "text", ["doc_id", "held_out", "score"], "trains", ends=docs.where("not held_out").count())
+    drop_scratch(marked)  # the word blocks are written and hold what the scores were made from
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
