@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     fold = F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")
     measured = with_statistics(met.select("text", "label", fold, "h")).orderBy("h", "label", "stats").limit(sample)
-    return fit(materialize(measured.select("stats", "label", "fold").repartition(FIT_TASKS, "stats").sortWithinPartitions("stats", "label"), "labelled"))
+    dealt = measured.repartition(FIT_TASKS, "h").sortWithinPartitions("h", "label", "stats")  # by id: copies have equal statistics
+    return fit(materialize(dealt.select("stats", "label", "fold"), "labelled"))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, with_text: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
