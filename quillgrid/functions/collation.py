@@ -62,7 +62,11 @@ def tokens(value: Any, sort_members: bool = False) -> list[tuple[int, float | No
 
 def key_literal(value: Any, sort_members: bool = False) -> Column:
     """A constant key."""
-    each = [_token(r, None if n is None else F.lit(n), None if s is None else F.lit(s)) for r, n, s in tokens(value, sort_members)]
+    return tokens_literal(tokens(value, sort_members))
+
+
+def tokens_literal(found: list[tuple[int, float | None, str | None]]) -> Column:
+    each = [_token(r, None if n is None else F.lit(n), None if s is None else F.lit(s)) for r, n, s in found]
     return F.array(*each).cast(KEY)
 
 

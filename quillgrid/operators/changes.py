@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.errors import QueryError
+from quillgrid.operators import attachments as A
 from quillgrid.operators import revisions as R
 from quillgrid.operators.views import View, emitted
 from quillgrid.plans.compile import Row, Variant, compile_selector
@@ -25,16 +26,17 @@ class ChangesQuery:
     style: str = "main_only"
     include_docs: bool = False
     conflicts: bool = False
+    attachments: bool = False
     doc_ids: list[str] | None = None
     filter: str | Callable | None = None
     selector: dict | None = None
     view: View | None = None
     params: dict[str, Any] = field(default_factory=dict)
 
-    def start(self, winners: DataFrame) -> int:
-        """0, a number, ``N-opaque`` or now (the last sequence number)."""
+    def start(self, winners: DataFrame, current: int | None = None) -> int:
+        """0, a number, ``N-opaque`` or now: the last sequence number given out, which purges may have outlived."""
         if self.since == "now":
-            return current_seq(winners)
+            return current_seq(winners) if current is None else current
         text = str(self.since).split("-", 1)[0]
         if not text.isdigit():
             raise QueryError("bad_request", f"Malformed sequence supplied in since: {self.since}")
@@ -48,6 +50,7 @@ class Changes:
     winners: DataFrame
     query: ChangesQuery
     since: int
+    test: Column | None = None
 
     def last_seq(self) -> int:
         """The last row scanned, also if a filter dropped it; the last row given where the limit cut."""
@@ -66,6 +69,11 @@ def current_seq(winners: DataFrame) -> int:
     return winners.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
 
+def design_seq(winners: DataFrame) -> int:
+    """The last change of a design document."""
+    return current_seq(winners.where(F.col("id").startswith("_design/")))
+
+
 def pending(winners: DataFrame, since: int) -> int:
     """Documents changed after a sequence number, whatever a filter says."""
     return winners.where(F.col("seq") > since).count()
@@ -119,24 +127,34 @@ def document(winners: DataFrame) -> Column:
     return F.when(F.regexp_like(body, F.lit(r"^\{\s*\}$")), head).otherwise(joined)
 
 
-def changes(winners: DataFrame, query: ChangesQuery | None = None, revs: DataFrame | None = None) -> Changes:
-    """Rows seq, id, deleted, changes (revisions) and, where asked for, doc and conflicts."""
+def changes(winners: DataFrame, query: ChangesQuery | None = None, revs: DataFrame | None = None, current: int | None = None, blobs: DataFrame | None = None) -> Changes:
+    """Rows seq, id, deleted, changes (revisions) and, where asked for, doc, conflicts and attachments, by seq.
+
+    Rows are cut to the limit first, what belongs to them is joined then, and the order is made last.
+    """
     q = query or ChangesQuery()
-    since = q.start(winners)
+    since = q.start(winners, current)
     scanned = winners.where(F.col("seq") > since)
     test = _test(winners, q)
     rows = scanned.where(test) if test is not None else scanned
-    rows = rows.orderBy(F.col("seq").desc() if q.descending else F.col("seq").asc())
-    rows = rows.limit(q.limit) if q.limit is not None else rows
+    order = F.col("seq").desc() if q.descending else F.col("seq").asc()
+    joined = revs is not None and (q.style == "all_docs" or q.include_docs)
+    if q.limit is not None:
+        rows = rows.orderBy(order).limit(q.limit)
     revision = F.concat_ws("-", F.col("num").cast("string"), F.col("hash"))
-    out = rows.select("seq", "id", "deleted", F.array(revision).alias("changes"), *(["num", "hash"] if q.include_docs else []))
-    if q.style == "all_docs" and revs is not None:
-        out = out.drop("changes").join(R.all_leaves(revs).withColumnRenamed("revs", "changes"), "id")
-    if q.include_docs and revs is not None:
-        out = out.join(revs.select("id", "num", "hash", F.col("body").alias("doc")), ["id", "num", "hash"], "left").drop("num", "hash")
-        if q.conflicts:
-            out = out.join(R.conflicts(revs), "id", "left")
-    return Changes(out, scanned, winners, q, since)
+    out = rows.select("seq", "id", "deleted", F.array(revision).alias("changes"), *(["num", "hash"] if joined and q.include_docs else []))
+    if joined:
+        own = revs.join(out.select("id"), "id", "left_semi") if q.limit is not None else revs
+        if q.style == "all_docs":
+            out = out.drop("changes").join(R.all_leaves(own).withColumnRenamed("revs", "changes"), "id")
+        if q.include_docs:
+            out = R.with_bodies(out, own)
+            if q.attachments and blobs is not None:
+                out = A.with_data(out, blobs)
+            out = out.withColumnsRenamed({"body": "doc", "atts": "attachments"}).drop("num", "hash")
+            if q.conflicts:
+                out = out.join(R.conflicts(own), "id", "left")
+    return Changes(out if q.limit is not None and not joined else out.orderBy(order), scanned, winners, q, since, test)
 
 
 def latest(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.errors import NotFound
-from quillgrid.functions import collation as C
 from quillgrid.operators import reduce as RD
+from quillgrid.operators import revisions as R
 from quillgrid.operators.scan import Page
-from quillgrid.operators.views import Index, View, ViewGroup, ViewQuery, build_json, refresh, rows
+from quillgrid.operators.views import Index, View, ViewGroup, ViewQuery, build_json, rows
+from quillgrid.sources.folder import Folder
+from quillgrid.sources.indexes import touched
+from quillgrid.sources.indextable import IndexTable
 from quillgrid.sources.store import Store
-from quillgrid.streaming.feeds import Versions
 
 
 @dataclass
@@ -52,8 +54,24 @@ def validators(ddocs: list[DesignDoc]) -> Callable[[dict, dict | None], tuple[st
     return run
 
 
+def map_input(store: Store, changed: DataFrame | None = None, options: dict | None = None) -> DataFrame:
+    """(id, seq, doc) of live documents, all or those of some ids, as maps see them: with id, revision, attachment stubs,
+    conflicts and, if asked for, their sequence."""
+    options, revs = options or {}, store.revs()
+    own = revs if changed is None else revs.join(changed.select("id"), "id", "left_semi")
+    live = R.winners(own, True).where(~F.col("deleted"))
+    if not options.get("include_design"):
+        live = live.where(~F.col("id").startswith("_design/"))
+    live = live.join(R.conflicts(own), "id", "left")
+    head = F.struct(F.col("id").alias("_id"), F.concat_ws("-", F.col("num").cast("string"), "hash").alias("_rev"), F.col("conflicts").alias("_conflicts"), *([F.col("seq").alias("_local_seq")] if options.get("local_seq") else []))
+    inner = lambda text: F.substring(text, F.lit(2), F.length(text) - 2)  # noqa: E731  what is between an object's braces
+    body = F.trim(F.coalesce("body", F.lit("{}")))
+    parts = [inner(F.to_json(head)), F.when(F.col("atts").isNotNull(), F.concat(F.lit('"_attachments":'), "atts")), F.when(~F.regexp_like(body, F.lit(r"^\{\s*\}$")), inner(body))]
+    return live.select("id", "seq", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("doc"))
+
+
 class ViewCatalog:
-    """Built indexes below a folder, one per signature: rows of JSON documents, up to a sequence number."""
+    """Built indexes below a folder, one per signature: rows of JSON documents, up to a sequence and a purge number."""
 
     def __init__(self, store: Store, root: str):
         self.store, self.root, self.ddocs, self.later = store, root.rstrip("/"), {}, set()
@@ -62,41 +80,30 @@ class ViewCatalog:
         self.ddocs[ddoc.name] = ddoc
         return ddoc.group().signature()
 
-    def _table(self, ddoc: str, view: str) -> Versions:
+    def _table(self, ddoc: str, view: str) -> IndexTable:
         signature = self._ddoc(ddoc).group().signature()
-        return Versions(self.store.spark, f"{self.root}/{signature}/{view}")
+        return IndexTable(self.store.spark, f"{self.root}/{signature}/{view}")
 
     def _ddoc(self, name: str) -> DesignDoc:
         if name not in self.ddocs:
             raise NotFound("missing")
         return self.ddocs[name]
 
-    def documents(self, since: int = 0, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
-        """(changed ids, live documents as the maps see them) after a sequence number."""
-        options = options or {}
-        winners = self.store.winners(True).where(F.col("seq") > since)
-        live = winners.where(~F.col("deleted"))
-        if not options.get("include_design"):
-            live = live.where(~F.col("id").startswith("_design/"))
-        head = F.struct(F.col("id").alias("_id"), F.concat_ws("-", F.col("num").cast("string"), "hash").alias("_rev"), *([F.col("seq").alias("_local_seq")] if options.get("local_seq") else []))
-        text, body = F.to_json(head), F.trim(F.coalesce("body", F.lit("{}")))
-        whole = F.when(F.regexp_like(body, F.lit(r"^\{\s*\}$")), text).otherwise(F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(","), F.substring(body, F.lit(2), F.length(body))))
-        return winners.select("id"), live.select("id", "seq", whole.alias("doc"))
-
     def sync(self, ddoc: str) -> int:
-        """Bring all views of a design document up to date; the sequence number reached."""
-        d, top = self._ddoc(ddoc), self.store.last_seq()
+        """Bring all views of a design document up to date; the sequence number reached.
+
+        What was written or purged since the last time is mapped again: a purge changes winners without a number.
+        """
+        d, now = self._ddoc(ddoc), self.store.snapshot()
         for name, view in d.views.items():
             table = self._table(ddoc, name)
-            done = table.folder.numbers("v")
-            since = done[-1] if done else 0
-            if done and since >= top:
+            built, (seq, purge) = bool(table.folder.parts()), table.reached()
+            if built and (seq, purge) == (now.seq, now.purge):
                 continue
-            changed, docs = self.documents(since, d.options)
-            new, old = build_json(docs, view).rows.drop("key"), table.read()
-            table.write(new if old is None else refresh(old, changed, new), top)
+            changed = touched(self.store, seq, purge) if built else None
+            table.update(changed, build_json(map_input(self.store, changed, d.options), view).rows, now.seq, now.purge)
         self.later.discard(ddoc)
-        return top
+        return now.seq
 
     def index(self, ddoc: str, view: str, update: str = "true") -> Index:
         """The rows of a view; update builds first (true), not at all (false), or notes it for later (lazy)."""
@@ -109,8 +116,12 @@ class ViewCatalog:
             self.later.add(ddoc)
         found = self._table(ddoc, view).read()
         if found is None:
-            found = build_json(self.documents()[1].limit(0), d.views[view]).rows.drop("key")
-        return Index(found.withColumn("key", C.json_key(F.col("key_json"))), None, False, d.views[view].reduce)
+            found = build_json(map_input(self.store).limit(0), d.views[view]).rows
+        return Index(found, None, False, d.views[view].reduce)
+
+    def queries(self, ddoc: str, view: str, queries: list[ViewQuery]) -> list[Page | DataFrame]:
+        """Independent results of several queries of one view, in order."""
+        return [self.query(ddoc, view, q) for q in queries]
 
     def query(self, ddoc: str, view: str, q: ViewQuery | None = None) -> Page | DataFrame:
         q = q or ViewQuery()
@@ -119,20 +130,25 @@ class ViewCatalog:
         q.check(reducer, bool(self._ddoc(ddoc).options.get("partitioned")))
         if reducer is not None:
             return RD.reduce_rows(index, q)
-        return rows(index, q, self.store.winners() if q.include_docs else None, self.store.revs() if q.include_docs else None)
+        if not q.include_docs:
+            return rows(index, q)
+        return rows(index, q, self.store.winners(), self.store.revs(), self.store.blobs() if q.attachments else None)
 
     def run_later(self) -> None:
         for name in list(self.later):
             self.sync(name)
 
     def info(self, ddoc: str) -> dict:
+        """Signature, numbers reached by all views, and sizes: of the files, and of those that are read."""
         d = self._ddoc(ddoc)
-        done = [self._table(ddoc, v).folder.numbers("v") for v in d.views]
-        return {"signature": d.group().signature(), "language": "python", "update_seq": min((n[-1] if n else 0 for n in done), default=0), "waiting": ddoc in self.later}
+        tables = [self._table(ddoc, v) for v in d.views]
+        reached = [t.reached() for t in tables] or [(0, 0)]
+        sizes = {"file": sum(t.folder.size() for t in tables), "active": sum(t.active_size() for t in tables)}
+        return {"signature": d.group().signature(), "language": "python", "update_seq": min(r[0] for r in reached), "purge_seq": min(r[1] for r in reached), "sizes": sizes, "waiting": ddoc in self.later}
 
     def cleanup(self) -> list[str]:
         """Delete the indexes that no design document names any more."""
-        folder = Versions(self.store.spark, self.root).folder
+        folder = Folder(self.store.spark, self.root)
         used = {d.group().signature() for d in self.ddocs.values()}
         gone = [n for n in folder.names() if n not in used]
         for n in gone:

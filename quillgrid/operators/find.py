@@ -8,7 +8,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,24 +68,33 @@ class IndexCatalog:
     def __init__(self, root: str | None = None):
         self.root, self.defs = root, {}
 
-    def create(self, docs: DataFrame, fields: list[str | dict], name: str | None = None, ddoc: str | None = None, partial: dict | None = None, kind: str = "json") -> str:
-        """created, or exists."""
+    def define(self, fields: list[str | dict], name: str | None = None, ddoc: str | None = None, partial: dict | None = None, kind: str = "json") -> tuple[str, IndexDef]:
+        """created or exists, and the definition."""
         if kind != "json":
             raise QueryError("required index type is not available", kind, 503)
         names = tuple(x if isinstance(x, str) else next(iter(x)) for x in fields)
         if not names:
             raise QueryError("bad_request", "an index needs fields")
         said = hashlib.sha1(json.dumps([names, partial], sort_keys=True).encode()).hexdigest()
-        name, ddoc = name or said, ddoc or said
+        name, ddoc = name or said, (ddoc or said).removeprefix("_design/")
         if partial is not None:
             parse(partial)
         made = IndexDef(ddoc, name, names, None if partial is None else json.dumps(partial), f"{self.root}/{ddoc}-{name}" if self.root else None)
         if self.defs.get((ddoc, name)) == made:
-            return "exists"
+            return "exists", made
         self.defs[ddoc, name] = made
-        if made.path:
-            self.rows(docs, made).repartitionByRange(*names).sortWithinPartitions(*names).write.mode("overwrite").parquet(made.path)
-        return "created"
+        return "created", made
+
+    def create(self, docs: DataFrame, fields: list[str | dict], name: str | None = None, ddoc: str | None = None, partial: dict | None = None, kind: str = "json") -> str:
+        """created, or exists."""
+        answer, made = self.define(fields, name, ddoc, partial, kind)
+        if answer == "created" and made.path:
+            self.rows(docs, made).repartitionByRange(*made.fields).sortWithinPartitions(*made.fields).write.mode("overwrite").parquet(made.path)
+        return answer
+
+    def source(self, docs: DataFrame, index: IndexDef, node: Doc) -> DataFrame:
+        """The documents that an index holds: a table as it was written, or a view of docs."""
+        return docs.sparkSession.read.parquet(index.path) if index.path else self.rows(docs, index)
 
     @staticmethod
     def rows(docs: DataFrame, index: IndexDef) -> DataFrame:
@@ -180,10 +189,13 @@ def find(docs: DataFrame, request: Find | dict, doc_id: str = "_id", catalog: In
     """
     request = request if isinstance(request, Find) else Find(**request)
     node = parse(request.selector)
-    chosen, warning = (catalog or IndexCatalog()).choose(request, node)
-    source = docs
-    if chosen is not None:
-        source = docs.sparkSession.read.parquet(chosen.path) if chosen.path else IndexCatalog.rows(docs, chosen)
+    catalog = catalog or IndexCatalog()
+    chosen, warning = catalog.choose(request, node)
+    source = docs if chosen is None else catalog.source(docs, chosen, node)
+    stats = None
+    if request.execution_stats:
+        stats = Observation()
+        source = source.observe(stats, F.count(F.lit(1)).alias("total_docs_examined"))
     sort, descending = request.order()
     if body is not None:
         source = source.withColumn("__v", F.parse_json(body))
@@ -216,7 +228,7 @@ def find(docs: DataFrame, request: Find | dict, doc_id: str = "_id", catalog: In
     if request.fields:
         extra = ["_conflicts"] if request.conflicts and conflicts is not None else []
         out = project(matched, [*request.fields, *extra]) if body is None else matched.withColumn(body, project_json(F.col(body), request.fields))
-    return Found(out, chosen, warning, request, match, keys, source)
+    return Found(out, chosen, warning, request, match, keys, source, stats)
 
 
 def explain(docs: DataFrame, request: Find | dict, catalog: IndexCatalog | None = None, doc_id: str = "_id") -> dict:
@@ -247,9 +259,8 @@ def explain(docs: DataFrame, request: Find | dict, catalog: IndexCatalog | None
     }
 
 
-def with_stats(found: Found, name: str = "find") -> tuple[DataFrame, Any]:
-    """The documents with an observation of how many were returned; keys and documents examined are Spark's metrics."""
-    from pyspark.sql import Observation
-
-    seen = Observation(name)
-    return found.docs.observe(seen, F.count(F.lit(1)).alias("results_returned")), seen
+def with_stats(found: Found) -> tuple[DataFrame, Any, Any]:
+    """The documents with observations of how many are returned and, if the request asks for execution_stats, examined:
+    read from the index or table before the selector. Keys examined are those of the index, one for each document."""
+    returned = Observation()
+    return found.docs.observe(returned, F.count(F.lit(1)).alias("results_returned")), returned, found.stats

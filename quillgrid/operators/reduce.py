@@ -1,4 +1,4 @@
-"""View reductions: built-in ones as native aggregates, user functions in two vectorized phases.
+"""View reductions: built-in ones as native aggregates, user functions folded by partition and rereduced.
 
 Grouping is by hash, not by adjacency: cutting a key to its first elements keeps the order, so both give the same
 groups. Declared keys group by their typed parts, JSON keys by their sortable key; the key shown is that of the
@@ -9,21 +9,25 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from quillgrid.errors import QueryError
 from quillgrid.functions import collation as C
+from quillgrid.functions.schema import struct
 from quillgrid.operators.views import Index, ViewQuery, _keyed, _page, _reach, json_of
 
 BUILTIN = ("_approx_count_distinct", "_bottom_", "_count", "_first", "_last", "_stats", "_sum", "_top_")
-CHUNK, SALTS = 1000, 32
+#: Rows that a user's function gets at once, tasks that rereduce a group's parts, groups that a task holds.
+CHUNK, SALTS, MOST_GROUPS = 1000, 32, 50_000
 
 
 def builtin_name(name: str) -> tuple[str, int]:
@@ -162,42 +166,93 @@ def _extremes(index: Index, rows: DataFrame, by: list[str], value: str, n: int,
 
 
 def _user(index: Index, rows: DataFrame, by: list[str], reducer: Callable) -> DataFrame:
-    """A function (keys, values, rereduce): chunks inside salted parts of a group, then a rereduction of the parts.
+    """A function (keys, values, rereduce): chunks inside each partition, then rereductions in two steps.
+
+    A partition folds its rows as they come and gives one part a group, so a hot group is the work of all partitions. Its
+    parts are rereduced by ``SALTS`` tasks and those by one; parts are as small as the reduction makes them.
 
     Rows: the group's columns (or key_json), value as JSON text, and error where the reduction shrinks too little.
     """
     plain = [c for c in by if c != "gkey"]
     if index.parts is None:
-        same, key, value = F.col("gkey").cast("array<struct<r:int,n:double,s:string>>") if by else F.lit(0), F.col("key_json"), F.col("value_json")
+        key, value = F.col("key_json"), F.col("value_json")
         head = F.col("key_json") if by else F.lit("null")
     else:
-        same, value = F.struct(*plain) if plain else F.lit(0), json_of(F.col("value"))
+        value = json_of(F.col("value"))
         key = F.to_json(F.array(*[F.col(c).cast("string") for c in index.part_names()])) if index.array else json_of(F.col("k0"))
         head = F.lit("null")
-    names = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in plain), "same bigint", "first_id string", "head string", "part string", "size bigint"])
-    each = rows.select(*plain, F.xxhash64(same).alias("same"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"), "id", key.alias("key_text"), value.alias("value_text"), head.alias("head"))
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        out = []
-        for i in range(0, len(pdf), CHUNK):
-            cut = pdf.iloc[i : i + CHUNK]
-            keys = [[json.loads(k), d] for k, d in zip(cut["key_text"], cut["id"], strict=True)]
-            done = json.dumps(reducer(keys, [json.loads(v) for v in cut["value_text"]], False))
-            out.append({**{c: cut[c].iloc[0] for c in plain}, "same": cut["same"].iloc[0], "first_id": cut["id"].iloc[0], "head": cut["head"].iloc[0], "part": done, "size": int(cut["value_text"].str.len().sum())})
-        return pd.DataFrame(out)
-
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.sort_values("first_id").iloc[0]
-        parts = [json.loads(x) for x in pdf["part"]]
-        text, size = json.dumps(parts[0] if len(parts) == 1 else reducer(None, parts, True)), int(pdf["size"].sum())
-        grown = len(text) > 200 and 2 * len(text) > size
-        return pd.DataFrame([{**{c: first[c] for c in plain}, "key_json": first["head"], "value": None if grown else text, "error": "reduce_overflow_error" if grown else None}])
-
-    parts = each.groupBy("same", "salt").applyInPandas(partial, names)
-    said = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in plain), "key_json string", "value string", "error string"])
-    out = parts.groupBy("same").applyInPandas(final, said)
-    return out.withColumn("gkey", C.json_key(F.col("key_json"))) if "gkey" in by else out
+    each = rows.select(*plain, "id", key.alias("key_text"), value.alias("value_text"), head.alias("head"))
+    schema = T.StructType([*(rows.schema[c] for c in plain), *struct("first_id string, head string, part string, size bigint, salt int").fields])
+    arrow = to_arrow_schema(schema)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt, groups = TaskContext.get().partitionId() % SALTS, {}
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *own, doc_id, key_text, value_text, shown in zip(*columns, strict=True):
+                name = (*map(repr, own), shown)
+                group = groups.get(name)
+                if group is None:
+                    group = groups[name] = _Group(reducer, own, doc_id, shown)
+                group.add(doc_id, key_text, value_text)
+            if len(groups) > MOST_GROUPS:
+                yield out(groups, salt)
+                groups = {}
+        if groups:
+            yield out(groups, salt)
+
+    def out(groups: dict, salt: int) -> pa.RecordBatch:
+        done = [(*g.own, g.first_id, g.shown, g.finish(), g.size, salt) for g in groups.values()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+
+    @F.pandas_udf("string")
+    def again(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda parts: _again(reducer, [json.loads(p) for p in parts]))
+
+    parts = each.mapInArrow(partial, schema)
+    if "gkey" in by:
+        parts = parts.withColumn("gkey", C.json_key(F.col("head")))
+    for salted in (True, False):
+        found = F.transform(F.sort_array(F.collect_list(F.struct("first_id", "part"))), lambda x: x["part"]).alias("parts")
+        grouped = parts.groupBy(*by, *(["salt"] if salted else [])).agg(F.min_by("head", "first_id").alias("head"), F.min("first_id").alias("first_id"), F.sum("size").alias("size"), found)
+        parts = grouped.where(F.size("parts") > 0).withColumn("part", F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(again("parts"))).drop("parts")
+    grown = (F.length("part") > 200) & (2 * F.length("part") > F.col("size"))
+    return parts.select(*by, F.col("head").alias("key_json"), F.when(~grown, F.col("part")).alias("value"), F.when(grown, F.lit("reduce_overflow_error")).alias("error"))
+
+
+class _Group:
+    """The rows of one group in a partition: reduced by chunks, which are rereduced."""
+
+    def __init__(self, reducer: Callable, own: list, doc_id: str, shown: str):
+        self.reducer, self.own, self.first_id, self.shown = reducer, own, doc_id, shown
+        self.keys, self.values, self.parts, self.size = [], [], [], 0
+
+    def add(self, doc_id: str, key: str, value: str) -> None:
+        self.first_id = min(self.first_id, doc_id)
+        self.keys.append([json.loads(key), doc_id])
+        self.values.append(json.loads(value))
+        self.size += len(value)
+        if len(self.keys) >= CHUNK:
+            self.reduce()
+
+    def reduce(self) -> None:
+        self.parts.append(self.reducer(self.keys, self.values, False))
+        self.keys, self.values = [], []
+        if len(self.parts) >= CHUNK:
+            self.parts = [self.reducer(None, self.parts, True)]
+
+    def finish(self) -> str:
+        if self.keys:
+            self.reduce()
+        return json.dumps(self.parts[0] if len(self.parts) == 1 else self.reducer(None, self.parts, True))
+
+
+def _again(reducer: Callable, parts: list) -> str:
+    while len(parts) > 1:
+        parts = [reducer(None, parts[i : i + CHUNK], True) for i in range(0, len(parts), CHUNK)]
+    return json.dumps(parts[0])
 
 
 def levels(index: Index, deepest: int) -> DataFrame:

@@ -1,6 +1,8 @@
 """Replication between two stores: changes since the checkpoint, minus what the target has, with their history.
 
-All steps are joins between the stores' tables; a checkpoint document on both sides makes the next run incremental.
+Changes are copied in batches by sequence number; all steps of a batch are joins between the stores' tables, and a
+checkpoint document on both sides after each makes the next run, or the rest of one that failed, incremental. Attachments
+travel as stubs, with those bytes that the target lacks. A continuous replication is a stream over the source's log.
 """
 
 from __future__ import annotations
@@ -10,11 +12,18 @@ import json
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from quillgrid.errors import QueryError
+from quillgrid.operators import attachments as A
 from quillgrid.operators import revisions as R
 from quillgrid.operators.changes import ChangesQuery, changes
+from quillgrid.operators.write import Validator
 from quillgrid.sources.store import Store
+from quillgrid.streaming.feeds import continuous, log_stream
 
 
 @dataclass
@@ -40,43 +49,111 @@ def checkpoint_id(source: str, target: str, options: Options) -> str:
     return "_local/" + hashlib.sha256(json.dumps(said, sort_keys=True).encode()).hexdigest()[:32]
 
 
-def replicate(source: Store, target: Store, options: Options | None = None) -> tuple[Stats, int]:
-    """One run; (what it did, the sequence number reached)."""
+def since_of(source: Store, target: Store, name: str) -> int:
+    marks = [s.get_local(name) for s in (source, target)]
+    return marks[0]["seq"] if marks[0] and marks[1] and marks[0] == marks[1] else 0
+
+
+def replicate(source: Store, target: Store, options: Options | None = None, batch: int = 100_000, validate: Validator | None = None) -> tuple[Stats, int]:
+    """One run, until nothing is pending; (what it did, the sequence number reached).
+
+    ``validate`` is what the target's design documents say of new documents: those that it refuses are not written, and
+    counted as failures.
+    """
     options, stats = options or Options(), Stats()
     name = checkpoint_id(source.folder.path, target.folder.path, options)
-    marks = [s.get_local(name) for s in (source, target)]
-    since = marks[0]["seq"] if marks[0] and marks[1] and marks[0] == marks[1] else 0
-    revs = source.revs()
-    query = ChangesQuery(since=since, doc_ids=options.doc_ids, selector=options.selector, filter="_selector" if options.selector is not None else options.filter, params=options.query_params)
-    found = changes(R.winners(revs, True), query, revs)
-    changed = found.rows.select("id")
-    tips = R.leaves(revs).join(changed, "id", "left_semi")
-    lacking = R.missing_revs(target.revs(), tips)
-    stats.missing_checked, stats.missing_found = tips.count(), lacking.count()
-    if stats.missing_found:
-        chains = R.ancestry(revs, lacking).groupBy("id", "leaf_num", "leaf_hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "num", "hash"))), lambda x: F.struct(x["num"], x["hash"])).alias("path"))
-        docs = chains.join(tips.select("id", F.col("num").alias("leaf_num"), F.col("hash").alias("leaf_hash"), "deleted", "body"), ["id", "leaf_num", "leaf_hash"])
-        target.force(docs.select("id", "path", "deleted", "body"))
-        stats.docs_read = stats.docs_written = stats.missing_found
+    reached = since_of(source, target, name)
+    while True:
+        before = reached
+        reached, more = _copy(source, target, options, stats, before, batch, validate)
+        if reached != before:
+            for store in (source, target):
+                store.put_local(name, {"seq": reached, "docs_read": stats.docs_read, "docs_written": stats.docs_written, "doc_write_failures": stats.doc_write_failures})
+        if not more:
+            return stats, reached
+
+
+def _copy(source: Store, target: Store, options: Options, stats: Stats, since: int, batch: int, validate: Validator | None) -> tuple[int, bool]:
+    """Copy one batch; the sequence number reached, and whether more may be pending."""
+    revs, looks = source.revs(), options.selector is not None or callable(options.filter)
+    query = ChangesQuery(since=since, limit=batch, doc_ids=options.doc_ids, selector=options.selector, filter="_selector" if options.selector is not None else options.filter, params=options.query_params)
+    found = changes(R.winners(revs, looks), query, revs)
     reached = found.last_seq()
-    for store in (source, target):
-        store.put_local(name, {"seq": reached})
-    return stats, reached
+    if reached == since:
+        return since, False
+    picked = found.scanned.where(F.col("seq") <= reached) if found.test is None else found.scanned.where(found.test & (F.col("seq") <= reached))
+    own = revs.join(picked.select("id"), "id", "left_semi")
+    tips = R.leaf_keys(own).select("id", "num", "hash")
+    lacking = R.missing_revs(target.revs(), tips)
+    checked, missing = tips.count(), lacking.count()
+    stats.missing_checked += checked
+    stats.missing_found += missing
+    if missing:
+        hashed = R.paths(own, lacking).select("id", "num", "hash", F.transform("revisions.ids", lambda h, i: F.struct((F.col("num") - i).cast("int").alias("num"), h.alias("hash"))).alias("path"))
+        docs = R.whole(own).join(hashed, ["id", "num", "hash"]).select("id", "path", "deleted", "body", "atts")
+        refused = 0
+        if validate is not None:
+            docs = docs.withColumn("__fine", _fine(validate)("id", "deleted", "body"))
+            refused = docs.where(~F.col("__fine")).count()
+            docs = docs.where("__fine").drop("__fine")
+        blobs = source.blobs()
+        files = docs.where("atts is not null").select("id", F.lit(1).alias("num"), F.lit("").alias("hash"), "atts")
+        target.force(docs, A.used(blobs, files) if source.folder.at("blobs").parts() else None)
+        stats.docs_read += missing
+        stats.docs_written += missing - refused
+        stats.doc_write_failures += refused
+    return reached, True
+
+
+def _fine(validate: Validator):  # noqa: ANN202
+    """Whether a validator lets a document pass."""
+
+    @F.pandas_udf("boolean")
+    def test(ids: pd.Series, deleted: pd.Series, bodies: pd.Series) -> pd.Series:
+        said = [{**json.loads(b or "{}"), "_id": i, **({"_deleted": True} if d else {})} for i, d, b in zip(ids, deleted, bodies, strict=True)]
+        return pd.Series([validate(doc, None) is None for doc in said], dtype=bool)
+
+    return test
+
+
+def follow(source: Store, target: Store, checkpoint: str, options: Options | None = None, interval: str = "5 seconds", validate: Validator | None = None) -> StreamingQuery:
+    """Continuous replication: whatever is committed to the source's log starts a run; the stream's own checkpoint only
+    says which commits were seen, the replication's checkpoint what was copied."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        replicate(source, target, options, validate=validate)
+
+    return continuous(log_stream(source), each, checkpoint, interval)
 
 
 class Scheduler:
-    """Replication jobs by name and their states; a job runs at most once at a time."""
+    """Replication jobs by name and their states; a job runs at most once at a time. Continuous ones go on until stopped."""
 
-    def __init__(self) -> None:
-        self.jobs: dict[str, dict] = {}
+    def __init__(self, root: str | None = None) -> None:
+        self.root, self.jobs, self.streams = root, {}, {}
 
     def run(self, name: str, source: Store, target: Store, options: Options | None = None) -> dict:
-        if self.jobs.get(name, {}).get("state") == "running":
+        if self.state(name) == "running":
             return self.jobs[name]
         job = self.jobs[name] = {"state": "running", "error": None}
         try:
+            if options is not None and options.continuous:
+                if self.root is None:
+                    raise QueryError("bad_request", "a continuous replication needs a folder for its checkpoint")
+                self.streams[name] = follow(source, target, f"{self.root}/{name}", options)
+                return job
             stats, seq = replicate(source, target, options)
             job |= {"state": "completed", "seq": seq, **asdict(stats)}
         except Exception as bad:  # noqa: BLE001  a job's failure is its state
             job |= {"state": "failed", "error": str(bad)}
         return job
+
+    def state(self, name: str) -> str | None:
+        """triggered jobs are running until they are completed, failed or stopped."""
+        stream = self.streams.get(name)
+        if stream is not None and not stream.isActive:
+            self.jobs[name] |= {"state": "failed" if stream.exception() else "stopped", "error": str(stream.exception() or "") or None}
+        return self.jobs.get(name, {}).get("state")
+
+    def stop(self, name: str) -> None:
+        self.streams[name].stop()

@@ -84,20 +84,16 @@ def all_docs(winners: DataFrame, startkey: Any = UNSET, endkey: Any = UNSET, *,
     rows = _page(inside.select("id", "num", "hash"), [order], skip, limit)
     rows = rows.select("id", F.col("id").alias("key"), rev_text().alias("rev"), "num", "hash")
     if include_docs and revs is not None:
-        rows = with_bodies(rows, revs)
+        own = revs.join(rows.select("id"), "id", "left_semi") if limit is not None else revs
+        rows = R.with_bodies(rows, own).drop("atts").withColumnRenamed("body", "doc")
         if conflicts:
-            rows = rows.join(R.conflicts(revs), "id", "left")
+            rows = rows.join(R.conflicts(own), "id", "left")
         rows = rows.orderBy(order)
     total = live.agg(F.count("*").alias("total_rows"))
     before = live.agg((F.count_if(_before_start(F.col("id"), startkey, descending)) + F.lit(skip)).alias("offset"))
     return Page(rows.drop("num", "hash"), total, before)
 
 
-def with_bodies(rows: DataFrame, revs: DataFrame) -> DataFrame:
-    """rows (id, num, hash) with the revision's body as doc."""
-    return rows.join(revs.select("id", "num", "hash", F.col("body").alias("doc")), ["id", "num", "hash"], "left")
-
-
 def all_docs_keys(winners: DataFrame, keys: list[str], *, descending: bool = False, skip: int = 0, limit: int | None = None) -> Page:
     """Requested ids in request order, repeats kept; tombstones say deleted, unknown ids say not_found."""
     spark = winners.sparkSession
@@ -132,12 +128,13 @@ def live_scan(winners: DataFrame, after: str | None = None) -> DataFrame:
 
 
 def get(winners: DataFrame, revs: DataFrame, doc_id: str, rev: tuple[int, str] | None = None) -> DataFrame:
-    """One row (id, rev, deleted, body): the winner, or any stored revision."""
+    """One row (id, num, hash, rev, deleted, body, atts): the winner, or any stored revision."""
+    said = ["id", "num", "hash", rev_text().alias("rev"), "deleted", "body", "atts"]
+    own = R.whole(revs).where(F.col("id") == doc_id)
     if rev is not None:
-        own = revs.where((F.col("id") == doc_id) & (F.col("num") == rev[0]) & (F.col("hash") == rev[1]))
-        return own.select("id", rev_text().alias("rev"), "deleted", "body")
+        return own.where((F.col("num") == rev[0]) & (F.col("hash") == rev[1])).select(*said)
     won = winners.where(F.col("id") == doc_id).select("id", "num", "hash")
-    return revs.join(won, ["id", "num", "hash"]).select("id", rev_text().alias("rev"), "deleted", "body")
+    return own.join(won, ["id", "num", "hash"]).select(*said)
 
 
 def get_many(winners: DataFrame, ids: DataFrame) -> DataFrame:
@@ -145,13 +142,17 @@ def get_many(winners: DataFrame, ids: DataFrame) -> DataFrame:
     return winners.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def bulk_get(winners: DataFrame, revs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(pos, id, rev, body, deleted, error) for wanted (pos, id, num, hash): the winner where num is null."""
+def bulk_get(winners: DataFrame, revs: DataFrame, wanted: DataFrame, revisions: bool = False) -> DataFrame:
+    """(pos, id, num, hash, rev, body, atts, deleted, error) for wanted (pos, id, num, hash): the winner where num is null.
+
+    ``revisions`` adds each one's ancestry.
+    """
     won = winners.select("id", F.col("num").alias("wnum"), F.col("hash").alias("whash"))
     pinned = wanted.join(won, "id", "left").select("pos", "id", F.coalesce("num", "wnum").alias("num"), F.when(F.col("num").isNull(), F.col("whash")).otherwise(F.col("hash")).alias("hash"))
-    met = pinned.join(revs.select("id", "num", "hash", "deleted", "body"), ["id", "num", "hash"], "left")
+    met = pinned.join(R.whole(revs).select("id", "num", "hash", "deleted", "body", "atts"), ["id", "num", "hash"], "left")
     error = F.when(F.col("deleted").isNull(), F.struct(F.lit("not_found").alias("error"), F.lit("missing").alias("reason")))
-    return met.select("pos", "id", F.when(F.col("deleted").isNotNull(), rev_text()).alias("rev"), "body", "deleted", error.alias("error"))
+    out = met.select("pos", "id", "num", "hash", F.when(F.col("deleted").isNotNull(), rev_text()).alias("rev"), "body", "atts", "deleted", error.alias("error"))
+    return out.join(R.paths(revs, met.where("deleted is not null")), ["id", "num", "hash"], "left") if revisions else out
 
 
 def local_docs(local: DataFrame, keys: list[str] | None = None, skip: int = 0, limit: int | None = None, include_docs: bool = False, descending: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from types import CodeType
 from typing import Any
 
 import pandas as pd
@@ -21,7 +22,10 @@ from pyspark.sql import types as T
 
 from quillgrid.errors import QueryError
 from quillgrid.functions import collation as C
+from quillgrid.operators import attachments as A
+from quillgrid.operators import revisions as R
 from quillgrid.operators.scan import UNSET, Page, _page
+from quillgrid.sources.indextable import lead_test
 
 MapFunction = Callable[[dict, Callable[[Any, Any], None]], None]
 MOST_EMITS = 100_000
@@ -55,14 +59,24 @@ class ViewGroup:
         """MD5 over what decides the rows: equal definitions share an index."""
         def said(v: View) -> Any:
             if v.map is not None:
-                code = v.map.__code__
-                return [code.co_code.hex(), repr(code.co_consts), code.co_names]
+                return code_said(v.map)
             return [[str(e.key), str(e.value), str(e.when)] for e in v.emits or []]
 
         text = json.dumps([{k: said(v) for k, v in self.views.items()}, self.options, self.library], sort_keys=True)
         return hashlib.md5(text.encode()).hexdigest()
 
 
+def code_said(function: Callable) -> list:
+    """What a Python function does, as JSON values that are the same in every process."""
+
+    def of(code: CodeType) -> list:
+        consts = [of(c) if isinstance(c, CodeType) else repr(sorted(c, key=repr)) if isinstance(c, frozenset) else repr(c) for c in code.co_consts]
+        return [code.co_code.hex(), consts, list(code.co_names), list(code.co_varnames)]
+
+    held = [repr(c.cell_contents) for c in function.__closure__ or ()]
+    return [*of(function.__code__), repr(function.__defaults__), held]
+
+
 class Index:
     """Rows of one view, and the types of declared key parts (None for JSON keys; one part for plain keys)."""
 
@@ -158,6 +172,8 @@ class ViewQuery:
     skip: int = 0
     limit: int | None = None
     include_docs: bool = False
+    conflicts: bool = False
+    attachments: bool = False
     reduce: bool | None = None
     group: bool = False
     group_level: int | None = None
@@ -237,7 +253,14 @@ def _native(index: Index, value: Any) -> Column | None:
 
 def _is_key(index: Index, value: Any) -> Column:
     column = _native(index, value)
-    return column == F.lit(value) if column is not None else F.col("key") == C.key_literal(value)
+    if column is not None:
+        return column == F.lit(value)
+    return _plain(index, value, True) & _plain(index, value, False) & (F.col("key") == C.key_literal(value))
+
+
+def _plain(index: Index, value: Any, low: bool) -> Column:
+    """For stored rows what a bound says of their plain columns, which reaches the scan."""
+    return lead_test(value, low) if "k_rank" in index.rows.columns else F.lit(True)
 
 
 def _side(index: Index, value: Any, doc_id: str | None, low: bool, inclusive: bool) -> Column:
@@ -245,10 +268,10 @@ def _side(index: Index, value: Any, doc_id: str | None, low: bool, inclusive: bo
     there, bound = (column, F.lit(value)) if column is not None else (F.col("key"), C.key_literal(value))
     if doc_id is not None:
         tied = (F.col("id") >= doc_id if inclusive else F.col("id") > doc_id) if low else (F.col("id") <= doc_id if inclusive else F.col("id") < doc_id)
-        return (there > bound if low else there < bound) | ((there == bound) & tied)
+        return _plain(index, value, low) & ((there > bound if low else there < bound) | ((there == bound) & tied))
     if low:
-        return there >= bound if inclusive else there > bound
-    return there <= bound if inclusive else there < bound
+        return _plain(index, value, low) & (there >= bound if inclusive else there > bound)
+    return _plain(index, value, low) & (there <= bound if inclusive else there < bound)
 
 
 def _order(q: ViewQuery, index: Index) -> list[Column]:
@@ -260,26 +283,31 @@ def _scope(index: Index, q: ViewQuery) -> DataFrame:
     return index.rows if q.partition is None else index.rows.where(F.col("part") == q.partition)
 
 
-def rows(index: Index, q: ViewQuery, winners: DataFrame | None = None, revs: DataFrame | None = None) -> Page:
+def rows(index: Index, q: ViewQuery, winners: DataFrame | None = None, revs: DataFrame | None = None, blobs: DataFrame | None = None) -> Page:
     """Map rows in key order with totals and offset; with documents if asked for."""
     q.check(None, q.partition is not None)
     scope = _scope(index, q)
     total = scope.agg(F.count("*").alias("total_rows"))
     if q.keys is not None:
-        page = _keyed(index, q)
+        page, order = _keyed(index, q), _keyed_order(q)
         first = scope.agg((F.count_if(F.col("key") < C.key_literal(q.keys[0])) if q.keys else F.lit(0)).alias("offset"))
         out = Page(page, total, first)
     else:
-        inside = _reach(index, q)
-        picked = _page(scope.where(inside), _order(q, index), q.skip, q.limit)
+        inside, order = _reach(index, q), _order(q, index)
+        picked = _page(scope.where(inside), order, q.skip, q.limit)
         before = _before(index, q)
         scalars = scope.agg((F.count_if(before) + F.least(F.lit(q.skip), F.count_if(inside))).alias("offset"))
         out = Page(picked, total, scalars)
-    if q.include_docs and winners is not None:
-        out.rows = linked_docs(out.rows, winners, revs)
+    if q.include_docs and winners is not None:  # joins lose the order, so it is made again
+        out.rows = linked_docs(out.rows, winners, revs, conflicts=q.conflicts, blobs=blobs if q.attachments else None).orderBy(*order)
     return out
 
 
+def batches(index: Index, queries: list[ViewQuery], winners: DataFrame | None = None, revs: DataFrame | None = None) -> list[Page]:
+    """Independent results of several queries, in order."""
+    return [rows(index, q, winners, revs) for q in queries]
+
+
 def _before(index: Index, q: ViewQuery) -> Column:
     start = q.key if q.key is not UNSET else q.startkey
     if start is UNSET:
@@ -288,19 +316,32 @@ def _before(index: Index, q: ViewQuery) -> Column:
     return ~_reach(index, edge)
 
 
+def _keyed_order(q: ViewQuery) -> list[Column]:
+    return [F.col("pos").desc(), F.col("id").desc()] if q.descending else [F.col("pos"), F.col("id")]
+
+
 def _keyed(index: Index, q: ViewQuery) -> DataFrame:
     """Rows of the requested keys: request order, repeats kept, ids in order within a key."""
-    asked = [(i, k) for i, k in enumerate(q.keys)]
-    if not asked:
+    if not q.keys:
         return index.rows.limit(0)
-    lookup = index.rows.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), C.key_literal(k).alias("key")) for i, k in asked])).alias("x")).select("x.*")
-    met = F.broadcast(lookup).join(index.rows, "key")  # the request's own size bounds it
-    order = [F.col("pos").desc(), F.col("id").desc()] if q.descending else [F.col("pos"), F.col("id")]
-    return _page(met, order, q.skip, q.limit)
+    spark, scope = index.rows.sparkSession, _scope(index, q)
+    if all(_native(index, k) is not None for k in q.keys):  # numbers against a number column: an IN that reaches the scan
+        lookup = spark.createDataFrame([(i, float(k)) for i, k in enumerate(q.keys)], "pos int, __k double")
+        met = F.broadcast(lookup).join(scope.where(F.col("k0").isin(*q.keys)), F.col("__k") == F.col("k0").cast("double")).drop("__k")
+    else:
+        any_ = F.lit(False)
+        for k in q.keys:
+            any_ = any_ | (_plain(index, k, True) & _plain(index, k, False))
+        lookup = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), C.key_literal(k).alias("key")) for i, k in enumerate(q.keys)])).alias("x")).select("x.*")
+        met = F.broadcast(lookup).join(scope.where(any_), "key")  # the request's own size bounds it
+    return _page(met, _keyed_order(q), q.skip, q.limit)
+
 
+def linked_docs(rows_: DataFrame, winners: DataFrame, revs: DataFrame | None = None, value: str = "value_json", conflicts: bool = False, blobs: DataFrame | None = None) -> DataFrame:
+    """Rows, in no order, with their document: a value's _id redirects to another document, its _rev pins a revision.
 
-def linked_docs(rows_: DataFrame, winners: DataFrame, revs: DataFrame | None = None, value: str = "value_json") -> DataFrame:
-    """Rows with their document: a value's _id redirects to another document, its _rev pins a revision."""
+    ``conflicts`` adds the live losing leaves in rising order; attachments come as stubs, or with data from ``blobs``.
+    """
     if value in rows_.columns:
         target, pinned = F.get_json_object(value, "$._id"), F.get_json_object(value, "$._rev")
     else:
@@ -312,6 +353,9 @@ def linked_docs(rows_: DataFrame, winners: DataFrame, revs: DataFrame | None = N
     live = winners.where(~F.col("deleted")).select(F.col("id").alias("doc_id"), F.concat_ws("-", "num", "hash").alias("doc_rev"), *(["doc"] if "doc" in winners.columns else []))
     if revs is None:
         return asked.join(live, "doc_id", "left").drop("__rev")
-    bodies = revs.where(~F.col("deleted")).select(F.col("id").alias("doc_id"), F.concat_ws("-", "num", "hash").alias("doc_rev"), F.col("body").alias("doc"))
+    bodies = R.whole(revs).where(~F.col("deleted"))
+    bodies = A.with_data(bodies, blobs) if blobs is not None else bodies
+    bodies = bodies.select(F.col("id").alias("doc_id"), F.concat_ws("-", "num", "hash").alias("doc_rev"), F.col("body").alias("doc"), F.col("atts").alias("attachments"))
     met = asked.join(live.select("doc_id", F.col("doc_rev").alias("__won")), "doc_id", "left").withColumn("doc_rev", F.coalesce("__rev", "__won"))
-    return met.join(bodies, ["doc_id", "doc_rev"], "left").drop("__rev", "__won")
+    met = met.join(bodies, ["doc_id", "doc_rev"], "left").drop("__rev", "__won")
+    return met.join(R.conflicts(revs, False).withColumnRenamed("id", "doc_id"), "doc_id", "left") if conflicts else met

@@ -12,22 +12,23 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from quillgrid.errors import QueryError
 from quillgrid.functions.revid import next_rev, parse_rev
 from quillgrid.functions.schema import struct
+from quillgrid.operators.attachments import written
 from quillgrid.operators.revisions import REVS, Tree, by_document
 
-#: pos: place in the request; rev: the expected revision, or null; body: JSON text.
+#: pos: place in the request; rev: the expected revision, or null; body: JSON text, with _attachments.
 EDITS = struct("pos bigint, id string, rev string, deleted boolean, body string")
-OUTCOMES = "pos bigint, id string, ok boolean, rev string, error string, reason string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string"
-
-#: A document's attachments are refused rather than dropped.
-NO_ATTACHMENTS = "Attachments are not stored with documents"
+_BLOB = T.StructType([T.StructField("digest", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("data", T.BinaryType())])
+OUTCOMES = T.StructType([*struct("pos bigint, id string, ok boolean, rev string, error string, reason string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string, atts string").fields, T.StructField("blobs", T.ArrayType(_BLOB))])
 
 Validator = Callable[[dict, dict | None], tuple[str, str] | None]
 
@@ -43,8 +44,8 @@ def parse_document(text: str) -> tuple[dict, dict]:
     meta = {k: v for k, v in doc.items() if k.startswith("_")}
     if strange := sorted(set(meta) - known):
         raise QueryError("doc_validation", f"Bad special document member: {strange[0]}")
-    if meta.get("_attachments"):
-        raise QueryError("not_implemented", NO_ATTACHMENTS)
+    if not isinstance(meta.get("_attachments", {}), dict):
+        raise QueryError("bad_request", "_attachments must be a JSON object")
     if "_id" in meta and not isinstance(meta["_id"], str):
         raise QueryError("illegal_docid", "Document id must be a string")
     if "_id" in meta:
@@ -57,13 +58,19 @@ def check_id(doc_id: str) -> None:
         raise QueryError("illegal_docid", "Only reserved document ids may start with underscore.")
 
 
-def new_id(kind: str = "random") -> Column:
-    """An id for each row: random, or utc_random (time first, so ids sort by time)."""
+def new_id(kind: str = "random", suffix: str = "") -> Column:
+    """An id for each row: random; utc_random and utc_id (time first, so ids sort by time; utc_id ends in ``suffix``); or
+    sequential (a random beginning and a number that rises with the rows)."""
     text = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    now = F.lpad(F.lower(F.hex(F.unix_micros(F.current_timestamp()))), 14, "0")
     if kind == "random":
         return text
-    if kind in ("utc_random", "sequential"):
-        return F.concat(F.lpad(F.lower(F.hex(F.unix_micros(F.current_timestamp()))), 14, "0"), F.substring(text, 1, 18))
+    if kind == "utc_random":
+        return F.concat(now, F.substring(text, 1, 18))
+    if kind == "utc_id":
+        return F.concat(now, F.lit(suffix))
+    if kind == "sequential":
+        return F.concat(F.lit(random_id()[:16]), F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), 16, "0"))
     raise QueryError("bad_request", f"unknown algorithm {kind}")
 
 
@@ -72,7 +79,10 @@ def random_id() -> str:
 
 
 def apply_edits(revs: DataFrame, edits: DataFrame, validate: Validator | None = None) -> DataFrame:
-    """Outcomes of the edits: accepted ones carry their new revision, others conflict, not_found, forbidden, ..."""
+    """Outcomes of the edits: accepted ones carry their new revision, others conflict, not_found, forbidden, ...
+
+    Bodies of stored revisions are read only for a validator, which sees the one before.
+    """
 
     def run(rows: list[dict]) -> Iterator[dict]:
         tree = Tree([r for r in rows if r["pos"] is None])
@@ -82,9 +92,11 @@ def apply_edits(revs: DataFrame, edits: DataFrame, validate: Validator | None =
 
     touched = revs.join(edits.select("id").distinct(), "id", "left_semi")
     none = lambda kind: F.lit(None).cast(kind)
-    stored = touched.select("id", none("bigint").alias("pos"), none("string").alias("rev"), "num", "hash", "parent_num", "parent_hash", "deleted", "body")
-    asked = edits.select("id", "pos", "rev", none("int").alias("num"), none("string").alias("hash"), none("int").alias("parent_num"), none("string").alias("parent_hash"), "deleted", "body")
-    return by_document(stored.unionByName(asked), ["pos"], run, struct(OUTCOMES))
+    body = F.col("body") if validate is not None else none("string")
+    atts = F.col("atts") if "atts" in revs.columns else none("string")
+    stored = touched.select("id", none("bigint").alias("pos"), none("string").alias("rev"), "num", "hash", "parent_num", "parent_hash", "deleted", body.alias("body"), atts.alias("atts"))
+    asked = edits.select("id", "pos", "rev", none("int").alias("num"), none("string").alias("hash"), none("int").alias("parent_num"), none("string").alias("parent_hash"), "deleted", "body", none("string").alias("atts"))
+    return by_document(stored.unionByName(asked), ["pos"], run, OUTCOMES)
 
 
 def _edit(tree: Tree, e: dict, validate: Validator | None) -> dict:
@@ -106,12 +118,16 @@ def _edit(tree: Tree, e: dict, validate: Validator | None) -> dict:
         before = json.loads(tree.rows[won]["body"]) if live and tree.rows[won]["body"] else None
         if bad := validate({**body, "_id": e["id"], **({"_deleted": True} if deleted else {})}, before):
             return out | {"error": bad[0], "reason": bad[1]}
-    raw = json.dumps(body, ensure_ascii=False, separators=(",", ":"))
-    num, digest = next_rev(deleted, won, raw)
-    row = dict(zip(REVS.names, (e["id"], num, digest, won[0] if won else None, won[1] if won else None, deleted, raw, None), strict=True))
-    tree.add(dict(row))
-    row.pop("seq")
-    return out | row | {"ok": True, "rev": f"{num}-{digest}", "error": None, "reason": None}
+    raw, atts, blobs = json.dumps(body, ensure_ascii=False, separators=(",", ":")), {}, []
+    if meta.get("_attachments"):
+        try:
+            atts, blobs = written(meta["_attachments"], tree.rows[won]["atts"] if won else None, (won[0] if won else 0) + 1)
+        except QueryError as bad:
+            return out | {"error": bad.error, "reason": bad.reason}
+    num, digest = next_rev(deleted, won, raw, [(n, a["content_type"], a["digest"]) for n, a in atts.items()])
+    row = {"id": e["id"], "num": num, "hash": digest, "parent_num": won[0] if won else None, "parent_hash": won[1] if won else None, "deleted": deleted, "body": raw, "atts": json.dumps(atts, ensure_ascii=False) if atts else None}
+    tree.add(row)
+    return out | row | {"ok": True, "rev": f"{num}-{digest}", "error": None, "reason": None, "blobs": blobs}
 
 
 def new_revisions(outcomes: DataFrame, last_seq: int, run: int = 4096) -> DataFrame:
@@ -126,7 +142,7 @@ def new_revisions(outcomes: DataFrame, last_seq: int, run: int = 4096) -> DataFr
     base = counts.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("run").orderBy("pos"))
     numbered = ok.withColumn("inside", inside).join(base, "run")
-    return numbered.withColumn("seq", F.col("base") + F.col("inside") + F.lit(last_seq)).select(REVS.names)
+    return numbered.withColumn("seq", F.col("base") + F.col("inside") + F.lit(last_seq)).select(*REVS.names)
 
 
 def numbered_ids(docs: DataFrame, last_seq: int, parts: int = 1024) -> DataFrame:
@@ -139,22 +155,32 @@ def numbered_ids(docs: DataFrame, last_seq: int, parts: int = 1024) -> DataFrame
     return ids.withColumn("inside", inside).join(base, "part").select("id", (F.col("base") + F.col("inside") + F.lit(last_seq)).alias("seq"))
 
 
+FLAGGED = struct("pos bigint, id string, growth bigint, accepted boolean")
+
+
 def limit_partitions(edits: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """Edits (pos, id, growth) with a flag: the one that crosses a partition's limit passes, later growth doesn't.
 
-    A fold in request order within a partition, because rejected edits don't count. ``sizes`` has (part, size).
+    A fold in request order within a partition, because rejected edits don't count. Rows stream through it in order with
+    one number kept, so a partition of any size takes constant memory; its rows are positions and sizes of one request.
+    ``sizes`` has (part, size).
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        total, flags = int(pdf["size"].fillna(0).iloc[0]), []
-        for growth in pdf["growth"]:
-            flags.append(bool(growth <= 0 or total <= most))
-            total += int(growth) if flags[-1] else 0
-        return pdf.assign(accepted=flags)[["pos", "id", "growth", "accepted"]]
-
-    dealt = edits.withColumn("part", F.substring_index("id", ":", 1)).join(sizes, "part", "left")
-    return dealt.groupBy("part").applyInPandas(run, "pos bigint, id string, growth bigint, accepted boolean")
+    arrow = to_arrow_schema(FLAGGED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, 0
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    part, total = r["part"], r["size"] or 0
+                fits = r["growth"] <= 0 or total <= most
+                total += r["growth"] if fits else 0
+                rows.append({"pos": r["pos"], "id": r["id"], "growth": r["growth"], "accepted": fits})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    dealt = edits.withColumn("part", F.substring_index("id", ":", 1)).join(sizes, "part", "left").select("part", "pos", "id", "growth", "size")
+    return dealt.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(run, FLAGGED)
 
 
 def upsert_local(stored: DataFrame, batch: DataFrame) -> DataFrame:

@@ -1,59 +1,56 @@
 """A document store on a folder: an append-only log of commits in Parquet, read with Spark, written by one writer.
 
-``gen=G/commit=N`` folders hold the revisions that commit N appended; a folder counts once its job has finished.
-Compaction and purges write a new generation and leave the old one to readers that still use it. Readers see the
-commits that were there when they listed them, which makes every read a snapshot.
+    log/n=N.seq=U            revisions that commit N appended; U is the last sequence number given out
+    base/n=K.upto=N.seq=U.purge=P   all revisions of the commits up to N, after P purges
+    purged/n=P               what the purges up to number P removed
+    blobs/n=N                bytes of attachments, by digest
+    local/n=N                local documents
+
+A folder counts once its job has finished. The names hold the sequence and purge numbers, so they are read without a job
+and never depend on the rows that are left: a number is given out once, whatever is purged. Compaction and purges write a
+new base and leave the old one to readers that still use it; the log only grows, so streams over it go on. Readers see
+what was there when they listed it, which makes every read a snapshot.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Iterable
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.errors import NotFound, QueryError
 from quillgrid.functions.revid import parse_rev
+from quillgrid.operators import attachments as A
 from quillgrid.operators import revisions as R
 from quillgrid.operators import scan, write
 from quillgrid.operators.changes import Changes, ChangesQuery, changes
-from quillgrid.operators.find import Find, Found, IndexCatalog, find
+from quillgrid.operators.find import Find, Found, find
+from quillgrid.sources.folder import Folder
+from quillgrid.sources.indexes import StoreIndexes
 
 LOCAL = "id string, n bigint, body string"
 
 
-class Folder:
-    """A path in any file system that Spark knows."""
+class Snapshot(NamedTuple):
+    """What a reader sees: the folders of revisions, and the numbers reached."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def at(self, name: str) -> Folder:
-        return Folder(self.spark, f"{self.path}/{name}")
-
-    def exists(self) -> bool:
-        return self._fs.exists(self._hadoop)
-
-    def names(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._hadoop)) if self.exists() else []
-
-    def delete(self) -> None:
-        self._fs.delete(self._hadoop, True)
-
-    def numbers(self, key: str) -> list[int]:
-        """N of the finished folders named key=N."""
-        return sorted(int(n.split("=")[1]) for n in self.names() if n.startswith(f"{key}=") and self.at(f"{n}/_SUCCESS").exists())
+    paths: list[str]
+    commit: int
+    seq: int
+    purge: int
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, partitioned: bool = False):
+    def __init__(self, spark: SparkSession, path: str, partitioned: bool = False, revs_limit: int = R.REVS_LIMIT, partition_limit: int | None = None):
         self.spark, self.folder, self.partitioned = spark, Folder(spark, path), partitioned
-        self.indexes = IndexCatalog()
+        self.revs_limit, self.partition_limit = revs_limit, partition_limit
+        self.log, self.base = self.folder.at("log"), self.folder.at("base")
+        self.indexes = StoreIndexes(self)
 
     @staticmethod
     def check_name(name: str) -> str:
@@ -61,36 +58,62 @@ class Store:
             raise QueryError("illegal_database_name", name)
         return name
 
-    def generation(self) -> int:
-        found = [int(n.split("=")[1]) for n in self.folder.names() if n.startswith("gen=") and self.folder.at(n).numbers("commit")]
-        return max(found, default=0)
+    def snapshot(self, upto: int | None = None) -> Snapshot:
+        """The newest state, or that after a commit."""
+        commits = [c for c in self.log.parts() if upto is None or c["n"] <= upto]
+        bases = [b for b in self.base.parts() if upto is None or b["upto"] <= upto]
+        base = bases[-1] if bases else {"upto": 0, "seq": 0, "purge": 0}
+        later = [c for c in commits if c["n"] > base["upto"]]
+        paths = [f"{self.base.path}/{base['path']}"] if bases else []
+        last = commits[-1] if commits else {"n": 0, "seq": 0}
+        return Snapshot([*paths, *(f"{self.log.path}/{c['path']}" for c in later)], max(last["n"], base["upto"]), max(last["seq"], base["seq"]), base["purge"])
 
     def commits(self) -> list[int]:
-        return self.folder.at(f"gen={self.generation()}").numbers("commit")
+        return [c["n"] for c in self.log.parts()]
 
     def revs(self, upto: int | None = None) -> DataFrame:
         """All revisions of the commits up to a number: a snapshot by file list."""
-        gen = self.folder.at(f"gen={self.generation()}")
-        picked = [n for n in gen.numbers("commit") if upto is None or n <= upto]
-        if not picked:
-            return self.spark.createDataFrame([], R.REVS)
-        return self.spark.read.schema(R.REVS).parquet(*[f"{gen.path}/commit={n}" for n in picked])
-
-    def append(self, rows: DataFrame) -> int:
-        gen, done = self.generation(), self.commits()
-        number = done[-1] + 1 if done else 1
-        rows.select(R.REVS.names).write.mode("overwrite").parquet(f"{self.folder.path}/gen={gen}/commit={number}")
+        paths = self.snapshot(upto).paths
+        return self.spark.read.schema(R.REVS).parquet(*paths) if paths else self.spark.createDataFrame([], R.REVS)
+
+    def append(self, rows: DataFrame, seq: int) -> int:
+        """A commit of rows, the last of which has the sequence number ``seq``."""
+        number = self.snapshot().commit + 1
+        self.log.write(R.whole(rows), n=number, seq=seq)
         return number
 
-    def rewrite(self, rows: DataFrame) -> None:
-        gen = self.generation() + 1
-        rows.select(R.REVS.names).write.parquet(f"{self.folder.path}/gen={gen}/commit=1")
+    def rewrite(self, rows: DataFrame, purges: int = 0) -> None:
+        """Make rows all that the commits so far hold."""
+        now, bases = self.snapshot(), self.base.parts()
+        self.base.write(R.whole(rows), n=bases[-1]["n"] + 1 if bases else 1, upto=now.commit, seq=now.seq, purge=now.purge + purges)
 
     def winners(self, with_body: bool = False) -> DataFrame:
         return R.winners(self.revs(), with_body)
 
     def last_seq(self) -> int:
-        return self.revs().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        """The last sequence number given out; no job, and never less than before."""
+        return self.snapshot().seq
+
+    def purge_seq(self) -> int:
+        return self.snapshot().purge
+
+    def purged_since(self, purge: int = 0) -> DataFrame:
+        """(id, num, hash, purge) that the purges after a number removed."""
+        at, kind = self.folder.at("purged"), "id string, num int, hash string, purge bigint"
+        paths = [f"{at.path}/{p['path']}" for p in at.parts() if purge < p["n"] <= self.purge_seq()]
+        return self.spark.read.schema(kind).parquet(*paths).where(F.col("purge") > purge) if paths else self.spark.createDataFrame([], kind)
+
+    def blobs(self) -> DataFrame:
+        at = self.folder.at("blobs")
+        parts = at.parts()
+        last = max((i for i, p in enumerate(parts) if p.get("whole")), default=0)
+        paths = [f"{at.path}/{p['path']}" for p in parts[last:]]
+        return self.spark.read.schema(A.BLOBS).parquet(*paths) if paths else self.spark.createDataFrame([], A.BLOBS)
+
+    def add_blobs(self, rows: DataFrame, whole: bool = False) -> None:
+        at = self.folder.at("blobs")
+        parts = at.parts()
+        at.write(rows.select("digest", "encoding", "data"), n=parts[-1]["n"] + 1 if parts else 1, **({"whole": 1} if whole else {}))
 
     # writes
 
@@ -106,80 +129,185 @@ class Store:
             raise QueryError("illegal_docid", "Doc id must be of form partition:id")
         staged = self.folder.at("staged")
         write.apply_edits(self.revs(), docs, validate).write.mode("overwrite").parquet(staged.path)
-        outcomes = self.spark.read.parquet(staged.path)
-        self.append(write.new_revisions(outcomes, self.last_seq()))
+        outcomes = self.spark.read.schema(write.OUTCOMES).parquet(staged.path)
+        if self.partitioned and self.partition_limit is not None:
+            outcomes = self._within_limit(outcomes)
+        seen = outcomes.agg(F.count_if("ok").alias("n"), F.count_if(F.size("blobs") > 0).alias("blobs"), F.max("num").alias("top")).first()
+        if seen["blobs"]:
+            self.add_blobs(outcomes.where("ok").select(F.explode("blobs").alias("b")).select("b.*"))
+        last = self.last_seq()
+        self.append(write.new_revisions(outcomes, last), last + seen["n"])
+        over = (seen["top"] or 0) - self.revs_limit
+        if over > 0 and over % max(1, self.revs_limit // 10) == 0:
+            self.rewrite(R.prune_history(self.revs(), self.revs_limit))
         return outcomes.select("pos", "id", "ok", "rev", "error", "reason").orderBy("pos")
 
+    def _within_limit(self, outcomes: DataFrame) -> DataFrame:
+        """Outcomes less those that grow a partition that is over its limit."""
+        size = F.length(F.coalesce("body", F.lit("")))
+        stored = self.winners(True).where("not deleted").select("id", size.alias("held"))
+        sizes = stored.where(F.col("id").contains(":")).groupBy(F.substring_index("id", ":", 1).alias("part")).agg(F.sum("held").alias("size"))
+        grown = outcomes.where("ok").join(stored, "id", "left").select("pos", "id", (F.when(F.col("deleted"), 0).otherwise(size) - F.coalesce("held", F.lit(0))).cast("bigint").alias("growth"))
+        bad = write.limit_partitions(grown, sizes, self.partition_limit).where("not accepted").select("pos", F.lit(True).alias("over"))
+        met = outcomes.join(bad, "pos", "left").withColumn("ok", F.col("ok") & F.col("over").isNull())
+        none = lambda c, said: F.when(F.col("over"), F.lit(said)).otherwise(F.col(c)).alias(c)
+        return met.select(*[none(c, {"error": "forbidden", "reason": "Partition is too large", "rev": None}[c]) if c in ("error", "reason", "rev") else c for c in outcomes.columns])
+
     def put(self, doc: dict, validate: write.Validator | None = None) -> str:
         r = self.bulk([doc], validate).first()
         if not r["ok"]:
-            raise QueryError(r["error"], r["reason"], {"conflict": 409, "not_found": 404, "forbidden": 403, "unauthorized": 401}.get(r["error"], 400))
+            raise QueryError(r["error"], r["reason"], {"conflict": 409, "not_found": 404, "forbidden": 403, "unauthorized": 401, "missing_stub": 412}.get(r["error"], 400))
         return r["rev"]
 
     def delete(self, doc_id: str, rev: str) -> str:
         return self.put({"_id": doc_id, "_rev": rev, "_deleted": True})
 
     def copy(self, doc_id: str, to: str, rev: str | None = None) -> str:
-        return self.put({**self.get(doc_id), "_id": to, "_rev": rev})
-
-    def force(self, docs: DataFrame | list[dict]) -> None:
-        """new_edits=false: documents with their revision path (id, path, deleted, body)."""
+        """A document under another id, with its attachments."""
+        doc = self.get(doc_id, attachments=True)
+        return self.put({**doc, "_id": to, "_rev": rev})
+
+    def put_attachment(self, doc_id: str, name: str, data: bytes, content_type: str = "application/octet-stream", rev: str | None = None) -> str:
+        """A new revision of the document (or its first) with one attachment more, or replaced."""
+        doc = self.get(doc_id) if rev is not None else {"_id": doc_id}
+        files = doc.get("_attachments", {}) | {name: {"content_type": content_type, "data": base64.b64encode(data).decode()}}
+        return self.put({**doc, "_rev": rev, "_attachments": files})
+
+    def delete_attachment(self, doc_id: str, name: str, rev: str) -> str:
+        doc = self.get(doc_id)
+        if name not in doc.get("_attachments", {}):
+            raise NotFound("Document is missing attachment")
+        return self.put({**doc, "_rev": rev, "_attachments": {k: v for k, v in doc["_attachments"].items() if k != name}})
+
+    def attachment(self, doc_id: str, name: str, rev: str | None = None, start: int = 0, end: int | None = None) -> tuple[str, bytes]:
+        """(content type, bytes) of an attachment, or an inclusive range of them."""
+        num, hash_ = parse_rev(rev or self.get(doc_id)["_rev"])
+        r = A.get(self.revs(), self.blobs(), doc_id, num, hash_, name, start, end).first()
+        if r is None:
+            raise NotFound("Document is missing attachment")
+        return r["content_type"], bytes(r["data"])
+
+    def force(self, docs: DataFrame | list[dict], blobs: DataFrame | None = None) -> None:
+        """new_edits=false: documents with their revision path (id, path, deleted, body and, if they have any, atts).
+
+        ``blobs`` has the bytes that the stubs name; those that are stored already are not stored again.
+        """
         if isinstance(docs, list):
-            if any(d.get("_attachments") for d in docs):
-                raise QueryError("not_implemented", write.NO_ATTACHMENTS)
-            rows = [(d["_id"], [(d["_revisions"]["start"] - i, h) for i, h in enumerate(d["_revisions"]["ids"])], bool(d.get("_deleted")), json.dumps({k: v for k, v in d.items() if not k.startswith("_")})) for d in docs]
-            docs = self.spark.createDataFrame(rows, "id string, path array<struct<num:int,hash:string>>, deleted boolean, body string")
-        old = self.revs()
-        numbered = docs.join(write.numbered_ids(docs, self.last_seq()), "id")
+            rows, data = [], []
+            for d in docs:
+                start, ids = d["_revisions"]["start"], d["_revisions"]["ids"]
+                atts, new = A.written(d.get("_attachments") or {}, None, start)
+                for name, a in atts.items():
+                    a["revpos"] = d["_attachments"][name].get("revpos", start)
+                data += [(b["digest"], b["encoding"], bytearray(b["data"])) for b in new]
+                rows.append((d["_id"], [(start - i, h) for i, h in enumerate(ids)], bool(d.get("_deleted")), json.dumps({k: v for k, v in d.items() if not k.startswith("_")}, ensure_ascii=False), json.dumps(atts) if atts else None))
+            docs = self.spark.createDataFrame(rows, "id string, path array<struct<num:int,hash:string>>, deleted boolean, body string, atts string")
+            blobs = self.spark.createDataFrame(data, A.BLOBS) if data else None
+        if blobs is not None:
+            self.add_blobs(blobs.dropDuplicates(["digest"]).join(self.blobs().select("digest"), "digest", "left_anti"))
+        old, last = self.revs(), self.last_seq()
+        numbered = docs.join(write.numbered_ids(docs, last), "id")
         new = R.forced(old, numbered).join(old.select("id", "num", "hash"), ["id", "num", "hash"], "left_anti")
-        self.append(new)
-
-    def compact(self, limit: int = R.REVS_LIMIT) -> None:
-        self.rewrite(R.stem(self.revs(), limit))
-
-    def purge(self, requests: dict[str, list[str]]) -> None:
-        rows = [(i, *parse_rev(r)) for i, revs in requests.items() for r in revs]
-        self.rewrite(R.purge(self.revs(), self.spark.createDataFrame(rows, "id string, num int, hash string")))
+        self.append(new, last + docs.select("id").distinct().count())
+
+    def compact(self, limit: int | None = None) -> None:
+        """Bodies of inner revisions and what lies too deep go, as do bytes that no attachment names any more."""
+        self.rewrite(R.stem(self.revs(), limit or self.revs_limit))
+        if self.folder.at("blobs").parts():
+            self.add_blobs(A.used(self.blobs(), self.revs()), whole=True)
+
+    def purge(self, requests: dict[str, list[str]] | DataFrame) -> DataFrame:
+        """Remove leaves and what only they have, without a trace in the feed; (id, num, hash, purge) of what went.
+
+        Every document that lost something counts one purge. Sequence numbers stay as they are.
+        """
+        if not isinstance(requests, DataFrame):
+            rows = [(i, *parse_rev(r)) for i, revs in requests.items() for r in revs]
+            requests = self.spark.createDataFrame(rows, "id string, num int, hash string")
+        staged, before, revs = self.folder.at("staged-purge"), self.purge_seq(), self.revs()
+        R.purged(revs, requests).write.mode("overwrite").parquet(staged.path)
+        gone = self.spark.read.schema("id string, num int, hash string").parquet(staged.path)
+        n = gone.select("id").distinct().count()
+        if n:
+            numbers = write.numbered_ids(gone, before).withColumnRenamed("seq", "purge")
+            self.folder.at("purged").write(gone.join(numbers, "id").select("id", "num", "hash", "purge"), n=before + n)
+            self.rewrite(revs.join(gone, ["id", "num", "hash"], "left_anti"), n)
+        return self.purged_since(before)
+
+    def vacuum(self) -> None:
+        """Delete what the newest base has taken over: older bases and the commits in it. Streams begin after it."""
+        bases = self.base.parts()
+        for b in bases[:-1]:
+            self.base.at(b["path"]).delete()
+        for c in self.log.parts():
+            if bases and c["n"] <= bases[-1]["upto"]:
+                self.log.at(c["path"]).delete()
 
     # reads
 
-    def get(self, doc_id: str, rev: tuple[int, str] | None = None) -> dict:
-        r = scan.get(self.winners(), self.revs(), doc_id, rev).first()
+    def get(self, doc_id: str, rev: tuple[int, str] | str | None = None, attachments: bool = False, conflicts: bool = False) -> dict:
+        """A document with its id, revision and attachments: stubs, or their data."""
+        revs = self.revs().where(F.col("id") == doc_id)
+        found = scan.get(R.winners(revs), revs, doc_id, parse_rev(rev) if isinstance(rev, str) else rev)
+        if attachments:
+            found = A.with_data(found, self.blobs())
+        r = found.first()
         if r is None or (r["deleted"] and rev is None):
             raise NotFound("deleted" if r else "missing")
-        return {"_id": doc_id, "_rev": r["rev"], **json.loads(r["body"] or "{}")}
+        doc = {"_id": doc_id, "_rev": r["rev"], **json.loads(r["body"] or "{}")}
+        if r["deleted"]:
+            doc["_deleted"] = True
+        if r["atts"]:
+            doc["_attachments"] = json.loads(r["atts"])
+        if conflicts and (c := R.conflicts(revs).first()):
+            doc["_conflicts"] = c["conflicts"]
+        return doc
 
     def all_docs(self, **query: Any) -> scan.Page:
         return scan.all_docs(self.winners(), revs=self.revs(), **query)
 
+    def bulk_get(self, wanted: DataFrame, revisions: bool = False, attachments: bool = False) -> DataFrame:
+        """(pos, id, rev, body, atts, deleted, error) for wanted (pos, id, num, hash), with ancestry or data if asked for."""
+        revs = self.revs()
+        found = scan.bulk_get(R.winners(revs), revs, wanted, revisions)
+        return A.with_data(found, self.blobs()) if attachments else found
+
     def changes(self, query: ChangesQuery | None = None) -> Changes:
         """Bodies are read only if the filter looks into documents."""
         looks = query is not None and (callable(query.filter) or query.filter in ("_selector", "_view"))
-        return changes(self.winners(looks), query, self.revs())
+        revs = self.revs()
+        return changes(R.winners(revs, looks), query, revs, self.last_seq(), self.blobs() if query is not None and query.attachments else None)
 
     def find(self, request: Find | dict) -> Found:
-        docs = self.winners(True).where(~F.col("deleted") & ~F.col("id").startswith("_design/"))
+        """Documents that match, read from an index that fits the selector, or from all of them."""
         request = request if isinstance(request, Find) else Find(**request)
-        whole = docs.select(F.col("id").alias("_id"), "num", "hash", "body", "seq")
-        return find(whole, request, body="body", conflicts=R.conflicts(self.revs()) if request.conflicts else None)
+        conflicts = R.conflicts(self.revs()) if request.conflicts else None
+        return find(self.live(), request, body="body", conflicts=conflicts, catalog=self.indexes)
+
+    def live(self) -> DataFrame:
+        docs = self.winners(True).where(~F.col("deleted") & ~F.col("id").startswith("_design/"))
+        return docs.select(F.col("id").alias("_id"), "num", "hash", "body", "seq")
 
     def info(self) -> dict:
+        """Counts, numbers reached and sizes: of the live bodies, and of the files."""
         size = F.length(F.coalesce("body", F.lit("")))
+        now = self.snapshot()
         row = scan.dbs_info(self.winners(True).withColumn("db", F.lit(self.folder.path.rsplit("/", 1)[-1])), size=size).first()
-        return row.asDict() if row else {"doc_count": 0, "doc_del_count": 0, "update_seq": 0, "external_size": 0}
+        said = row.asDict() if row else {"db": self.folder.path.rsplit("/", 1)[-1], "doc_count": 0, "doc_del_count": 0, "external_size": 0}
+        return said | {"update_seq": now.seq, "purge_seq": now.purge, "file_size": self.log.size() + self.base.size()}
 
     # local documents
 
     def local(self) -> DataFrame:
         at = self.folder.at("local")
-        found = at.numbers("v")
-        return self.spark.read.schema(LOCAL).parquet(f"{at.path}/v={found[-1]}") if found else self.spark.createDataFrame([], LOCAL)
+        found = at.parts()
+        return self.spark.read.schema(LOCAL).parquet(f"{at.path}/{found[-1]['path']}") if found else self.spark.createDataFrame([], LOCAL)
 
     def put_local(self, doc_id: str, body: dict) -> None:
         at = self.folder.at("local")
-        found = at.numbers("v")
+        found = at.parts()
         new = self.spark.createDataFrame([(doc_id, json.dumps(body))], "id string, body string")
-        write.upsert_local(self.local(), new).write.parquet(f"{at.path}/v={(found[-1] if found else 0) + 1}")
+        at.write(write.upsert_local(self.local(), new), n=(found[-1]["n"] if found else 0) + 1)
 
     def get_local(self, doc_id: str) -> dict | None:
         r = self.local().where(F.col("id") == doc_id).first()
@@ -199,7 +327,7 @@ class Server:
         store = self.open(name, partitioned)
         if name in self._names():
             raise QueryError("file_exists", "The database could not be created, the file already exists.", 412)
-        store.append(self.spark.createDataFrame([], R.REVS))
+        store.append(self.spark.createDataFrame([], R.REVS), 0)
         self._event(name, "created")
         return store
 

@@ -1,13 +1,16 @@
 """Change feeds as streams: the commit log is a file source, offsets live in the checkpoint.
 
-Late data needs no watermark: a sequence number, not event time, orders a feed. State is the last row of each
-document, kept in Parquet by ``foreachBatch`` or in Spark's state store by ``latest_stream``.
+The log only grows, whatever is compacted or purged, so a stream goes on over both. A batch says which documents were
+touched; what they are now is asked of the store, because the last revision written need not be the winner, and a purge
+may have taken it away. Late data needs no watermark: a sequence number, not event time, orders a feed.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,16 +18,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillgrid.operators import revisions as R
-from quillgrid.operators.changes import latest
-from quillgrid.operators.views import View, build, build_json, refresh
-from quillgrid.sources.store import Folder, Store
+from quillgrid.operators.changes import Changes, ChangesQuery, latest
+from quillgrid.operators.views import View, build, build_json
+from quillgrid.sources.folder import Folder
+from quillgrid.sources.indextable import IndexTable
+from quillgrid.sources.store import Store
 
 
 def log_stream(store: Store, most_files: int | None = None) -> DataFrame:
-    """Revisions as they are committed to the store's present generation."""
+    """Revisions as they are committed to the store."""
+    store.log.make()
     reader = store.spark.readStream.schema(R.REVS).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
     reader = reader.option("maxFilesPerTrigger", most_files) if most_files else reader
-    return reader.parquet(f"{store.folder.path}/gen={store.generation()}")
+    return reader.parquet(store.log.path)
+
+
+def present(store: Store, batch: DataFrame, with_body: bool = False) -> DataFrame:
+    """The winners, as they are now, of the documents that a batch of revisions touches."""
+    own = store.revs().join(batch.select("id").distinct(), "id", "left_semi")
+    return R.winners(own, with_body)
+
+
+def longpoll(store: Store, query: ChangesQuery, timeout: float = 60.0, pause: float = 0.2) -> Changes:
+    """Wait for the first change after ``since`` that passes the filter; what there is after ``timeout`` seconds.
+
+    Waiting looks at the log's folder; a job runs only when something was written.
+    """
+    end, looked = time.monotonic() + timeout, -1
+    while True:
+        seq = store.last_seq()
+        if seq > looked:
+            found = store.changes(query)
+            if query.since != "now" and not found.rows.isEmpty():
+                return found
+            query = replace(query, since=found.since) if query.since == "now" else query
+            looked = seq
+        if time.monotonic() >= end:
+            return store.changes(query)
+        time.sleep(pause)
 
 
 def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, timeout: float | None = None) -> bool:
@@ -41,11 +72,12 @@ def continuous(stream: DataFrame, each: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
-def lines_sink(path: str, test: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """JSON lines of changes, one folder a batch, so that a repeated batch replaces itself."""
+def lines_sink(store: Store, path: str, test: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """JSON lines of changes, one folder a batch, so that a repeated batch replaces itself. ``test`` is on winners."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.where(test) if test is not None else batch
+        rows = present(store, batch, test is not None)
+        rows = rows.where(test) if test is not None else rows
         rows = rows.select("seq", "id", "deleted", F.array(F.concat_ws("-", F.col("num").cast("string"), "hash")).alias("changes"))
         rows.sort("seq").write.mode("overwrite").json(f"{path}/batch={number}")
 
@@ -58,32 +90,31 @@ def events_text(rows: DataFrame) -> Iterator[str]:
         yield f"data: {json.dumps(r.asDict(recursive=True))}\nid: {r['seq']}\n\n"
 
 
-class Versions:
-    """A table kept as numbered versions, of which the last finished one counts."""
+def keep_latest(spark: SparkSession, path: str, key: str = "id", seq: str = "seq", most: int = 16) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each key's last row: a batch is added as a part, and ``most`` parts become one."""
+    folder = Folder(spark, path)
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.folder = spark, Folder(spark, path)
+    def each(batch: DataFrame, number: int) -> None:
+        parts = folder.parts()
+        n = parts[-1]["n"] + 1 if parts else 1
+        folder.write(latest(batch, key, seq), n=n, whole=int(not parts))
+        if len(live_parts(folder)) > most:
+            folder.write(read_latest(spark, path, key, seq), n=n + 1, whole=1)
+            for p in folder.parts():
+                if p["n"] < n - most:
+                    folder.at(p["path"]).delete()
 
-    def read(self) -> DataFrame | None:
-        found = self.folder.numbers("v")
-        return self.spark.read.parquet(f"{self.folder.path}/v={found[-1]}") if found else None
+    return each
 
-    def write(self, df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder.path}/v={number}")
-        for n in self.folder.numbers("v"):
-            if n < number - 1:
-                self.folder.at(f"v={n}").delete()
 
+def live_parts(folder: Folder) -> list[dict[str, int]]:
+    parts = folder.parts()
+    return parts[max((i for i, p in enumerate(parts) if p["whole"]), default=0) :]
 
-def keep_latest(spark: SparkSession, path: str, key: str = "id", seq: str = "seq") -> Callable[[DataFrame, int], None]:
-    """A sink that keeps each document's last row."""
-    table = Versions(spark, path)
 
-    def each(batch: DataFrame, number: int) -> None:
-        old = table.read()
-        table.write(latest(batch if old is None else old.unionByName(batch), key, seq), number + 1)
-
-    return each
+def read_latest(spark: SparkSession, path: str, key: str = "id", seq: str = "seq") -> DataFrame:
+    """What ``keep_latest`` keeps."""
+    return latest(spark.read.parquet(*[f"{path}/{p['path']}" for p in live_parts(Folder(spark, path))]), key, seq)
 
 
 def latest_stream(stream: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
@@ -101,16 +132,17 @@ def latest_stream(stream: DataFrame, key: str = "id", seq: str = "seq") -> DataF
     return picked.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, {seq} bigint", "top bigint", "update", "NoTimeout")
 
 
-def incremental_view(spark: SparkSession, path: str, view: View) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps a view's rows up to date: rows of changed documents go, their new ones come."""
-    table = Versions(spark, path)
+def incremental_view(store: Store, path: str, view: View) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps a Python or declared view's rows up to date: what a batch touches is mapped again."""
+    table = IndexTable(store.spark, path)
 
     def each(batch: DataFrame, number: int) -> None:
-        changed = latest(batch)
-        live = changed.where("not deleted and not startswith(id, '_design/')")
+        now, (_, purge) = store.snapshot(), table.reached()
+        changed = batch.select("id").union(store.purged_since(purge).select("id")).distinct()
+        own = store.revs().join(changed, "id", "left_semi")
+        live = R.winners(own, True).where("not deleted and not startswith(id, '_design/')")
         index = build_json(live.select("id", "seq", F.col("body").alias("doc")), view) if view.map is not None else build(live, view)
-        new, old = index.rows, table.read()
-        table.write(new if old is None else refresh(old, changed, new), number + 1)
+        table.update(changed if table.folder.parts() else None, index.rows, now.seq, now.purge)
 
     return each
 

@@ -1,3 +1,6 @@
+import base64
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,9 +66,9 @@ def test_indexes(people, tmp_path):
 
 
 def test_stats(people):
-    docs, seen = with_stats(find(people, Find({"type": "post"})))
+    docs, returned, examined = with_stats(find(people, Find({"type": "post"}, execution_stats=True)))
     docs.collect()
-    assert seen.get["results_returned"] == 2
+    assert returned.get["results_returned"] == 2 and examined.get["total_docs_examined"] == 5
 
 
 def test_attachments(spark):
@@ -74,7 +77,10 @@ def test_attachments(spark):
     stored = A.put(rows).cache()
     by_name = {r["name"]: r for r in stored.collect()}
     assert by_name["t.txt"]["encoding"] == "gzip" and len(by_name["t.txt"]["data"]) < 100 and by_name["t.txt"]["length"] == 600
-    assert bytes(A.get(stored, "a", 2, "h", "t.txt").first()["data"]) == text
-    assert bytes(A.get(stored, "a", 2, "h", "b.bin", 1, 2).first()["data"]) == b"\x01\x02"
-    stubs = A.stubs(stored, F.lit(1)).first()["attachments"]
-    assert [s["name"] for s in stubs] == ["b.bin", "t.txt"] and stubs[0]["data"] is not None and A.stubs(stored).first()["attachments"][0]["stub"]
+    revs = A.stubs(stored)
+    blobs = stored.select("digest", "encoding", "data")
+    assert bytes(A.get(revs, blobs, "a", 2, "h", "t.txt").first()["data"]) == text
+    assert bytes(A.get(revs, blobs, "a", 2, "h", "b.bin", 1, 2).first()["data"]) == b"\x01\x02"
+    old, new = (json.loads(A.with_data(revs, blobs, since).first()["atts"]) for since in (2, 1))
+    assert list(old) == ["b.bin", "t.txt"] and all(a["stub"] and "data" not in a for a in old.values())
+    assert base64.b64decode(new["t.txt"]["data"]) == text and "stub" not in new["t.txt"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid.operators.changes import latest
 from quillgrid.operators.views import Emit, View, build
 from quillgrid.sources.feed import FeedSource
+from quillgrid.sources.indextable import IndexTable
 from quillgrid.sources.store import Store
 from quillgrid.streaming import feeds
 
@@ -19,17 +20,17 @@ def test_feed_sinks_match_the_batch(spark, tmp_path):
 
     def drain():
         feeds.run_once(feeds.log_stream(store), feeds.keep_latest(spark, f"{at}/latest"), f"{at}/c1")
-        feeds.run_once(feeds.log_stream(store), feeds.lines_sink(f"{at}/lines"), f"{at}/c2")
-        feeds.run_once(feeds.log_stream(store), feeds.incremental_view(spark, f"{at}/view", view), f"{at}/c3")
+        feeds.run_once(feeds.log_stream(store), feeds.lines_sink(store, f"{at}/lines"), f"{at}/c2")
+        feeds.run_once(feeds.log_stream(store), feeds.incremental_view(store, f"{at}/view", view), f"{at}/c3")
 
     drain()
     store.put({"_id": "d1", "_rev": store.get("d1")["_rev"], "n": 10})
     store.delete("d2", store.get("d2")["_rev"])
     drain()
-    kept = {(r["id"], r["seq"]) for r in feeds.Versions(spark, f"{at}/latest").read().collect()}
+    kept = {(r["id"], r["seq"]) for r in feeds.read_latest(spark, f"{at}/latest").collect()}
     assert kept == {(r["id"], r["seq"]) for r in latest(store.revs()).collect()} == {(r["id"], r["seq"]) for r in store.winners().collect()}
     assert spark.read.json(f"{at}/lines").count() == 6
-    index = feeds.Versions(spark, f"{at}/view").read()
+    index = IndexTable(spark, f"{at}/view").read()
     whole = build(store.winners(True).where("not deleted"), view).rows
     assert sorted(r["k0"] for r in index.collect()) == sorted(r["k0"] for r in whole.collect()) == [0, 3, 10]
 
