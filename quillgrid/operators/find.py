@@ -231,7 +231,7 @@ def find(docs: DataFrame, request: Find | dict, doc_id: str = "_id", catalog: In
     return Found(out, chosen, warning, request, match, keys, source, stats)
 
 
-def explain(docs: DataFrame, request: Find | dict, catalog: IndexCatalog | None = None, doc_id: str = "_id") -> dict:
+def explain(docs: DataFrame, request: Find | dict, catalog: IndexCatalog | None = None, doc_id: str = "_id", body: str | None = None) -> dict:
     """The plan: chosen index, candidates, normal form, bounds, options and the physical plan."""
     request = request if isinstance(request, Find) else Find(**request)
     catalog = catalog or IndexCatalog()
@@ -247,7 +247,7 @@ def explain(docs: DataFrame, request: Find | dict, catalog: IndexCatalog | None
             out.append(edge[0] if edge else None if low else "<MAX>")
         return out
 
-    plan = find(docs, request, doc_id, catalog).docs._jdf.queryExecution().toString()
+    plan = find(docs, request, doc_id, catalog, body).docs._jdf.queryExecution().toString()
     return {
         "index": next(x for x in catalog.list() if x["name"] == (chosen.name if chosen else "_all_docs")),
         "candidates": [x["name"] for x in catalog.list()],
