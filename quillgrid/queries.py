@@ -481,16 +481,6 @@ def compact_and_stem(spark: SparkSession, sf: str) -> DataFrame:
     return R.stem(event_revs(spark, sf), 2).select("id", "num", "hash", F.col("body").isNotNull().alias("has_body"))
 
 
-@query(EVENT_REVS + """, cut AS (SELECT id, num, hash FROM leaves WHERE deleted)
-SELECT id, num, hash FROM revs WHERE id IN (SELECT id FROM revs EXCEPT SELECT id FROM cut)""")
-def purge_untouched(spark: SparkSession, sf: str) -> DataFrame:
-    """Purging the deleted leaves leaves documents without any as they are."""
-    revs = event_revs(spark, sf)
-    gone = R.leaves(revs).where("deleted").select("id", "num", "hash")
-    left = R.purge(revs, gone).select("id", "num", "hash")
-    return left.join(gone.select("id").distinct(), "id", "left_anti")
-
-
 @query(EVENT_REVS + """, asked AS (SELECT seq AS pos, id, CASE WHEN seq % 3 = 0 THEN NULL ELSE num END AS num, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN hash ELSE 'none' END AS hash FROM revs),
 pinned AS (SELECT a.pos, a.id, coalesce(a.num, w.num) AS num, CASE WHEN a.num IS NULL THEN w.hash ELSE a.hash END AS hash FROM asked a LEFT JOIN won w USING (id))
 SELECT p.pos::BIGINT AS pos, p.id, CASE WHEN r.id IS NOT NULL THEN p.num || '-' || p.hash END AS rev, r.deleted, CASE WHEN r.id IS NULL THEN 'missing' END AS reason
@@ -574,14 +564,13 @@ def view_refresh(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT _id, row_number() OVER (ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN CASE WHEN k > 50 THEN 2 ELSE 1 END WHEN 'view' THEN 3 ELSE 4 END, CASE WHEN event_type = 'view' THEN value END, CASE WHEN event_type IN ('purchase', 'signup') THEN event_type END, _id) AS place FROM {EVENTS}")
 def mixed_key_order(spark: SparkSession, sf: str) -> DataFrame:
     """Null, booleans, numbers and strings in one key column, in the order of all values."""
-    from pyspark.sql.window import Window
-
     from quillgrid.functions.collation import json_key
+    from quillgrid.store_queries import numbered
 
     docs = event_docs(spark, sf)
     key = F.when(F.col("event_type") == "click", "null").when(F.col("event_type") == "error", F.when(F.col("props.k") > 50, "true").otherwise("false")).when(F.col("event_type") == "view", F.col("value").cast("string")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
     keyed = docs.select("_id", json_key(key).alias("key"))
-    return keyed.select("_id", F.row_number().over(Window.orderBy("key", "_id")).alias("place"))
+    return numbered(keyed.orderBy("key", "_id").select("_id"), "place").withColumn("place", F.col("place") + 1)
 
 
 @query("SELECT doc_id::VARCHAR AS id, 'md5-' || base64(unhex(md5(coalesce(text, '')))) AS digest, strlen(coalesce(text, ''))::BIGINT AS length FROM documents")

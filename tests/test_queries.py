@@ -1,5 +1,6 @@
 import pytest
 
+from quillgrid import store_queries  # noqa: F401  registers its queries
 from quillgrid.queries import ORACLES, QUERIES
 from tests.oracle import both
 
