@@ -59,10 +59,9 @@ def map_input(store: Store, changed: DataFrame | None = None, options: dict | No
     conflicts and, if asked for, their sequence."""
     options, revs = options or {}, store.revs()
     own = revs if changed is None else revs.join(changed.select("id"), "id", "left_semi")
-    live = R.winners(own, True).where(~F.col("deleted"))
+    live = R.documents(own).where(~F.col("deleted"))
     if not options.get("include_design"):
         live = live.where(~F.col("id").startswith("_design/"))
-    live = live.join(R.conflicts(own), "id", "left")
     head = F.struct(F.col("id").alias("_id"), F.concat_ws("-", F.col("num").cast("string"), "hash").alias("_rev"), F.col("conflicts").alias("_conflicts"), *([F.col("seq").alias("_local_seq")] if options.get("local_seq") else []))
     inner = lambda text: F.substring(text, F.lit(2), F.length(text) - 2)  # noqa: E731  what is between an object's braces
     body = F.trim(F.coalesce("body", F.lit("{}")))

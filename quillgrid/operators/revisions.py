@@ -74,6 +74,16 @@ def with_bodies(keys: DataFrame, revs: DataFrame, kind: str = "inner") -> DataFr
     return keys.join(whole(revs).select(*KEY, "body", "atts"), KEY, kind)
 
 
+def documents(revs: DataFrame) -> DataFrame:
+    """(id, num, hash, deleted, seq, conflicts, body, atts): winners with their conflicts (null if none), in one pass."""
+    leaf = F.when(~F.col("inner"), F.struct((~F.col("deleted")).alias("live"), "num", "hash"))
+    ranked = _marked(revs).groupBy("id").agg(F.sort_array(F.collect_list(leaf), False).alias("c"), F.max("seq").alias("seq"))
+    rest = F.filter(F.slice("c", F.lit(2), F.size("c")), lambda x: x["live"])
+    one = F.col("c")[0]
+    keys = ranked.select("id", one["num"].alias("num"), one["hash"].alias("hash"), (~one["live"]).alias("deleted"), "seq", F.when(F.size(rest) > 0, _texts(rest)).alias("conflicts"))
+    return with_bodies(keys, revs)
+
+
 def _by_rank(revs: DataFrame) -> DataFrame:
     """(id, c): a document's leaves as (live, num, hash), the winner first."""
     return leaf_keys(revs).groupBy("id").agg(F.sort_array(F.collect_list(F.struct((~F.col("deleted")).alias("live"), "num", "hash")), False).alias("c"))

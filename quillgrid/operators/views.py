@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from types import CodeType
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,35 +115,50 @@ def build(docs: DataFrame, view: View, doc_id: str = "id", part: Column | None =
     return Index(rows.withColumn("key", key), kinds, array, view.reduce)
 
 
-ROWS = "id string, seq bigint, part string, key_json string, value_json string"
+_TOKEN = pa.struct([("r", pa.int32()), ("n", pa.float64()), ("s", pa.string())])
+_ROWS = pa.schema([("id", pa.string()), ("seq", pa.int64()), ("part", pa.string()), ("key_json", pa.string()), ("value_json", pa.string()), ("key", pa.list_(_TOKEN))])
+ROWS = "id string, seq bigint, part string, key_json string, value_json string, key array<struct<r:int,n:double,s:string>>"
 
 
 def build_json(docs: DataFrame, view: View, doc_id: str = "id") -> Index:
-    """The index of a Python map over JSON documents (id, seq, doc as text). A map that fails skips the document."""
+    """The index of a Python map over JSON documents (id, seq, doc as text). A map that fails skips the document.
+
+    Keys are taken apart where they are emitted; a key with a number beyond a double has no place and is left out.
+    """
     run_map = view.map
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for i, seq, text in zip(pdf["id"], pdf["seq"], pdf["doc"], strict=True):
-                for key, value in emitted(run_map, text):
-                    out.append((i, seq, i.split(":", 1)[0] if ":" in i else "", key, value))
-            yield pd.DataFrame(out, columns=["id", "seq", "part", "key_json", "value_json"]).astype({"seq": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens, ends = [], [], [0]
+            for i, seq, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = i.split(":", 1)[0] if ":" in i else ""
+                for key, key_json, value_json in emitted(run_map, text):
+                    try:
+                        tokens += C.tokens(key)
+                    except (ValueError, OverflowError):
+                        del tokens[ends[-1] :]
+                        continue
+                    ends.append(len(tokens))
+                    rows.append((i, seq, part, key_json, value_json))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            inner = list(zip(*tokens, strict=True)) or [[]] * 3
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(inner, _TOKEN, strict=True)], fields=list(_TOKEN)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=False)), keys], schema=_ROWS)
 
     seq = F.col("seq") if "seq" in docs.columns else F.lit(None).cast("bigint")
-    rows = docs.select(F.col(doc_id).alias("id"), seq.cast("bigint").alias("seq"), "doc").mapInPandas(run, ROWS)
-    rows = rows.withColumn("key", C.json_key(F.col("key_json"))).where("key is not null")
-    return Index(rows, None, False, view.reduce)
+    rows = docs.select(F.col(doc_id).alias("id"), seq.cast("bigint").alias("seq"), "doc").mapInArrow(run, ROWS)
+    return Index(rows.withColumn("key", F.col("key").cast(C.KEY)), None, False, view.reduce)
 
 
-def emitted(run_map: MapFunction, text: str) -> list[tuple[str, str]]:
-    """What a map emits for a document, as JSON texts; nothing if it fails or emits too much."""
-    found: list[tuple[str, str]] = []
+def emitted(run_map: MapFunction, text: str) -> list[tuple[Any, str, str]]:
+    """What a map emits for a document: keys, and keys and values as JSON texts; nothing if it fails or emits too much."""
+    found: list[tuple[Any, str, str]] = []
 
     def emit(key: Any = None, value: Any = None) -> None:
         if len(found) >= MOST_EMITS:
             raise OverflowError("too many emissions")
-        found.append((json.dumps(key, ensure_ascii=False), json.dumps(value, ensure_ascii=False)))
+        text = json.dumps(key, ensure_ascii=False)
+        found.append((key if key is None or isinstance(key, (bool, int, float, str)) else json.loads(text), text, json.dumps(value, ensure_ascii=False)))
 
     try:
         run_map(json.loads(text), emit)

@@ -92,6 +92,10 @@ class IndexTable:
                 self.folder.at(p["path"]).delete()
 
     def _write(self, rows: DataFrame, n: int, seq: int, purge: int, changed: DataFrame | None) -> None:
+        if changed is None:  # written before it is sorted: finding ranges would run the map a second time
+            staged = Folder(self.spark, f"{self.folder.path}-staged")
+            rows.withColumn("key", F.col("key").cast(PLAIN_KEY)).write.mode("overwrite").parquet(staged.path)
+            rows = self.spark.read.parquet(staged.path).withColumn("key", F.col("key").cast(C.KEY))
         keyed = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id") if changed is None else rows
         if "k_rank" not in keyed.columns:
             keyed = keyed.select("*", *lead_columns(F.col("key")))
@@ -101,6 +105,8 @@ class IndexTable:
             marks = ids.select(*[F.lit(True).alias("gone") if f.name == "gone" else F.col("id") if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields])
             out = out.unionByName(marks)
         self.folder.write(out, n=n, whole=int(changed is None), seq=seq, purge=purge)
+        if changed is None:
+            staged.delete()
 
 
 def prefix_bounds(fields: tuple[str, ...], found: dict[str, Any]) -> tuple[list, list, bool]:

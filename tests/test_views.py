@@ -107,7 +107,7 @@ def test_map_errors_stay_with_their_document():
     def picky(doc, emit):
         emit(1 / doc["n"], None)
 
-    assert emitted(picky, '{"n":0}') == [] and emitted(picky, '{"n":2}') == [("0.5", "null")]
+    assert emitted(picky, '{"n":0}') == [] and emitted(picky, '{"n":2}') == [(0.5, "0.5", "null")]
 
 
 @pytest.mark.parametrize(
