@@ -5,14 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.sources.scratch import scratch_path
+
 #: The one definition of a word: a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch sent to Python; a batch has one row at least.
@@ -30,28 +30,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only where neither the setting nor the context has one (local tests) a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="quillgrid-")
-    spark.sparkContext.setCheckpointDir(f"file://{root}")
-    return f"file://{root}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/quillgrid-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -177,3 +177,19 @@ def taken_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_mixing that SQL can work out."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS total, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS r FROM s),
+f AS (SELECT a.*, (SELECT sum(b.cap) FROM o b WHERE b.r <= a.r) + a.cap / a.w * (SELECT coalesce(sum(b.w), 0) FROM o b WHERE b.r > a.r) <= a.total AS at_cap FROM o a),
+l AS (SELECT (max(total) - coalesce(sum(cap) FILTER (at_cap), 0)) / sum(w) FILTER (NOT at_cap) AS level FROM f)
+SELECT doc_id, size, source_size, round(CASE WHEN at_cap THEN cap ELSE least(cap, level * w) END, 4) AS target
+FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source, l
+"""

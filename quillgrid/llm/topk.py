@@ -21,7 +21,6 @@ scaling is an error, as is a score beyond 64 bits; extra columns are ignored; no
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgrid.llm.common import materialize, scratch_root, small_batches, table, tidy
+from quillgrid.llm.common import materialize, small_batches, table, tidy
+from quillgrid.sources.scratch import scratch_path
 
 SCALE = 256
 #: Candidates searched at once, dimensions accumulated between two bounds, candidates that give first bounds, and bytes
@@ -207,7 +207,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vector: str = "
     first = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SEEDS).toArrow().combine_chunks().to_batches()
     seeds = vectors_of(first[0]) if first else (np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
     asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
-    path = f"{scratch_root(spark).rstrip('/')}/quillgrid-best-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "best")
     spark.createDataFrame([], FOUND).write.parquet(path)
     for wave in _waves(materialize(_packed(asked, seeds, k), "queries"), k):
         _search(rows, wave).write.mode("append").parquet(path)
