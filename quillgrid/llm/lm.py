@@ -50,7 +50,9 @@ _SYMBOLS = bytes([255]) + LOWER[1:]
 #: Context symbols that decide a window's bucket; contexts of at least as many are complete inside one bucket.
 NEAR = 3
 #: Bytes of text whose windows are counted at once, and windows held before they are summed.
-PIECE, HELD = 4 << 20, 2_000_000
+PIECE, HELD = 8 << 20, 2_000_000
+#: Texts whose windows are sorted together: as many as a window's last byte can number.
+FEW = 256
 
 
 def symbols(text: bytes | None) -> bytes:
@@ -152,6 +154,12 @@ def added(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def counted(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of texts, in order, and their counts; positions are held for a few texts at a time."""
+    parts = [runs(text_windows(texts[i : i + FEW], order)) for i in range(0, len(texts), FEW)] or [runs(np.zeros(0, np.uint64))]
+    return added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def symbol_first(w: np.ndarray) -> np.ndarray:
     """Windows with the symbol in the lowest byte and the nearest context symbol above it, as levels have them."""
     return (w.byteswap() & np.uint64((1 << 48) - 1)) << np.uint64(8) | (w >> np.uint64(8)) & np.uint64(0xFF)
@@ -224,8 +232,8 @@ def tree_windows(df: DataFrame, text: str, trains: str, order: int = DEPTH) -> t
                 rows = block_rows(blob.as_py())
                 texts = [symbols(x) for x in rows.column(at).cast(pa.binary()).to_pylist()]
                 trained = rows.column(flag).to_numpy(zero_copy_only=False).astype(bool).tolist()
-                seen, n = runs(text_windows([t for t, yes in zip(texts, trained, strict=True) if yes], order))
-                asked, _ = runs(text_windows([t for t, yes in zip(texts, trained, strict=True) if not yes], order))
+                seen, n = counted([t for t, yes in zip(texts, trained, strict=True) if yes], order)
+                asked, _ = counted([t for t, yes in zip(texts, trained, strict=True) if not yes], order)
                 w, n = added(np.concatenate([seen, asked]), np.concatenate([n, np.zeros(len(asked), n.dtype)]))
                 bucket, places = by_bucket(w, buckets)
                 cuts = np.flatnonzero(np.diff(bucket[places].astype(np.int64), prepend=-1))
@@ -249,7 +257,7 @@ def short_levels(blocks: DataFrame, at: int, flag: int) -> list[Level]:
             for blob in batch.column(0):
                 rows = block_rows(blob.as_py())
                 texts = [symbols(x) for x, yes in zip(rows.column(at).cast(pa.binary()).to_pylist(), rows.column(flag).to_pylist(), strict=True) if yes]
-                more, times = runs(text_windows(texts, NEAR - 1))
+                more, times = counted(texts, NEAR - 1)
                 w, n = added(np.concatenate([w, more]), np.concatenate([n, times]))
         yield pa.RecordBatch.from_arrays([pa.array(symbol_first(w).astype(np.int32)), pa.array(n)], ["short", "n"])
 
@@ -333,8 +341,8 @@ def tree_scores(df: DataFrame, text: str, trains: str, out: str = "score", order
 def text_scores(texts: list[bytes], answers: list[bytes], order: int, buckets: int) -> np.ndarray:
     """The sum of each text's answers; ``answers`` are those of the block's distinct windows, bucket by bucket."""
     parts = []
-    for i in range(0, len(texts), 256):  # as many texts as a window's last byte can number
-        some = texts[i : i + 256]
+    for i in range(0, len(texts), FEW):
+        some = texts[i : i + FEW]
         w = text_windows(some, order, np.arange(len(some)))
         parts.append((*runs(w >> np.uint64(8) << np.uint64(8)), (w & np.uint64(0xFF)).astype(np.uint8), len(some)))
     distinct = runs(np.sort(np.concatenate([p[0] for p in parts])))[0]
