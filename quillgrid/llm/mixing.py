@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillgrid.llm.common import WORD, fresh, materialize, set_aside, table, utf8
+from quillgrid.llm.common import WORD, drop_scratch, fresh, materialize, set_aside, table, utf8
 
 #: Tokens of a block.
 BLOCK = 128
@@ -167,6 +167,8 @@ def taken_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     passes = given.groupBy("__sid", "__start", "round").agg(F.min("slot").alias(slot), F.sum("words").alias(words))
     named = placed.select("__sid", "__start", F.col("__row").alias(row), F.col("__row_id").alias(row_id), F.col("__size").alias(name))
     wanted = materialize(passes.join(named, ["__sid", "__start"]).select(row, row_id, slot, F.when(F.col(words) < F.col(name), F.col(words)).cast("int").alias(words)), "taken")
+    for used in (given, placed):
+        drop_scratch(used)
     met = whole.dropDuplicates([row, row_id]).join(wanted, [row, row_id])
     parts = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the white space after it
     lead = F.when(F.col(text).rlike(r"\A[\x20\x09-\x0D]"), 1).otherwise(0)

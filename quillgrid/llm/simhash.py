@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import fresh, materialize, set_aside, small_batches, table, tidy
+from quillgrid.llm.common import drop_scratch, fresh, materialize, set_aside, small_batches, table, tidy
 from quillgrid.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -118,14 +118,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     doc_id, *keep = picked.columns[:-1]
     marked = materialize(fingerprints(picked, body, shingle=shingle), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
-    roots = components(links(fps.select("fp")), "simhash")
+    edges = links(fps.select("fp"))
+    roots, done = components(edges, "simhash"), [edges]
     if roots is None:
         label = fps.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
         rooted = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
         least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
         label = rooted.join(least, "root").select("fp", "root", "component_id")
-    return marked.join(materialize(label, "labels"), "fp").select(doc_id, *keep, "fp", "root", "component_id")
+        done += [roots, rooted, least]
+    label = materialize(label, "labels")
+    for used in done:
+        drop_scratch(used)
+    return marked.join(label, "fp").select(doc_id, *keep, "fp", "root", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
