@@ -329,7 +329,7 @@ def conflicts_in_feeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("SELECT '2-' || md5(l || s_name) AS rev, md5(s_name) AS parent, 2 AS start FROM supplier, (VALUES ('a'), ('b')) v(l) WHERE s_suppkey = 7")
-def open_revisions(spark: SparkSession, sf: str) -> DataFrame:
+def leaves_of_one(spark: SparkSession, sf: str) -> DataFrame:
     """All leaves of one document with their ancestry."""
     store, _ = made(spark, sf, suppliers_store)
     name = read(spark, sf, "supplier").where("s_suppkey = 7").first()["s_name"]
