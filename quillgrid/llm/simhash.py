@@ -12,6 +12,10 @@ a point within one bit of both, at most 65 distinct fingerprints share a point,
 to their least. Nothing is capped away, and rows stay in proportion to fingerprints. Components come from
 ``components``; tables between the steps are written to the shared folder.
 
+``near_duplicates`` links fingerprints alone. ``similar_copies`` finds near duplicates by the similarity of their word
+shingles: fingerprints of distinct words, whose segments' balls on both sides reach five bits, give the candidates,
+and the shingles themselves decide.
+
 Edge cases: a null, empty or white-space text has fingerprint zero, linked like any other; fewer than three words
 are one shingle; texts are taken whole; repeated rows and equal doc_ids each come back; null doc_ids are kept and
 never are a component's id unless it has no other; kept columns that are called like an output get an underscore after
@@ -20,12 +24,13 @@ their name; a table without rows gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +40,12 @@ from quillgrid.llm.components import components
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct fingerprints of one segment value that are still compared one by one.
 BUCKET = 24
+#: Words of a shingle, and the least similarity of two shingle sets as a fraction, of near duplicates by similarity.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: Bits by which the distinct words' fingerprints of candidates may differ: two in one segment, three in the other.
+RADIUS = 5
+#: Nodes of a point that meet all its others in the first round.
+HUBS = 16
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -49,6 +60,11 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-1]])
         hashes = [digest(joined[i:j], seed) for i, j in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=False)]
+    return _majority(hashes)
+
+
+def _majority(hashes: list[int]) -> int:
+    """The signed number whose bits are set in over half the hashes."""
     n = len(hashes)
     ones, h = np.zeros(64, np.int64), np.array(hashes, ">u8").view(np.uint8).reshape(n, 8)
     for i in range(0, n, 1 << 16):
@@ -56,20 +72,39 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
-    """df's other columns and the fingerprint of each text as a long; no shuffle."""
+def word_print(text: bytes) -> tuple[int, int]:
+    """Signed hash of the A-Z lower-cased words in their order, and SimHash of the distinct ones (no words: zero)."""
+    words = text.translate(LOWER).split()
+    node = xxhash.xxh64(b" ".join(words), 42).digest()
+    fp = _majority([xxhash.xxh64_intdigest(w, 42) for w in set(words)]) if words else 0
+    return int.from_bytes(node, "big", signed=True), fp
+
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles; fewer words are one shingle, no words none."""
+    words = text.translate(LOWER).split()
+    spans = range(max(len(words) - shingle, 0) + 1) if words else ()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in spans], np.uint64)).view(np.int64)
+
+
+def _with_text(df: DataFrame, text: str, out: str, run: Callable[[list[bytes]], list[pa.Array]]) -> DataFrame:
+    """df's other columns and those that ``run`` makes of a batch's texts (``out`` is their schema); no shuffle."""
     small_batches(df.sparkSession)
-    at = df.columns.index(text)
+    at, added = df.columns.index(text), T.DataType.fromDDL(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x or b"", shingle) for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            made = run([x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()])
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             names = [c for i, c in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(fps, pa.int64())], [*names, out])
+            yield pa.RecordBatch.from_arrays([*rest, *made], [*names, *added.names])
 
-    fields = [f for f in df.schema.fields if f.name != text]
-    return df.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(out, T.LongType())]))
+    return df.mapInArrow(tidy(mapped), T.StructType([f for f in df.schema.fields if f.name != text] + added.fields))
+
+
+def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
+    """df's other columns and the fingerprint of each text as a long; no shuffle."""
+    return _with_text(df, text, f"`{out}` bigint", lambda texts: [pa.array([fingerprint(x, shingle) for x in texts], pa.int64())])
 
 
 def _distance(a: str, b: str) -> Column:
@@ -133,13 +168,91 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     return marked.join(label, "fp").select(doc_id, *keep, "fp", "root", "component_id")
 
 
+def _ball(segment: Column) -> Column:
+    """A segment and its 32 neighbours by one bit."""
+    return F.array(segment, *[segment.bitwiseXOR(F.lit(1 << i)) for i in range(32)])
+
+
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hubs: int = HUBS) -> DataFrame:
+    """Verified edges (a, b) between the rows (node, fp), whose components are those of all links.
+
+    A link is a distance of ``RADIUS`` bits at most and a similarity of ``SIMILAR`` at least. Of two such fingerprints a
+    segment differs in two bits at most, and then both segments' balls of radius one share a point. ``sets`` gives
+    (node, shingles) for a table of nodes. In a round, the first ``hubs`` nodes of a point meet all others of it that
+    are not of their component yet, and are done with. Points that hold several components go on with eight times
+    the hubs, so a large group of near copies costs rows in proportion to it, and no pair of components is left out.
+    """
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = F.explode(F.concat(*map(_ball, _segments()))).alias("point")
+    at = Window.partitionBy("point")
+    spread = nodes.select("node", "fp").repartition(width, "node").select("node", "fp", points)
+    shared = spread.withColumn("n", F.count("*").over(at)).where("n > 1")
+    members, verified, used = shared.select("point", "node", "fp", F.col("node").alias("root")), [], []
+    while True:
+        rank = F.row_number().over(at.orderBy(F.xxhash64("node"), "node"))
+        ranked = materialize(members.withColumn("rank", rank), "points")
+        hub = ranked.where(F.col("rank") <= hubs).select("point", *[F.col(c).alias(f"{c}_h") for c in ("node", "fp", "root", "rank")])
+        met = ranked.join(hub, "point").where("rank_h < rank and root_h != root").where(_distance("fp", "fp_h") <= RADIUS)
+        pairs = materialize(met.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct(), "pairs")
+        shingles = materialize(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
+        both = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+        alike = F.size(F.array_intersect("sa", "sb")) * (SIMILAR[0] + SIMILAR[1]) >= (F.size("sa") + F.size("sb")) * SIMILAR[0]
+        verified.append(materialize(both.where(alike).select("a", "b"), "similar"))
+        edges, rest = reduce(DataFrame.union, verified), ranked.where(F.col("rank") > hubs).drop("rank", "root")
+        for done in (pairs, shingles, *used):
+            drop_scratch(done)
+        roots = None if rest.isEmpty() else components(edges, "similar")
+        used = [ranked] if roots is None else [ranked, roots]
+        rest = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rest.groupBy("point").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("point")
+        several = materialize(several, "open")
+        if several.isEmpty():
+            for done in used:
+                drop_scratch(done)
+            return edges
+        members, hubs = rest.join(several, "point"), 8 * hubs
+
+
+def similar_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), hubs: int = HUBS) -> DataFrame:
+    """doc_id, the columns ``keep``, node (a text's words), root (a node that names the group) and component_id, for each row.
+
+    Near duplicates by similarity: the distinct words' fingerprints find candidates, shingles of ``SHINGLE`` words
+    decide. Texts of the same words in the same order are one node (by a hash of 64 bits); a text without words is the
+    copy of every other one.
+    """
+    body, mark = fresh([doc_id, *keep, "node", "fp", "root", "component_id"], "__body", "__mark")
+    picked = set_aside(df.select(doc_id, *keep, F.xxhash64(text).alias(mark), F.col(text).alias(body)), "node", "fp", "root", "component_id")
+    doc_id, *keep = picked.columns[:-2]
+
+    def prints(texts: list[bytes]) -> list[pa.Array]:
+        return [pa.array(c, pa.int64()) for c in zip(*map(word_print, texts), strict=True)] if texts else [pa.array([], pa.int64())] * 2
+
+    marked = materialize(_with_text(picked, body, "node bigint, fp bigint", prints), "prints")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col(mark).alias("mark")))
+    nodes = marked.groupBy("node").agg(F.min("fp").alias("fp"), first.alias("m"))
+    nodes = materialize(nodes.select("node", "fp", F.col("m.id").alias("least"), F.col("m.mark").alias("text_mark")), "nodes")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        rows = materialize(nodes.join(wanted, "node").select("node", "least", "text_mark"), "wanted")
+        found = picked.join(rows, F.col(doc_id).eqNullSafe(F.col("least")) & (F.col(mark) == F.col("text_mark"))).select("node", body)
+        hashed = _with_text(found, body, "shingles array<bigint>", lambda texts: [pa.array(map(shingle_hashes, texts), pa.list_(pa.int64()))])
+        return hashed.dropDuplicates(["node"])
+
+    roots = components(similar_links(nodes, sets, hubs), "similar")
+    if roots is None:
+        return marked.join(nodes.select("node", F.col("node").alias("root"), F.col("least").alias("component_id")), "node").select(doc_id, *keep, "node", "root", "component_id")
+    rooted = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    label = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return marked.join(materialize(label, "labels"), "node").select(doc_id, *keep, "node", "root", "component_id")
+
+
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: that of least doc_id, of several that of least fingerprint and hash."""
+    """One row of each group of ``similar_copies``: that of least doc_id, of several that of least node and hash."""
     mark, named, chosen_hash = fresh(df.columns, "__hash", "__id", "__h")
     hashed = df.withColumn(mark, F.xxhash64(text))
-    found = near_duplicates(hashed.select(doc_id, mark, text), doc_id, text, keep=(mark,))
+    found = similar_copies(hashed.select(doc_id, mark, text), doc_id, text, keep=(mark,))
     found = found.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    chosen = found.groupBy("root", "component_id").agg(F.min(F.struct("fp", mark)).alias("m")).select(F.col("component_id").alias(named), F.col("m")[mark].alias(chosen_hash))
+    chosen = found.groupBy("root", "component_id").agg(F.min(F.struct("node", mark)).alias("m")).select(F.col("component_id").alias(named), F.col("m")[mark].alias(chosen_hash))
     chosen = materialize(chosen.distinct(), "chosen")
     met = hashed.join(chosen, F.col(doc_id).eqNullSafe(F.col(named)) & (F.col(mark) == F.col(chosen_hash)), "left_semi")
     return met.dropDuplicates([doc_id, mark]).drop(mark)

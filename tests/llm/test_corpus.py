@@ -162,6 +162,44 @@ def test_simhash_on_documents(spark, small):
     assert got == {i: (f, least[roots[f]]) for i, f in fps.items()}
 
 
+def plain_copies(texts):
+    """Component roots (places in ``texts``) of near duplicates: words' fingerprints within 5 bits, 5-word shingles 4/5 alike."""
+    words = [WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)} if w else set() for w in words]
+    hashes = [[xxhash.xxh64_intdigest(x.encode(), 42) for x in set(w)] for w in words]
+    fps = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in hashes]
+    root = list(range(len(texts)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (fps[i] ^ fps[j]).bit_count() <= 5 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            if near:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(v) for v in root]
+
+
+@pytest.mark.parametrize("hubs", [1, 16])
+def test_similar_copies(spark, hubs):
+    """Groups of near copies, larger than a round's hubs and only in part similar enough, against all pairs."""
+    rng, texts = random.Random(3), []
+    for g in range(4):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(30):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(120)] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(own).upper() if rng.random() < 0.2 else "  ".join(own))
+    texts += ["", " ", None, "one", "one two", "One Two"]
+    want, docs = plain_copies(texts), spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_copies(docs, hubs=hubs).collect()}
+    assert got == dict(enumerate(want)) and 8 < len(set(want)) < 100
+
+
 def test_simhash_edges(spark, odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -173,7 +211,9 @@ def test_simhash_edges(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in kept.collect()) == [(0, "no i"), (1, "The "), (2, ""), (5, "w0 w"), (6, "anot"), (6, "same"), (7, "日本語 "), (8, "xxxx")]
     assert simhash.near_duplicates(no_docs).count() == 0
-    named = odd_docs.withColumn("fp", F.lit("mine")).withColumn("__hash", F.lit("mine"))
+    assert simhash.similar_copies(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+    named = odd_docs.withColumn("fp", F.lit("mine")).withColumn("node", F.lit("mine")).withColumn("__hash", F.lit("mine"))
+    assert {r["node_"] for r in simhash.similar_copies(named, keep=("node",)).collect()} == {"mine"}
     assert {r["fp_"] for r in simhash.near_duplicates(named, keep=("fp",)).collect()} == {"mine"}
     assert simhash.keep_one(named).columns == named.columns and simhash.keep_one(named).count() == kept.count()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillgrid.llm import bpe
 from quillgrid.llm.common import table
-from tests.llm.test_corpus import WORDS, plain_components, plain_fingerprint, plain_lines, plain_targets
+from tests.llm.test_corpus import WORDS, plain_copies, plain_lines, plain_targets
 
 
 def test_stages(spark, small, tmp_path):
@@ -26,10 +26,10 @@ def test_stages(spark, small, tmp_path):
     assert sorted(plain_lines([(r["doc_id"], r["source"], r["text"]) for r in before])) == sorted((r["doc_id"], r["text"]) for r in after)
     assert all(r["n_chars"] == len(r["text"]) for r in after)
     before, after = rows["simhash"]
-    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before}
-    roots, least = plain_components(sorted(set(fps.values()))), {}
-    for i, f in fps.items():
-        least[roots[f]] = min(i, least.get(roots[f], i))
+    roots = plain_copies([r["text"] for r in before])
+    least = {}
+    for r, root in zip(before, roots, strict=True):
+        least[root] = min(r["doc_id"], least.get(root, r["doc_id"]))
     assert sorted(least.values()) == sorted(r["doc_id"] for r in after)
     before, after = rows["mixing"]
     words = lambda t: len(WORDS.findall(t or ""))
