@@ -41,7 +41,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: one document of each group of near duplicates stays, that of least id (null ids come last).
 
-    Null and empty texts are one group; repeated rows are copies.
+    Near duplicates share four fifths of their five-word shingles and differ by at most 5 bits in the fingerprints of
+    their distinct words. Texts without words are one group; repeated rows are copies.
     """
     return simhash.keep_one(docs).select(*docs.columns)
 
