@@ -25,7 +25,6 @@ their name; a table without rows gives none.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ BUCKET = 24
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Bits by which the distinct words' fingerprints of candidates may differ: two in one segment, three in the other.
 RADIUS = 5
-#: Nodes of a point that meet all its others in the first round.
+#: Nodes of a point that meet all its others.
 HUBS = 16
 
 
@@ -173,44 +172,75 @@ def _ball(segment: Column) -> Column:
     return F.array(segment, *[segment.bitwiseXOR(F.lit(1 << i)) for i in range(32)])
 
 
+def _alike(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Those of the rows (a, b) whose sets are alike enough; ``shingles`` has (node, shingles)."""
+    both = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+    enough = F.size(F.array_intersect("sa", "sb")) * sum(SIMILAR) >= (F.size("sa") + F.size("sb")) * SIMILAR[0]
+    return both.where(enough).select("a", "b")
+
+
+def _rare_meetings(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (node, fp, root) that may be linked across roots, by the rarest shingles of each.
+
+    Sets that are alike enough overlap in at least ``need`` shingles, so their first common one, in the order of frequency,
+    stands early in both. A pair is emitted only where what follows that shingle can still reach ``need``.
+    """
+    part, whole = SIMILAR
+    each = nodes.join(shingles, "node").select("node", "fp", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    holders = each.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    order = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    placed = each.join(holders, "token").withColumn("left", F.col("n") - order + 1).where("lo != hi")
+    placed = materialize(placed.where(F.col("left") * whole >= F.col("n") * part).select("token", "node", "fp", "root", "n", "left"), "placed")
+    small = placed.where(F.col("left") * (part + whole) >= F.col("n") * 2 * part).select("token", *[F.col(c).alias(f"{c}_s") for c in placed.columns[1:]])
+    ordered = (F.col("n_s") < F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("node_s") != F.col("node")))
+    need = F.least("left", "left_s") * (part + whole) >= (F.col("n") + F.col("n_s")) * part
+    met = placed.join(small, "token").where(ordered & need & (F.col("root") != F.col("root_s")) & (_distance("fp", "fp_s") <= RADIUS))
+    return met.select(F.least("node", "node_s").alias("a"), F.greatest("node", "node_s").alias("b")).distinct()
+
+
 def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hubs: int = HUBS) -> DataFrame:
     """Verified edges (a, b) between the rows (node, fp), whose components are those of all links.
 
     A link is a distance of ``RADIUS`` bits at most and a similarity of ``SIMILAR`` at least. Of two such fingerprints a
     segment differs in two bits at most, and then both segments' balls of radius one share a point. ``sets`` gives
-    (node, shingles) for a table of nodes. In a round, the first ``hubs`` nodes of a point meet all others of it that
-    are not of their component yet, and are done with. Points that hold several components go on with eight times
-    the hubs, so a large group of near copies costs rows in proportion to it, and no pair of components is left out.
+    (node, shingles) for a table of nodes. The first ``hubs`` nodes of a point meet all others of it, which is every pair
+    of most points. Nodes of larger points that hold several components after that meet by their rarest shingles, so a
+    large group of near copies does not give all its pairs, and no link between components is left out.
     """
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = F.explode(F.concat(*map(_ball, _segments()))).alias("point")
     at = Window.partitionBy("point")
     spread = nodes.select("node", "fp").repartition(width, "node").select("node", "fp", points)
-    shared = spread.withColumn("n", F.count("*").over(at)).where("n > 1")
-    members, verified, used = shared.select("point", "node", "fp", F.col("node").alias("root")), [], []
-    while True:
-        rank = F.row_number().over(at.orderBy(F.xxhash64("node"), "node"))
-        ranked = materialize(members.withColumn("rank", rank), "points")
-        hub = ranked.where(F.col("rank") <= hubs).select("point", *[F.col(c).alias(f"{c}_h") for c in ("node", "fp", "root", "rank")])
-        met = ranked.join(hub, "point").where("rank_h < rank and root_h != root").where(_distance("fp", "fp_h") <= RADIUS)
-        pairs = materialize(met.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct(), "pairs")
-        shingles = materialize(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
-        both = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
-        alike = F.size(F.array_intersect("sa", "sb")) * (SIMILAR[0] + SIMILAR[1]) >= (F.size("sa") + F.size("sb")) * SIMILAR[0]
-        verified.append(materialize(both.where(alike).select("a", "b"), "similar"))
-        edges, rest = reduce(DataFrame.union, verified), ranked.where(F.col("rank") > hubs).drop("rank", "root")
-        for done in (pairs, shingles, *used):
-            drop_scratch(done)
-        roots = None if rest.isEmpty() else components(edges, "similar")
-        used = [ranked] if roots is None else [ranked, roots]
-        rest = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rest.groupBy("point").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("point")
-        several = materialize(several, "open")
-        if several.isEmpty():
-            for done in used:
-                drop_scratch(done)
-            return edges
-        members, hubs = rest.join(several, "point"), 8 * hubs
+    who = F.struct(F.count("*").over(at).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).over(at).alias(f"x{i}") for i in range(2)])
+    shared = materialize(spread.withColumn("who", who).where("who.n > 1"), "shared")
+    first = shared.groupBy("who").agg(F.min("point").alias("point")).select("point")  # points of the same nodes say the same
+    members = shared.join(first, "point", "left_semi").select("point", "node", "fp")
+    rank = F.row_number().over(at.orderBy(F.xxhash64("node"), "node"))
+    ranked = materialize(members.withColumn("rank", rank), "points")
+    drop_scratch(shared)
+    hub = ranked.where(F.col("rank") <= hubs).select("point", *[F.col(c).alias(f"{c}_h") for c in ("node", "fp", "rank")])
+    met = ranked.join(hub, "point").where("rank_h < rank").where(_distance("fp", "fp_h") <= RADIUS)
+    pairs = materialize(met.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct(), "pairs")
+    shingles = materialize(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
+    edges = materialize(_alike(pairs, shingles), "similar")
+    rest, used = ranked.where(F.col("rank") > hubs), [ranked, pairs, shingles]
+    if not rest.isEmpty():
+        rest = rest.groupBy("node", "fp").agg(F.collect_list("point").alias("points"))  # 66 at most
+        roots = components(edges, "similar")
+        if roots is not None:
+            used.append(roots := materialize(roots, "roots"))
+            rest = rest.join(roots, "node", "left")
+        own = F.col("node") if roots is None else F.coalesce("root", "node")
+        rest = rest.select(F.explode("points").alias("point"), "node", "fp", own.alias("root"))
+        rest = rest.withColumns({"lo": F.min("root").over(at), "hi": F.max("root").over(at)}).where("lo != hi")
+        rest = materialize(rest.select("node", "fp", "root").distinct(), "rest")
+        late = materialize(sets(rest.select("node")), "shingles")
+        more = materialize(_rare_meetings(rest, late), "pairs")
+        edges = edges.union(materialize(_alike(more, late), "similar"))
+        used += [rest, late, more]
+    for done in used:
+        drop_scratch(done)
+    return edges
 
 
 def similar_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), hubs: int = HUBS) -> DataFrame:
