@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.session import plain_unions
 from quillgrid.sources.scratch import scratch_path
 
 #: The one definition of a word: a maximal run of characters other than space and U+0009 to U+000D.
@@ -20,6 +21,7 @@ BATCH_BYTES = "1m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +35,7 @@ def small_batches(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    plain_unions(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

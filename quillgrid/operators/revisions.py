@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgrid.functions.schema import struct
+from quillgrid.session import plain_unions
 
 REVS = struct("id string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string, seq bigint, atts string")
 KEY = ["id", "num", "hash"]
@@ -36,6 +37,7 @@ def _marked(revs: DataFrame) -> DataFrame:
     A revision meets its children's mention of it in one aggregate. Rows are dealt by id, so what is grouped by id next
     needs no second shuffle. A revision that was appended twice counts once.
     """
+    plain_unions(revs.sparkSession)
     own = revs.select(*KEY, "deleted", "seq", F.lit(False).alias("said"))
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("deleted", "boolean"), ("seq", "bigint"))]
     said = revs.where("parent_num is not null").select("id", F.col("parent_num").alias("num"), F.col("parent_hash").alias("hash"), *none, F.lit(True).alias("said"))
@@ -146,6 +148,7 @@ def forced(revs: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Ancestors come without body; revisions that are known already change nothing.
     """
+    plain_unions(revs.sparkSession)
     atts = F.col("atts") if "atts" in incoming.columns else F.lit(None).cast("string")
     each = incoming.select("id", "deleted", "body", atts.alias("atts"), "seq", "path", F.posexplode("path").alias("at", "r"))
     parent = F.try_element_at("path", (F.col("at") + 2).cast("int"))
@@ -211,6 +214,7 @@ def by_document(df: DataFrame, order: list[str], run: Callable[[list[dict]], Ite
 
     One sort by id and one Python call a partition instead of one a document: most documents have a row or two.
     """
+    plain_unions(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,19 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions of parts that are dealt by the same key do not count as dealt by it, in sessions of any maker.
+
+    Spark 4.1 takes them so and drops the shuffle that follows; adaptive execution then coalesces each part's shuffle by
+    its own sizes. Rows of one key would stay in several tasks, which gives wrong rows, or the job fails.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """getOrCreate with DEFAULTS; further settings by keyword, with "__" for "."."""
     builder = SparkSession.builder.appName("quillgrid")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgrid.session import plain_unions
+
 
 class Folder:
     """A path in any file system that Spark knows."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        plain_unions(spark)
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
