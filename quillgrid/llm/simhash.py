@@ -45,6 +45,8 @@ SHINGLE, SIMILAR = 5, (4, 5)
 RADIUS = 5
 #: Nodes of a point that meet all its others.
 HUBS = 16
+#: Words of 64 bits of a sketch of a shingle set.
+SKETCH = 8
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -106,8 +108,8 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: in
     return _with_text(df, text, f"`{out}` bigint", lambda texts: [pa.array([fingerprint(x, shingle) for x in texts], pa.int64())])
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _distance(a: str, b: str | Column) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b) if isinstance(b, str) else b))
 
 
 def _segments() -> list[Column]:
@@ -179,6 +181,36 @@ def _alike(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
+def _sketch(shingles: str = "shingles") -> Column:
+    """An array of longs with a bit for each shingle of a set; several may have the same one."""
+    word = f"aggregate(filter({shingles}, x -> pmod(x, {SKETCH}) = {{}}), 0L, (m, x) -> m | shiftleft(1L, cast(shiftright(x, 32) & 63 as int)))"
+    return F.array(*[F.expr(word.format(i)) for i in range(SKETCH)])
+
+
+def _can_be_alike(other: Column) -> Column:
+    """False only for sets (columns n and sketch, and these of ``other``) that are not alike enough.
+
+    A bit that only one sketch has stands for a shingle at least that the other set lacks, so what is left is the most
+    that both can share.
+    """
+
+    def shared(n: Column, sketch: Column, against: Column) -> Column:
+        lacks = [F.bit_count(sketch[i].bitwiseAND(F.bitwise_not(against[i]))) for i in range(SKETCH)]
+        return n - sum(lacks[1:], lacks[0])
+
+    n, sketch = F.col("n"), F.col("sketch")
+    most = F.least(shared(n, sketch, other["sketch"]), shared(other["n"], other["sketch"], sketch))
+    return most * sum(SIMILAR) >= (n + other["n"]) * SIMILAR[0]
+
+
+def _with_hubs(members: DataFrame, hubs: int, test: Callable[[Column], Column]) -> DataFrame:
+    """members with those of their point's first ``hubs`` nodes that come before them and pass a test, in an array; a
+    point's hubs meet its nodes as one row."""
+    first = members.where(F.col("rank") <= hubs).groupBy("point").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "point"])).alias("hubs"))
+    met = members.join(first, "point").withColumn("hubs", F.filter("hubs", lambda h: (h["rank"] < F.col("rank")) & test(h)))
+    return met.where(F.size("hubs") > 0)
+
+
 def _rare_meetings(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (node, fp, root) that may be linked across roots, by the rarest shingles of each.
 
@@ -204,7 +236,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hubs
     A link is a distance of ``RADIUS`` bits at most and a similarity of ``SIMILAR`` at least. Of two such fingerprints a
     segment differs in two bits at most, and then both segments' balls of radius one share a point. ``sets`` gives
     (node, shingles) for a table of nodes. The first ``hubs`` nodes of a point meet all others of it, which is every pair
-    of most points. Nodes of larger points that hold several components after that meet by their rarest shingles, so a
+    of most points; pairs whose sketches show that they can't be alike enough go at once. Nodes of larger points that hold several components after that meet by their rarest shingles, so a
     large group of near copies does not give all its pairs, and no link between components is left out.
     """
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -216,14 +248,19 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hubs
     first = shared.groupBy("who").agg(F.min("point").alias("point")).select("point")  # points of the same nodes say the same
     members = shared.join(first, "point", "left_semi").select("point", "node", "fp")
     rank = F.row_number().over(at.orderBy(F.xxhash64("node"), "node"))
-    ranked = materialize(members.withColumn("rank", rank), "points")
+    members = materialize(members.withColumn("rank", rank), "members")
     drop_scratch(shared)
-    hub = ranked.where(F.col("rank") <= hubs).select("point", *[F.col(c).alias(f"{c}_h") for c in ("node", "fp", "rank")])
-    met = ranked.join(hub, "point").where("rank_h < rank").where(_distance("fp", "fp_h") <= RADIUS)
-    pairs = materialize(met.select(F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")).distinct(), "pairs")
-    shingles = materialize(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
+    near = _with_hubs(members, hubs, lambda h: _distance("fp", h["fp"]) <= RADIUS)
+    near = near.select(F.explode(F.concat(F.array("node"), F.transform("hubs", lambda h: h["node"]))).alias("node"))
+    shingles = materialize(sets(near.distinct()), "shingles")
+    marks = shingles.select("node", F.size("shingles").alias("n"), _sketch().alias("sketch"))
+    marked = materialize(members.join(marks, "node"), "points")
+    met = _with_hubs(marked, hubs, lambda h: (_distance("fp", h["fp"]) <= RADIUS) & _can_be_alike(h))
+    met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("hubs", lambda h: h["node"])))).alias("hubs"))
+    met = met.select("node", F.explode("hubs").alias("hub"))
+    pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     edges = materialize(_alike(pairs, shingles), "similar")
-    rest, used = ranked.where(F.col("rank") > hubs), [ranked, pairs, shingles]
+    rest, used = members.where(F.col("rank") > hubs), [members, marked, pairs, shingles]
     if not rest.isEmpty():
         rest = rest.groupBy("node", "fp").agg(F.collect_list("point").alias("points"))  # 66 at most
         roots = components(edges, "similar")

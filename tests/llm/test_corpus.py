@@ -200,6 +200,29 @@ def test_similar_copies(spark, hubs):
     assert got == dict(enumerate(want)) and 8 < len(set(want)) < 100
 
 
+def test_crowds_of_near_copies_are_compared_by_sketch_first(spark, monkeypatch):
+    """Short texts with near fingerprints that are mostly not alike enough: few pairs come to the shingles themselves."""
+    rng, texts, seen, alike = random.Random(5), [], [], simhash._alike
+    base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    for _ in range(200):
+        own = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(60)] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(own))
+
+    def counted(pairs, shingles):
+        found = alike(pairs, shingles)
+        seen.append((pairs.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_copies(docs).collect()}
+    assert got == dict(enumerate(plain_copies(texts)))
+    compared, linked = seen[0]
+    assert 100 < linked <= compared < 1.6 * linked, seen
+
+
 def test_simhash_edges(spark, odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
