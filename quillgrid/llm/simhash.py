@@ -251,8 +251,9 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hubs
     members = materialize(members.withColumn("rank", rank), "members")
     drop_scratch(shared)
     near = _with_hubs(members, hubs, lambda h: _distance("fp", h["fp"]) <= RADIUS)
-    near = near.select(F.explode(F.concat(F.array("node"), F.transform("hubs", lambda h: h["node"]))).alias("node"))
-    shingles = materialize(sets(near.distinct()), "shingles")
+    near = materialize(near.select("point", "node"), "near")
+    met_by = members.where(F.col("rank") <= hubs).join(near.select("point").distinct(), "point", "left_semi")
+    shingles = materialize(sets(near.select("node").union(met_by.select("node")).distinct()), "shingles")
     marks = shingles.select("node", F.size("shingles").alias("n"), _sketch().alias("sketch"))
     marked = materialize(members.join(marks, "node"), "points")
     met = _with_hubs(marked, hubs, lambda h: (_distance("fp", h["fp"]) <= RADIUS) & _can_be_alike(h))
@@ -260,7 +261,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hubs
     met = met.select("node", F.explode("hubs").alias("hub"))
     pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     edges = materialize(_alike(pairs, shingles), "similar")
-    rest, used = members.where(F.col("rank") > hubs), [members, marked, pairs, shingles]
+    rest, used = members.where(F.col("rank") > hubs), [members, near, marked, pairs, shingles]
     if not rest.isEmpty():
         rest = rest.groupBy("node", "fp").agg(F.collect_list("point").alias("points"))  # 66 at most
         roots = components(edges, "similar")
