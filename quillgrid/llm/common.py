@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """df as a side of a sort-merge join, for tables that grow with the input.
+
+    Spark broadcasts what is below its limit when compressed. In memory that is several times as much, and a plan with
+    dozens of such joins holds it all on the driver at once.
+    """
+    return df.hint("merge")
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing will read again."""
     spark = df.sparkSession

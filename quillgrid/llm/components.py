@@ -3,7 +3,8 @@
 In every round each node points to the neighbour (or itself) of least hash, pointers are followed a few steps, and
 the edges are rewritten between the nodes pointed to; equal ends go. Hashes differ by round, so a round leaves an
 expected constant part of the nodes of any graph, and rounds are logarithmic. Hubs meet only partial aggregates and
-joins whose two sides are read from written tables, which adaptive execution can split.
+joins whose two sides are read from written tables, which adaptive execution can split. No side is broadcast: there are
+several joins a round, and the last plan has one for each.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import drop_scratch, materialize
+from quillgrid.llm.common import drop_scratch, materialize, merging
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame | None:
@@ -32,8 +33,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame | None:
             step = _follow(step, step)
         step = materialize(step, f"{name}-map")
         maps.append(step)
-        a = kept.join(step.toDF("a", "pa"), "a")
-        moved = a.join(step.toDF("b", "pb"), "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        a = kept.join(merging(step.toDF("a", "pa")), "a")
+        moved = a.join(merging(step.toDF("b", "pb")), "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         done, kept = kept, materialize(moved.distinct(), f"{name}-edges")
         drop_scratch(done)
     if not maps:
@@ -41,9 +42,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame | None:
     out = maps[-1]
     for step in reversed(maps[:-1]):  # a node that has no edge left keeps where it is
         last = out.toDF("p", "root")
-        out = step.join(last, "p", "left").select("u", F.coalesce("root", "p").alias("p"))
+        out = step.join(merging(last), "p", "left").select("u", F.coalesce("root", "p").alias("p"))
     return out.toDF("node", "root")
 
 
 def _follow(first, then):
-    return first.join(then.toDF("p", "q"), "p").select("u", F.col("q").alias("p"))
+    return first.join(merging(then.toDF("p", "q")), "p").select("u", F.col("q").alias("p"))

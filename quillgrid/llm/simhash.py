@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import drop_scratch, fresh, materialize, set_aside, small_batches, table, tidy
+from quillgrid.llm.common import drop_scratch, fresh, materialize, merging, set_aside, small_batches, table, tidy
 from quillgrid.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -133,18 +133,18 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     crowded = materialize(sizes.where(F.col("n") > bucket).select("key"), "crowded")
     single = sizes.where("n = 1").select("key", "b", F.lit(False).alias("crowded"))
     several = sizes.where(F.col("n").between(2, bucket)).select("key")
-    several = entries.join(several, "key").select("key", F.col("fp").alias("b"), F.lit(False).alias("crowded"))
+    several = entries.join(merging(several), "key").select("key", F.col("fp").alias("b"), F.lit(False).alias("crowded"))
     stand_in = crowded.select("key", F.lit(None).cast("long").alias("b"), F.lit(True).alias("crowded"))
     index = single.unionByName(several).unionByName(stand_in)
     calls = fps.select("fp", F.explode(F.concat(_half_ball(first), _half_ball(second))).alias("key"))
-    met = calls.join(index, "key").where(F.col("crowded") | ((F.col("fp") != F.col("b")) & (_distance("fp", "b") <= 2)))
+    met = calls.join(merging(index), "key").where(F.col("crowded") | ((F.col("fp") != F.col("b")) & (_distance("fp", "b") <= 2)))
     met = materialize(met.select(F.col("fp").alias("a"), "b", "crowded"), "links")
-    holders = entries.join(crowded, "key", "left_semi").select(F.col("fp").alias("a"))
+    holders = entries.join(merging(crowded), "key", "left_semi").select(F.col("fp").alias("a"))
     dense = met.where("crowded").select("a").union(holders).distinct()
     point = F.array(F.col("a"), *[F.col("a").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     points = materialize(dense.select("a", F.explode(point).alias("point")), "points")
     shared = points.groupBy("point").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return met.where("not crowded").select("a", "b").union(points.join(shared, "point").where("a != b").select("a", "b"))
+    return met.where("not crowded").select("a", "b").union(points.join(merging(shared), "point").where("a != b").select("a", "b"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), shingle: int = 3) -> DataFrame:
@@ -159,14 +159,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     if roots is None:
         label = fps.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
-        rooted = materialize(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+        rooted = materialize(fps.join(merging(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
         least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-        label = rooted.join(least, "root").select("fp", "root", "component_id")
+        label = rooted.join(merging(least), "root").select("fp", "root", "component_id")
         done += [roots, rooted, least]
     label = materialize(label, "labels")
     for used in done:
         drop_scratch(used)
-    return marked.join(label, "fp").select(doc_id, *keep, "fp", "root", "component_id")
+    return marked.join(merging(label), "fp").select(doc_id, *keep, "fp", "root", "component_id")
 
 
 def _ball(segment: Column) -> Column:

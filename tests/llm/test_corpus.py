@@ -241,6 +241,29 @@ def test_simhash_edges(spark, odd_docs, no_docs):
     assert simhash.keep_one(named).columns == named.columns and simhash.keep_one(named).count() == kept.count()
 
 
+def test_no_table_of_fingerprints_is_broadcast(spark, monkeypatch):
+    import sys
+
+    plans, written, rng = [], simhash.materialize, random.Random(9)
+    bases = [[f"w{rng.randrange(500)}" for _ in range(600)] for _ in range(20)]
+    docs = spark.createDataFrame([(5 * i + k, " ".join([*words, f"end{k}"])) for i, words in enumerate(bases) for k in range(5)], "doc_id bigint, text string")
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    for module in (simhash, sys.modules["quillgrid.llm.components"]):
+        monkeypatch.setattr(module, "materialize", noted)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "1g")
+    try:
+        last = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, old)
+    assert len(plans) > 9 and not [p for p in [*plans, last] if "BroadcastHashJoin" in p]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(30)]
