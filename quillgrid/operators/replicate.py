@@ -1,8 +1,8 @@
 """Replication between two stores: changes since the checkpoint, minus what the target has, with their history.
 
-Changes are copied in batches by sequence number; all steps of a batch are joins between the stores' tables, and a
-checkpoint document on both sides after each makes the next run, or the rest of one that failed, incremental. Attachments
-travel as stubs, with those bytes that the target lacks. A continuous replication is a stream over the source's log.
+What a run copies is worked out once, by joins between the stores' tables, and staged by sequence number. It is copied in
+batches; a checkpoint document on both sides after each makes the next run, or the rest of one that failed, incremental.
+What is committed meanwhile is copied next. Attachments travel as stubs, with those bytes that the target lacks. A continuous replication is a stream over the source's log.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +22,8 @@ from quillgrid.operators import attachments as A
 from quillgrid.operators import revisions as R
 from quillgrid.operators.changes import ChangesQuery, changes
 from quillgrid.operators.write import Validator
+from quillgrid.sources.folder import Folder
+from quillgrid.sources.scratch import scratch_path
 from quillgrid.sources.store import Store
 from quillgrid.streaming.feeds import continuous, log_stream
 
@@ -63,46 +65,75 @@ def replicate(source: Store, target: Store, options: Options | None = None, batc
     options, stats = options or Options(), Stats()
     name = checkpoint_id(source.folder.path, target.folder.path, options)
     reached = since_of(source, target, name)
-    while True:
-        before = reached
-        reached, more = _copy(source, target, options, stats, before, batch, validate)
-        if reached != before:
+    while (run := _pending(source, target, options, reached, validate)) is not None:
+        while reached < run.top:
+            reached = _copy(run, source, target, stats, reached, batch)
             for store in (source, target):
                 store.put_local(name, {"seq": reached, "docs_read": stats.docs_read, "docs_written": stats.docs_written, "doc_write_failures": stats.doc_write_failures})
-        if not more:
-            return stats, reached
+        run.staged.delete()
+    return stats, reached
 
 
-def _copy(source: Store, target: Store, options: Options, stats: Stats, since: int, batch: int, validate: Validator | None) -> tuple[int, bool]:
-    """Copy one batch; the sequence number reached, and whether more may be pending."""
+class _Run(NamedTuple):
+    """What a run copies, worked out once for all its batches, and the last sequence number that it looked at.
+
+    picked has (id, seq), tips (id, num, hash, seq, held: whether the target has it), docs what the target lacks.
+    """
+
+    staged: Folder
+    picked: DataFrame
+    tips: DataFrame
+    docs: DataFrame
+    top: int
+
+
+def _pending(source: Store, target: Store, options: Options, since: int, validate: Validator | None) -> _Run | None:
     revs, looks = source.revs(), options.selector is not None or callable(options.filter)
-    query = ChangesQuery(since=since, limit=batch, doc_ids=options.doc_ids, selector=options.selector, filter="_selector" if options.selector is not None else options.filter, params=options.query_params)
+    top = R.winners(revs).where(F.col("seq") > since).agg(F.max("seq")).first()[0]
+    if top is None:
+        return None
+    staged = Folder(source.spark, scratch_path(source.spark, "replication"))
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        path = staged.at(name).path
+        rows.write.parquet(path)
+        return source.spark.read.schema(rows.schema).parquet(path)
+
+    query = ChangesQuery(since=since, doc_ids=options.doc_ids, selector=options.selector, filter="_selector" if options.selector is not None else options.filter, params=options.query_params)
     found = changes(R.winners(revs, looks), query, revs)
-    reached = found.last_seq()
-    if reached == since:
-        return since, False
-    picked = found.scanned.where(F.col("seq") <= reached) if found.test is None else found.scanned.where(found.test & (F.col("seq") <= reached))
+    picked = found.scanned if found.test is None else found.scanned.where(found.test)
+    picked = kept(picked.select("id", "seq"), "picked")
     own = revs.join(picked.select("id"), "id", "left_semi")
-    tips = R.leaf_keys(own).select("id", "num", "hash")
-    lacking = R.missing_revs(target.revs(), tips)
-    checked, missing = tips.count(), lacking.count()
+    held = target.revs().select(*R.KEY).distinct().withColumn("held", F.lit(True))
+    tips = R.leaf_keys(own).select(*R.KEY).join(picked, "id").join(held, R.KEY, "left")
+    tips = kept(tips.withColumn("held", F.coalesce("held", F.lit(False))), "tips")
+    lacking = tips.where("not held")
+    hashed = R.paths(own.join(lacking.select("id"), "id", "left_semi"), lacking).select(*R.KEY, F.transform("revisions.ids", lambda h, i: F.struct((F.col("num") - i).cast("int").alias("num"), h.alias("hash"))).alias("path"))
+    docs = R.whole(revs).drop("seq").join(lacking.select(*R.KEY, "seq"), R.KEY).join(hashed, R.KEY).select("id", "path", "deleted", "body", "atts", "seq")
+    fine = F.lit(True) if validate is None else _fine(validate)("id", "deleted", "body")
+    docs = kept(docs.withColumn("__fine", fine).repartitionByRange("seq").sortWithinPartitions("seq"), "docs")  # a batch reads its part
+    return _Run(staged, picked, tips, docs, top)
+
+
+def _copy(run: _Run, source: Store, target: Store, stats: Stats, since: int, batch: int) -> int:
+    """Copy one batch; the sequence number reached."""
+    n, last = run.picked.where(F.col("seq") > since).orderBy("seq").limit(batch).agg(F.count("*"), F.max("seq")).first()
+    reached = last if n >= batch else run.top
+    within = (F.col("seq") > since) & (F.col("seq") <= reached)
+    checked, missing = run.tips.where(within).agg(F.count("*"), F.count_if(~F.col("held"))).first()
     stats.missing_checked += checked
     stats.missing_found += missing
     if missing:
-        hashed = R.paths(own, lacking).select("id", "num", "hash", F.transform("revisions.ids", lambda h, i: F.struct((F.col("num") - i).cast("int").alias("num"), h.alias("hash"))).alias("path"))
-        docs = R.whole(own).join(hashed, ["id", "num", "hash"]).select("id", "path", "deleted", "body", "atts")
-        refused = 0
-        if validate is not None:
-            docs = docs.withColumn("__fine", _fine(validate)("id", "deleted", "body"))
-            refused = docs.where(~F.col("__fine")).count()
-            docs = docs.where("__fine").drop("__fine")
+        docs = run.docs.where(within)
+        refused = docs.where("not __fine").count()
+        docs = docs.where("__fine").drop("__fine", "seq")
         blobs = source.blobs()
         files = docs.where("atts is not null").select("id", F.lit(1).alias("num"), F.lit("").alias("hash"), "atts")
         target.force(docs, A.used(blobs, files) if source.folder.at("blobs").parts() else None)
         stats.docs_read += missing
         stats.docs_written += missing - refused
         stats.doc_write_failures += refused
-    return reached, True
+    return reached
 
 
 def _fine(validate: Validator):  # noqa: ANN202

@@ -207,8 +207,7 @@ class Store:
             self.add_blobs(blobs.dropDuplicates(["digest"]).join(self.blobs().select("digest"), "digest", "left_anti"))
         old, last = self.revs(), self.last_seq()
         numbered = docs.join(write.numbered_ids(docs, last), "id")
-        new = R.forced(old, numbered).join(old.select("id", "num", "hash"), ["id", "num", "hash"], "left_anti")
-        self.append(new, last + docs.select("id").distinct().count())
+        self.append(R.new_by_path(old, numbered), last + docs.select("id").distinct().count())
 
     def compact(self, limit: int | None = None) -> None:
         """Bodies of inner revisions and what lies too deep go, as do bytes that no attachment names any more."""

@@ -238,22 +238,26 @@ def write_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return write.apply_edits(store.revs(), _edits(docs, _body(), rev), refuse).select("id", "ok", "error", "num")
 
 
-def replica(spark: SparkSession, sf: str) -> tuple[Store, Store]:
-    path, (store, _) = scratch_path(spark, "replicas"), made(spark, sf, events_store)
-    all_, some = Store(spark, f"{path}/all"), Store(spark, f"{path}/some")
-    replicate(store, all_, batch=4000)
-    replicate(store, some, Options(selector={"type": "view", "late": True}))
-    return all_, some
+def replica_of_all(spark: SparkSession, sf: str) -> Store:
+    target = Store(spark, f"{scratch_path(spark, 'replicas')}/all")
+    replicate(made(spark, sf, events_store)[0], target, batch=4000)
+    return target
+
+
+def replica_of_some(spark: SparkSession, sf: str) -> Store:
+    target = Store(spark, f"{scratch_path(spark, 'replicas')}/some")
+    replicate(made(spark, sf, events_store)[0], target, Options(selector={"type": "view", "late": True}))
+    return target
 
 
 @query(HISTORY + "SELECT id, num, deleted FROM held")
 def replica_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return made(spark, sf, replica)[0].winners().select("id", "num", "deleted")
+    return made(spark, sf, replica_of_all).winners().select("id", "num", "deleted")
 
 
 @query(HISTORY + "SELECT id, num, deleted FROM held WHERE late")
 def replica_selected(spark: SparkSession, sf: str) -> DataFrame:
-    return made(spark, sf, replica)[1].winners().select("id", "num", "deleted")
+    return made(spark, sf, replica_of_some).winners().select("id", "num", "deleted")
 
 
 @query(HISTORY + "SELECT id, seq FROM docs")

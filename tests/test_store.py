@@ -281,3 +281,20 @@ def test_ids_of_every_kind(spark):
     assert spark.range(1).select(new_id("utc_id", "-here").alias("i")).first()["i"].endswith("-here")
     with pytest.raises(QueryError):
         new_id("other")
+
+
+def test_a_run_of_many_batches_works_its_documents_out_once(spark, tmp_path, monkeypatch):
+    from quillgrid.operators import replicate as RP
+
+    source, target = (Store(spark, f"file://{tmp_path}/{n}") for n in ("from", "to"))
+    source.bulk([{"_id": f"d{i}", "v": i} for i in range(7)])
+    calls, paths = [], RP.R.paths
+    monkeypatch.setattr(RP.R, "paths", lambda *a: calls.append(a) or paths(*a))
+    stats, seq = RP.replicate(source, target, batch=2)
+    assert (stats.docs_written, stats.missing_checked, seq, len(target.commits())) == (7, 7, 7, 4)
+    assert len(calls) == 1
+    same = lambda s: sorted(s.winners(True).drop("seq").collect())
+    assert same(target) == same(source)
+    source.bulk([{"_id": "new", "v": 8}])
+    assert RP.replicate(source, target, batch=2)[0].docs_written == 1 and target.get("new")["v"] == 8
+    assert RP.replicate(source, target)[0].missing_checked == 0
