@@ -109,17 +109,18 @@ def all_leaves(revs: DataFrame) -> DataFrame:
 CHAINS = struct("id string, leaf_num int, leaf_hash string, depth int, num int, hash string")
 
 
-def ancestry(revs: DataFrame, starts: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:
+def ancestry(revs: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, leaf_num, leaf_hash, depth, num, hash): the parent chain of each start (id, num, hash), newest first.
 
-    A chain is walked inside its document's tree, so one shuffle does for any depth; a recursive query would take a
-    job for each level.
+    The whole chain, unless ``limit`` is given: only writes and compaction drop old revisions. A chain is walked inside
+    its document's tree, so one shuffle does for any depth; a recursive query would take a job for each level.
     """
 
     def run(rows: list[dict]) -> Iterator[dict]:
         tree = Tree([r for r in rows if not r["asked"]])
+        most = len(tree.rows) if limit is None else limit  # no chain is longer; one that runs in a circle ends
         for s in (r for r in rows if r["asked"]):
-            for depth, at in zip(range(limit), tree.chain((s["num"], s["hash"])), strict=False):
+            for depth, at in zip(range(most), tree.chain((s["num"], s["hash"])), strict=False):
                 yield {"id": s["id"], "leaf_num": s["num"], "leaf_hash": s["hash"], "depth": depth, "num": at[0], "hash": at[1]}
 
     asked = starts.select("id", "num", "hash").distinct()
@@ -180,7 +181,7 @@ def open_revs(revs: DataFrame, doc_id: str, wanted: list[tuple[int, str]] | None
     return found.select(F.concat_ws("-", "num", "hash").alias("rev"), F.col("deleted").isNotNull().alias("ok"), "body", "deleted", *(["revisions"] if with_path else []))
 
 
-def paths(revs: DataFrame, starts: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:
+def paths(revs: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, num, hash, revisions): each start's generation and the hashes of its ancestry, newest first."""
     chains = ancestry(revs, starts, limit).groupBy("id", "leaf_num", "leaf_hash").agg(F.sort_array(F.collect_list(F.struct("depth", "hash"))).alias("c"))
     return chains.select("id", F.col("leaf_num").alias("num"), F.col("leaf_hash").alias("hash"), F.struct(F.col("leaf_num").alias("start"), F.transform("c", lambda x: x["hash"]).alias("ids")).alias("revisions"))
@@ -222,10 +223,11 @@ def by_document(df: DataFrame, order: list[str], run: Callable[[list[dict]], Ite
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         for _, rows in groupby((r for b in batches for r in b.to_pylist()), itemgetter(key)):
-            out.extend(run(list(rows)))
-            if len(out) >= most:
-                yield pa.RecordBatch.from_pylist(out, arrow)
-                out = []
+            for row in run(list(rows)):
+                out.append(row)
+                if len(out) >= most:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, arrow)
 

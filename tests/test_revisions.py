@@ -73,6 +73,35 @@ def test_long_ancestry(spark):
     assert R.ancestry(revs, R.leaves(revs)).count() == 150
 
 
+def test_ancestry_is_whole_beyond_the_revision_limit(spark):
+    rows = [("l", n, f"h{n}", n - 1 if n > 1 else None, f"h{n - 1}" if n > 1 else None, False, None, n) for n in range(1, R.REVS_LIMIT + 501)]
+    revs = tree(spark, rows)
+    got = R.ancestry(revs, R.leaves(revs)).orderBy("depth").collect()
+    assert [r["num"] for r in got] == list(range(R.REVS_LIMIT + 500, 0, -1))
+    assert R.paths(revs, R.leaves(revs)).first()["revisions"]["ids"] == [f"h{n}" for n in range(R.REVS_LIMIT + 500, 0, -1)]
+    assert R.ancestry(revs, R.leaves(revs), 7).count() == 7
+    old = R.open_revs(revs, "l", [(1, "h1")], latest=True).collect()
+    assert [(r["rev"], r["ok"]) for r in old] == [(f"{R.REVS_LIMIT + 500}-h{R.REVS_LIMIT + 500}", True)]
+
+
+def test_ancestry_of_a_circle_ends(spark):
+    revs = tree(spark, [("c", 1, "a", 2, "b", False, None, 1), ("c", 2, "b", 1, "a", False, None, 2)])
+    assert R.ancestry(revs, revs.where("num = 2")).count() == 2
+
+
+def test_ancestry_query_of_long_trees_equals_sql(spark, tmp_path):
+    from quillgrid.queries import ORACLES, QUERIES
+    from tests.oracle import both
+
+    spark.read.parquet("/root/testdata/sf0.01/events.parquet").withColumn("user_id", F.col("user_id") % 3).write.parquet(f"{tmp_path}/all")
+    (part,) = (f for f in (tmp_path / "all").iterdir() if f.suffix == ".parquet")
+    (tmp_path / "sf").mkdir()
+    part.rename(tmp_path / "sf" / "events.parquet")
+    mine, theirs = both(spark, QUERIES["ancestry"], ORACLES["ancestry"], str(tmp_path / "sf"))
+    assert len(mine) > 3 * R.REVS_LIMIT
+    assert mine == theirs
+
+
 def test_diff(spark, forked):
     wanted = spark.createDataFrame([("d", 2, "ffff"), ("d", 3, "new"), ("g", 1, "n")], "id string, num int, hash string")
     got = {r["id"]: (r["missing"], r["possible_ancestors"]) for r in R.revs_diff(forked, wanted).collect()}
