@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgrid.functions.schema import struct
-from quillgrid.session import plain_unions
+from quillgrid.session import apart, plain_unions
 
 REVS = struct("id string, num int, hash string, parent_num int, parent_hash string, deleted boolean, body string, seq bigint, atts string")
 KEY = ["id", "num", "hash"]
@@ -41,7 +41,7 @@ def _marked(revs: DataFrame) -> DataFrame:
     own = revs.select(*KEY, "deleted", "seq", F.lit(False).alias("said"))
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("deleted", "boolean"), ("seq", "bigint"))]
     said = revs.where("parent_num is not null").select("id", F.col("parent_num").alias("num"), F.col("parent_hash").alias("hash"), *none, F.lit(True).alias("said"))
-    met = own.unionByName(said).repartition("id").groupBy(*KEY)
+    met = own.unionByName(apart(said)).repartition("id").groupBy(*KEY)
     return met.agg(F.max("deleted").alias("deleted"), F.max("seq").alias("seq"), F.bool_or("said").alias("inner"), F.bool_and("said").alias("absent")).where("not absent").drop("absent")
 
 
@@ -126,7 +126,7 @@ def ancestry(revs: DataFrame, starts: DataFrame, limit: int | None = None) -> Da
     asked = starts.select("id", "num", "hash").distinct()
     own = revs.select("id", "num", "hash", "parent_num", "parent_hash").join(asked.select("id").distinct(), "id", "left_semi")
     none = asked.select("id", "num", "hash", F.lit(None).cast("int").alias("parent_num"), F.lit(None).cast("string").alias("parent_hash"))
-    both = own.withColumn("asked", F.lit(False)).unionByName(none.withColumn("asked", F.lit(True)))
+    both = own.withColumn("asked", F.lit(False)).unionByName(apart(none.withColumn("asked", F.lit(True))))
     return by_document(both, ["asked", "num", "hash"], run, CHAINS)
 
 
@@ -147,7 +147,7 @@ def revs_diff(revs: DataFrame, wanted: DataFrame) -> DataFrame:
 def forced(revs: DataFrame, incoming: DataFrame) -> DataFrame:
     """The table with ``incoming`` merged; revisions that are known already change nothing."""
     plain_unions(revs.sparkSession)
-    return whole(revs).unionByName(new_by_path(revs, incoming))
+    return whole(revs).unionByName(apart(new_by_path(revs, incoming)))
 
 
 def new_by_path(revs: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def purged(revs: DataFrame, requests: DataFrame) -> DataFrame:
 
     touched = revs.select(*LIGHT).join(asked.select("id").distinct(), "id", "left_semi").withColumn("gone", F.lit(False))
     marks = asked.select(*KEY, F.lit(None).cast("int").alias("parent_num"), F.lit(None).cast("string").alias("parent_hash"), F.lit(True).alias("gone"))
-    return by_document(touched.unionByName(marks), ["gone", "num", "hash"], run, struct("id string, num int, hash string"))
+    return by_document(touched.unionByName(apart(marks)), ["gone", "num", "hash"], run, struct("id string, num int, hash string"))
 
 
 def purge(revs: DataFrame, requests: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from quillgrid.functions import collation as C
 from quillgrid.operators import attachments as A
 from quillgrid.operators import revisions as R
 from quillgrid.operators.scan import UNSET, Page, _page
-from quillgrid.session import plain_unions
+from quillgrid.session import apart, plain_unions
 from quillgrid.sources.indextable import lead_test
 
 MapFunction = Callable[[dict, Callable[[Any, Any], None]], None]
@@ -172,7 +172,7 @@ def emitted(run_map: MapFunction, text: str) -> list[tuple[Any, str, str]]:
 def refresh(old: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
     """Incremental build: rows of changed ids go, their new rows come."""
     plain_unions(old.sparkSession)
-    return old.join(changed.select("id").distinct(), "id", "left_anti").unionByName(new)
+    return old.join(changed.select("id").distinct(), "id", "left_anti").unionByName(apart(new))
 
 
 @dataclass

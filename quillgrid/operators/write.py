@@ -24,6 +24,7 @@ from quillgrid.functions.revid import next_rev, parse_rev
 from quillgrid.functions.schema import struct
 from quillgrid.operators.attachments import written
 from quillgrid.operators.revisions import REVS, Tree, by_document
+from quillgrid.session import apart
 
 #: pos: place in the request; rev: the expected revision, or null; body: JSON text, with _attachments.
 EDITS = struct("pos bigint, id string, rev string, deleted boolean, body string")
@@ -96,7 +97,7 @@ def apply_edits(revs: DataFrame, edits: DataFrame, validate: Validator | None =
     atts = F.col("atts") if "atts" in revs.columns else none("string")
     stored = touched.select("id", none("bigint").alias("pos"), none("string").alias("rev"), "num", "hash", "parent_num", "parent_hash", "deleted", body.alias("body"), atts.alias("atts"))
     asked = edits.select("id", "pos", "rev", none("int").alias("num"), none("string").alias("hash"), none("int").alias("parent_num"), none("string").alias("parent_hash"), "deleted", "body", none("string").alias("atts"))
-    return by_document(stored.unionByName(asked), ["pos"], run, OUTCOMES)
+    return by_document(stored.unionByName(apart(asked)), ["pos"], run, OUTCOMES)
 
 
 def _edit(tree: Tree, e: dict, validate: Validator | None) -> dict:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,6 +24,14 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+def apart(df: DataFrame, key: str = "id") -> DataFrame:
+    """df, for one part of a union, with a text key of which Spark does not know how it is dealt.
+
+    What ``plain_unions`` asks for then holds in the plan itself, whatever the session says when it runs.
+    """
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")))
+
+
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """getOrCreate with DEFAULTS; further settings by keyword, with "__" for "."."""
     builder = SparkSession.builder.appName("quillgrid")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import collation as C
+from quillgrid.session import apart
 from quillgrid.sources.folder import Folder
 
 MOST = 8
@@ -103,7 +104,7 @@ class IndexTable:
         if changed is not None:
             ids = changed.select("id").distinct()
             marks = ids.select(*[F.lit(True).alias("gone") if f.name == "gone" else F.col("id") if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields])
-            out = out.unionByName(marks)
+            out = out.unionByName(apart(marks))
         self.folder.write(out, n=n, whole=int(changed is None), seq=seq, purge=purge)
         if changed is None:
             staged.delete()

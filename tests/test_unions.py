@@ -4,6 +4,7 @@ Larger tables come to that by themselves; here broadcasts are off and partitions
 """
 
 import pytest
+from pyspark.sql.conf import RuntimeConfig
 
 from quillgrid import store_queries  # noqa: F401  registers its queries
 from quillgrid.queries import ORACLES, QUERIES
@@ -33,3 +34,21 @@ def test_query_equals_sql_whatever_is_dealt_alike(dealt, name, size):
     sf = f"/root/testdata/{size}/."  # a path of its own: stores are made once for a path
     mine, theirs = both(dealt, QUERIES[name], ORACLES[name], sf)
     assert mine == theirs
+
+
+@pytest.fixture
+def held(dealt, monkeypatch):
+    """Whoever owns the session keeps unionOutputPartitioning on."""
+    put = RuntimeConfig.set
+    monkeypatch.setattr(type(dealt.conf), "set", lambda self, key, *a: None if key == "spark.sql.unionOutputPartitioning" else put(self, key, *a))
+    dealt.conf.unset("spark.sql.unionOutputPartitioning")  # on by default
+    assert dealt.conf.get("spark.sql.unionOutputPartitioning") == "true"
+    yield dealt
+    monkeypatch.undo()
+
+
+@pytest.mark.parametrize(("name", "size"), [("ancestry", "sf0.01"), ("map_documents", "sf0.01"), *((n, "sf0.001") for n in STORES)])
+def test_query_equals_sql_when_the_session_keeps_its_setting(held, name, size):
+    sf = f"/root/testdata/{size}/./."
+    mine, theirs = both(held, QUERIES[name], ORACLES[name], sf)
+    assert mine == theirs
