@@ -150,15 +150,16 @@ def forced(revs: DataFrame, incoming: DataFrame) -> DataFrame:
     return whole(revs).unionByName(apart(new_by_path(revs, incoming)))
 
 
-def new_by_path(revs: DataFrame, incoming: DataFrame) -> DataFrame:
+def new_by_path(revs: DataFrame, incoming: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Revisions that the table lacks of ``incoming``: (id, path, deleted, body, seq, and atts), path newest first as
-    structs (num, hash). Ancestors come without body."""
+    structs (num, hash). Ancestors come without body. Columns ``also``, the same for all of a document, stay."""
     atts = F.col("atts") if "atts" in incoming.columns else F.lit(None).cast("string")
-    each = incoming.select("id", "deleted", "body", atts.alias("atts"), "seq", "path", F.posexplode("path").alias("at", "r"))
+    each = incoming.select("id", "deleted", "body", atts.alias("atts"), "seq", *also, "path", F.posexplode("path").alias("at", "r"))
     parent = F.try_element_at("path", (F.col("at") + 2).cast("int"))
-    new = each.select("id", F.col("r.num").alias("num"), F.col("r.hash").alias("hash"), parent["num"].alias("parent_num"), parent["hash"].alias("parent_hash"), (F.col("deleted") & (F.col("at") == 0)).alias("deleted"), F.when(F.col("at") == 0, F.col("body")).alias("body"), "seq", F.when(F.col("at") == 0, F.col("atts")).alias("atts"))
-    best = new.groupBy("id", "num", "hash").agg(F.max_by(F.struct("parent_num", "parent_hash", "deleted", "body", "seq", "atts"), F.struct(F.col("body").isNotNull(), F.col("parent_num").isNotNull(), "seq")).alias("b"))
-    return whole(best.select("id", "num", "hash", "b.*").join(revs, ["id", "num", "hash"], "left_anti"))
+    new = each.select("id", F.col("r.num").alias("num"), F.col("r.hash").alias("hash"), parent["num"].alias("parent_num"), parent["hash"].alias("parent_hash"), (F.col("deleted") & (F.col("at") == 0)).alias("deleted"), F.when(F.col("at") == 0, F.col("body")).alias("body"), "seq", F.when(F.col("at") == 0, F.col("atts")).alias("atts"), *also)
+    best = new.groupBy("id", "num", "hash").agg(F.max_by(F.struct("parent_num", "parent_hash", "deleted", "body", "seq", "atts", *also), F.struct(F.col("body").isNotNull(), F.col("parent_num").isNotNull(), "seq")).alias("b"))
+    new = best.select("id", "num", "hash", "b.*").join(revs, ["id", "num", "hash"], "left_anti")
+    return new.select(*REVS.names, *also)
 
 
 def open_revs(revs: DataFrame, doc_id: str, wanted: list[tuple[int, str]] | None = None, latest: bool = False, with_path: bool = False) -> DataFrame:

@@ -156,6 +156,16 @@ def numbered_ids(docs: DataFrame, last_seq: int, parts: int = 1024) -> DataFrame
     return ids.withColumn("inside", inside).join(base, "part").select("id", (F.col("base") + F.col("inside") + F.lit(last_seq)).alias("seq"))
 
 
+def places(rows: DataFrame, parts: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their place, from 1, by (parts, order); the same for what is alike there. Each part is numbered by
+    itself and moved on by the rows of those before it, so that no task numbers them all."""
+    counts = rows.groupBy(*parts).agg(F.count("*").alias("__n"))
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*parts, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.rank().over(Window.partitionBy(*parts).orderBy(*order))
+    return rows.withColumn(name, inside).join(base, parts).withColumn(name, F.col(name) + F.col("__base")).drop("__base")
+
+
 FLAGGED = struct("pos bigint, id string, growth bigint, accepted boolean")
 
 

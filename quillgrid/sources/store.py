@@ -4,7 +4,7 @@
     base/n=K.upto=N.seq=U.purge=P   all revisions of the commits up to N, after P purges
     purged/n=P               what the purges up to number P removed
     blobs/n=N                bytes of attachments, by digest
-    local/n=N                local documents
+    local/n=N                all local documents; n=N.doc=H.rev=R has one that was put since
 
 A folder counts once its job has finished. The names hold the sequence and purge numbers, so they are read without a job
 and never depend on the rows that are left: a number is given out once, whatever is purged. Compaction and purges write a
@@ -15,6 +15,7 @@ what was there when they listed it, which makes every read a snapshot.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 from collections.abc import Iterable
@@ -34,6 +35,10 @@ from quillgrid.sources.folder import Folder
 from quillgrid.sources.indexes import StoreIndexes
 
 LOCAL = "id string, n bigint, body string"
+#: Local documents that are put one by one before all are written together.
+MOST = 100
+#: Older states of a local document that stay for those who have listed them.
+OLDER = 10
 
 
 class Snapshot(NamedTuple):
@@ -82,6 +87,16 @@ class Store:
         self.log.write(R.whole(rows), n=number, seq=seq)
         return number
 
+    def touched(self) -> tuple[int, int]:
+        """When commits and bases were last written; 0 where the file system doesn't say."""
+        return self.log.changed(), self.base.changed()
+
+    def adopt(self, path: str, now: Snapshot, seq: int) -> Snapshot:
+        """Make finished files of revisions, in this store's file system, the commit after ``now``: a rename, without a job
+        or a listing, so that the thousandth takes no longer than the first."""
+        to = self.log.take(path, n=now.commit + 1, seq=seq)
+        return Snapshot([*now.paths, to], now.commit + 1, seq, now.purge)
+
     def rewrite(self, rows: DataFrame, purges: int = 0) -> None:
         """Make rows all that the commits so far hold."""
         now, bases = self.snapshot(), self.base.parts()
@@ -299,20 +314,44 @@ class Store:
 
     def local(self) -> DataFrame:
         at = self.folder.at("local")
-        found = at.parts()
-        return self.spark.read.schema(LOCAL).parquet(f"{at.path}/{found[-1]['path']}") if found else self.spark.createDataFrame([], LOCAL)
+        whole, later = _since_whole(at.parts())
+        held = self.spark.read.schema(LOCAL).parquet(f"{at.path}/{whole[-1]['path']}") if whole else self.spark.createDataFrame([], LOCAL)
+        if not later:
+            return held
+        new = self.spark.read.schema(LOCAL).json([f"{at.path}/{p['path']}" for p in later])
+        return held.unionByName(new).groupBy("id").agg(F.max(F.struct("n", "body")).alias("last")).select("id", "last.n", "last.body")
 
     def put_local(self, doc_id: str, body: dict) -> None:
-        at = self.folder.at("local")
+        """One small file; a job only where MOST of them are put together, or the document's number is not in a name."""
+        at, text = self.folder.at("local"), json.dumps(body)
         found = at.parts()
-        new = self.spark.createDataFrame([(doc_id, json.dumps(body))], "id string, body string")
-        at.write(write.upsert_local(self.local(), new), n=(found[-1]["n"] if found else 0) + 1)
+        number, (whole, later) = (found[-1]["n"] if found else 0) + 1, _since_whole(found)
+        if len(later) >= MOST:
+            at.write(write.upsert_local(self.local(), self.spark.createDataFrame([(doc_id, text)], "id string, body string")), n=number)
+            for p in whole[:-1]:  # who listed them has had time to read
+                at.at(p["path"]).delete()
+            return
+        key = int(hashlib.sha256(doc_id.encode()).hexdigest()[:32], 16)
+        same = [p for p in later if p["doc"] == key]
+        known = [p["rev"] for p in same]
+        if not known and whole:
+            known = [r["n"] for r in self.local().where(F.col("id") == doc_id).collect()]
+        rev = (known[-1] if known else 0) + 1
+        at.put(json.dumps({"id": doc_id, "n": rev, "body": text}), "part.json", n=number, doc=key, rev=rev)
+        for p in same[:-OLDER]:
+            at.at(p["path"]).delete()
 
     def get_local(self, doc_id: str) -> dict | None:
         r = self.local().where(F.col("id") == doc_id).first()
         return json.loads(r["body"]) if r else None
 
 
+def _since_whole(parts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Parts up to the newest that has all local documents, and those of one document after it."""
+    n = max((i for i, p in enumerate(parts, 1) if "doc" not in p), default=0)
+    return parts[:n], parts[n:]
+
+
 class Server:
     """Databases below one folder, with a log of their creation and deletion."""
 

@@ -15,6 +15,7 @@ from quillgrid.operators.designdocs import DesignDoc, ViewCatalog, validators
 from quillgrid.operators.find import explain
 from quillgrid.operators.replicate import Options, Scheduler, replicate
 from quillgrid.operators.views import Emit, View, ViewQuery, build
+from quillgrid.sources.folder import Folder
 from quillgrid.sources.indextable import MOST, IndexTable
 from quillgrid.sources.store import Store
 from quillgrid.streaming import feeds
@@ -298,3 +299,71 @@ def test_a_run_of_many_batches_works_its_documents_out_once(spark, tmp_path, mon
     source.bulk([{"_id": "new", "v": 8}])
     assert RP.replicate(source, target, batch=2)[0].docs_written == 1 and target.get("new")["v"] == 8
     assert RP.replicate(source, target)[0].missing_checked == 0
+
+
+def test_batches_of_a_replication_take_no_jobs_of_their_own(spark, tmp_path):
+    source = Store(spark, f"file://{tmp_path}/from")
+    source.bulk([{"_id": f"d{i:02d}", "v": i} for i in range(24)])
+
+    def jobs(batch):
+        target, group = Store(spark, f"file://{tmp_path}/to{batch}"), f"{tmp_path}-{batch}"
+        spark.sparkContext.setJobGroup(group, "")
+        try:
+            assert replicate(source, target, batch=batch)[0].docs_written == 24
+            n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        rows = sorted(target.winners(True).select("seq", "id", "num", "hash", "deleted", "body").collect())
+        assert [(r["seq"], r["id"]) for r in rows] == [(i + 1, f"d{i:02d}") for i in range(24)]
+        assert len(target.commits()) == -(-24 // batch) and target.last_seq() == 24
+        return n, [r[1:] for r in rows]
+
+    (few, whole), (many, parts) = jobs(24), jobs(2)
+    assert parts == whole and many <= few + 4
+
+
+def test_a_target_that_others_write_between_batches_keeps_both(spark, tmp_path, monkeypatch):
+    source, target = (Store(spark, f"file://{tmp_path}/{n}") for n in ("from", "to"))
+    source.bulk([{"_id": f"d{i}", "v": i} for i in range(6)])
+    put, told = Store.put_local, []
+
+    def meddle(self, *a):
+        put(self, *a)
+        if self is target and not told:
+            told.append(self.bulk([{"_id": "own", "v": 0}]))
+            self.force([{"_id": "d5", "_revisions": {"start": 1, "ids": [next(r["hash"] for r in source.revs().collect() if r["id"] == "d5")]}, "v": 5}])
+
+    monkeypatch.setattr(Store, "put_local", meddle)
+    stats, seq = replicate(source, target, batch=2)
+    assert (seq, stats.missing_checked, stats.docs_written) == (6, 6, 5)
+    rows = target.revs().collect()
+    assert sorted(r["id"] for r in rows) == [*(f"d{i}" for i in range(6)), "own"]
+    assert sorted(r["seq"] for r in rows) == list(range(1, 8)) and target.last_seq() == 7
+
+
+def test_a_failed_replication_goes_on_at_its_checkpoint(spark, tmp_path, monkeypatch):
+    source, target = (Store(spark, f"file://{tmp_path}/{n}") for n in ("from", "to"))
+    source.bulk([{"_id": f"d{i}", "v": i, "_attachments": {"x": {"data": "aGk="}}} for i in range(6)])
+    adopt, done = Store.adopt, []
+    monkeypatch.setattr(Store, "adopt", lambda self, *a: done.append(a) or (adopt(self, *a) if len(done) < 3 else 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        replicate(source, target, batch=2)
+    monkeypatch.undo()
+    assert target.winners().count() == 4
+    stats, seq = replicate(source, target, batch=2)
+    assert (seq, stats.missing_checked, stats.docs_written, target.winners().count()) == (6, 2, 2, 6)
+    assert target.attachment("d5", "x")[1] == b"hi" and target.blobs().count() == 1
+
+
+def test_local_documents_are_put_without_jobs_and_written_together_at_times(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quillgrid.sources.store.MOST", 3)
+    store = Store(spark, f"file://{tmp_path}/db")
+    for i in range(11):
+        store.put_local("_local/a", {"s": i})
+        if i % 4 == 0:
+            store.put_local("_local/b", {"t": 'é "quoted"\n', "s": i})
+    assert store.get_local("_local/a") == {"s": 10} and store.get_local("_local/b") == {"t": 'é "quoted"\n', "s": 8}
+    assert sorted((r["id"], r["n"]) for r in store.local().collect()) == [("_local/a", 11), ("_local/b", 3)]
+    assert len(store.folder.at("local").parts()) <= 7
+    odd = Folder(spark, f"file://{tmp_path}/odd [x]{{y}}*?")
+    assert odd.parts() == [] and odd.put("", "x", n=1, seq=2) and odd.parts() == [{"n": 1, "seq": 2, "path": "n=1.seq=2"}]
